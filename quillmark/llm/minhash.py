@@ -265,3 +265,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that copy another of smaller doc_id.
+
+    Rows that repeat a doc_id are one document here: they stay if one of them
+    represents its group.  Rows without doc_id stay.
+    """
+    gone = near_duplicates(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
