@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, sharding, toxicity
+from . import decontaminate, fingerprint, lengths, minhash, mixing, sharding, toxicity, warc
 from .common import read_table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.token_lengths(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -37,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_mixing, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, pipeline]
+    own = [op1_fingerprint, op2_mixing, op4_lengths, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
     return {f.__name__: f for f in own}
 
 
