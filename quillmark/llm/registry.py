@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, lengths, minhash, mixing, sharding, toxicity, warc
+from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, sharding, toxicity, warc
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_lengths(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprint, op2_mixing, op4_lengths, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
+    own = [op1_fingerprint, op2_mixing, op4_lengths, op5_lm, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
     return {f.__name__: f for f in own}
 
 
