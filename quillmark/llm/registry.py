@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, sharding, toxicity, warc
+from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, pii, sharding, toxicity, warc
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_lengths(read_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprint, op2_mixing, op4_lengths, op5_lm, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
+    own = [op1_fingerprint, op2_mixing, op3_pii, op4_lengths, op5_lm, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
     return {f.__name__: f for f in own}
 
 
