@@ -26,9 +26,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the plan modules; each registers its queries."""
+    from . import retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
