@@ -11,9 +11,13 @@
    sketch of fixed size, and any frequencies give whole results.  The other
    coordinates are skipped: collisions are counted on the two signatures.
 3. In each posting list the members are paired with the list's two leaders,
-   short lists fully.  Longer lists are revisited with other leaders while
-   their members lie in more than one component; what then still lies apart is
-   compared pair by pair across components, so no list is cut short.
+   short lists fully.  Where the members of a longer list then still lie in
+   more than one component, those members are joined again on their full
+   shingle sets: each posts its rarest shingles, just so many that two sets
+   similar enough share one, and pairs whose places of the shared shingle leave
+   too little room for the needed overlap are dropped.  Pairs within one
+   component are not formed, so neither a large group of near copies nor a
+   passage that many documents share is expanded, and no list is cut short.
 4. Pairs that reach ``MATCHES`` are confirmed on the full shingle sets, with
    integers: 100 * common >= percent * union.
 
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, column_bytes, materialize, mix64, shingle_hashes, split_words
@@ -39,7 +43,6 @@ MATCHES = 17
 PREFIX = COORDINATES - MATCHES + 1
 SKETCH_BITS = 18
 SHORT_LIST = 24
-LEADER_ROUNDS = 3
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -205,16 +208,50 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among ``pairs``, by the full sets of one document of each class."""
-    taking_part = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(taking_part, "node").select("node", "digest", "cid")
+def _packed(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, packed): the words of one document of each class in ``nodes``."""
+    wanted = classes.join(nodes.select("node").distinct(), "node").select("node", "digest", "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text")).join(wanted, "cid")
-    packed = materialize(texts.select("node", "digest", "text").mapInArrow(_pack(width), "node long, packed binary").dropDuplicates(["node"]), "packed")
+    return materialize(texts.select("node", "digest", "text").mapInArrow(_pack(width), "node long, packed binary").dropDuplicates(["node"]), "packed")
+
+
+def _confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among ``pairs``, by the full sets of one document of each class."""
     both = pairs.join(packed.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").join(packed.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
     return both.select("a", "b", "pa", "pb").mapInArrow(_confirm(width, percent), "a long, b long")
 
 
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(unpack.decompress(packed).split(), known, width)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(np.full(len(own), len(own), np.int64)), pa.array(own)], ["node", "n", "shingle"])
+
+    return run
+
+
+def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of ``apart`` (node, label) in different components that may be similar enough, none left out.
+
+    Prefix filter on the full sets: with the rarest shingles first, sets at the
+    threshold share one of the first n - ceil(n * percent / 100) + 1.  At the
+    first shared one, the places left bound the overlap from above.
+    """
+    rows = materialize(packed.mapInArrow(_shingles(width), "node long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    first = rows.join(often, "shingle").withColumn("place", place).filter((F.col("n") - F.col("place")) * 100 >= F.col("n") * percent).filter("often > 1")
+    posted = materialize(first.join(apart, "node").select("shingle", "node", "label", "n", "place"), "posted")
+    main = posted.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
+    x = posted.join(main.filter("parts > 1").select("shingle", "main"), "shingle").filter("label <> main").alias("x")
+    y = posted.alias("y")
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -237,27 +274,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     postings = materialize(post_prefixes(classes), "postings")
     lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
     tested = materialize(_agreeing(_leader_pairs(postings, lists), classes), "pairs")
-    links = materialize(_confirmed(tested, classes, docs, width, percent), "confirmed")
+    ends = tested.select(F.col("a").alias("node")).unionAll(tested.select(F.col("b").alias("node")))
+    links = materialize(_confirmed(tested, _packed(ends, classes, docs, width), width, percent), "confirmed")
     labels = connected_components(links)
 
-    long_lists = materialize(postings.join(lists.filter(F.col("n") > SHORT_LIST).select("key"), "key"), "long")
-    for turn in range(LEADER_ROUNDS + 1):
-        named = long_lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        parts = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        apart = materialize(named.join(parts.filter("lo < hi").select("key"), "key"), "apart")
-        if apart.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            leader = apart.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("l"))
-            pairs = apart.join(leader, "key").filter("label <> l.label").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
-        else:
-            x, y = apart.alias("x"), apart.alias("y")
-            pairs = x.join(y, "key").filter("x.label < y.label").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        fresh = materialize(_agreeing(pairs.distinct(), classes).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tested = tested.unionAll(fresh)
-            links = links.unionAll(materialize(_confirmed(fresh, classes, docs, width, percent), "confirmed"))
-            labels = connected_components(links)
+    long_lists = postings.join(lists.filter(F.col("n") > SHORT_LIST).select("key"), "key")
+    in_lists = long_lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    split = in_lists.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    apart = materialize(in_lists.join(split, "key").select("node", "label").distinct(), "apart")
+    if not apart.isEmpty():
+        packed = _packed(apart, classes, docs, width)
+        fresh = materialize(_apart_pairs(apart, packed, width, percent).join(tested, ["a", "b"], "left_anti"), "fresh")
+        more = materialize(_confirmed(fresh, packed, width, percent), "confirmed")
+        if not more.isEmpty():
+            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
 
     named = classes.join(labels, "node", "left").select("digest", "cid", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
