@@ -43,6 +43,8 @@ MATCHES = 17
 PREFIX = COORDINATES - MATCHES + 1
 SKETCH_BITS = 18
 SHORT_LIST = 24
+#: Bits of the sketch that the members of long lists get.
+SKETCH_PLACES = 1_024
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -232,6 +234,35 @@ def _shingles(width: int):
     return run
 
 
+def _bits(width: int):
+    """One bit of each of ``SKETCH_PLACES`` minima of the shingle set, as 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        places = np.random.default_rng(13).integers(0, 2**63, (2, SKETCH_PLACES), dtype=np.uint64)
+        multiply = places[1] * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            nodes, out = [], []
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(unpack.decompress(packed).split(), known, width))
+                least = np.full(SKETCH_PLACES, np.iinfo(np.uint64).max, np.uint64)
+                with np.errstate(over="ignore"):
+                    for part in np.array_split(own, len(own) // 2_000 + 1):
+                        if len(part):
+                            least = np.minimum(least, ((part[:, None] ^ places[0]) * multiply).min(axis=0))
+                nodes.append(node)
+                out.append(np.packbits((mix64(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "bits"])
+
+    return run
+
+
+def _most_bits(percent: int) -> int:
+    """Differing sketch bits that a pair at the threshold stays under but for five standard deviations."""
+    p = (100 - percent) / 200
+    return int(SKETCH_PLACES * p + 5 * (SKETCH_PLACES * p * (1 - p)) ** 0.5) + 1
+
+
 def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of ``apart`` (node, label) in different components that may be similar enough, none left out.
 
@@ -243,12 +274,14 @@ def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int)
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
     first = rows.join(often, "shingle").withColumn("place", place).filter((F.col("n") - F.col("place")) * 100 >= F.col("n") * percent).filter("often > 1")
-    posted = materialize(first.join(apart, "node").select("shingle", "node", "label", "n", "place"), "posted")
+    known = materialize(apart.join(packed.mapInArrow(_bits(width), "node long, bits array<long>"), "node"), "bits")
+    posted = materialize(first.join(known, "node").select("shingle", "node", "label", "n", "place", "bits"), "posted")
     main = posted.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
     x = posted.join(main.filter("parts > 1").select("shingle", "main"), "shingle").filter("label <> main").alias("x")
     y = posted.alias("y")
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    differ = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (differ <= _most_bits(percent))
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
