@@ -24,12 +24,14 @@ SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
 #: Documented bound of the labelled sample the classifier is fitted on.
 TRAINING_ROWS = 20_000
+#: The sample is bounded, and so are its partitions.
+SAMPLE_PARTITIONS = 12
 FEATURES = 2_048
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 
 _STEP = np.random.default_rng(11).integers(0, 2**31, max(SIZES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -143,20 +145,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         .limit(rows)
     )
     # The ids are ``rows`` at most, so the broadcast is bounded.
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
-    counts = sample.mapInArrow(_count, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = materialize(found.repartition(SAMPLE_PARTITIONS), "labelled")
+    counts = materialize(sample.mapInArrow(_count, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    if counts.empty or not counts["toxic"].sum() or not counts["clean"].sum():
+    clean, toxic, cells = counts.agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
+    if not clean or not toxic:
         return Model(slot, np.zeros(0), -40.0)
-    p, q = counts["toxic"].to_numpy() + 1.0, counts["clean"].to_numpy() + 1.0
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    cell = counts["cell"].to_numpy()
-    best = np.lexsort((cell, -np.round(sure, 9)))[:FEATURES]
-    slot[cell[best]] = np.arange(len(best))
+    p, q = F.col("toxic") + 1.0, F.col("clean") + 1.0
+    ratio = F.log(p / (toxic + cells)) - F.log(q / (clean + cells))
+    sure = F.round(F.abs(ratio) / F.sqrt(1 / p + 1 / q), 9)
+    best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(FEATURES).toPandas()
+    slot[best["cell"].to_numpy()] = np.arange(len(best))
+    ratios = best["ratio"].to_numpy()
     held = sample.mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toPandas()
-    weight, bias = _fit([np.asarray(r, np.int64) for r in held["features"]], held["toxic"].to_numpy(float), ratio[best])
-    return Model(slot, weight * ratio[best], bias)
+    weight, bias = _fit([np.asarray(r, np.int64) for r in held["features"]], held["toxic"].to_numpy(float), ratios)
+    return Model(slot, weight * ratios, bias)
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
