@@ -27,11 +27,11 @@ def clean(text: str) -> str:
 
 
 def read_txt(content: bytes) -> str:
-    if content.startswith((b"\xff\xfe", b"\xfe\xff")):
-        order = ("utf-16",)
-    else:
-        order = ENCODINGS
-    for encoding in order:
+    marked = content.startswith((b"\xff\xfe", b"\xfe\xff"))
+    # Without its byte order mark any even number of bytes would pass as UTF-16.
+    for encoding in ENCODINGS:
+        if encoding == "utf-16" and not marked:
+            continue
         try:
             return clean(content.decode(encoding))
         except UnicodeDecodeError:
