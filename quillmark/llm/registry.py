@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, pii, sharding, toxicity, warc
+from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, oracles, pii, sharding, toxicity, warc
 from .common import read_table
 
 
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": oracles.OP2, "op6_minhash": oracles.OP6, "op10_warc": oracles.OP10}
