@@ -187,6 +187,29 @@ def _tail_totals(own):
     return run
 
 
+def _most_frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
+    """Words from some frequency on, ``HELD_WORDS`` at most, most frequent first; their counts; the count of ends.
+
+    The frequency is found on a coarse logarithmic scale, whose few values are
+    all that is sorted on the driver.
+    """
+    scale = F.floor(F.log2("c") * 32)
+    sizes = counts.groupBy(scale.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()
+    least, held = None, 0
+    for row in sizes:
+        held += row["n"]
+        if held > HELD_WORDS:
+            break
+        least = row["s"]
+    ends = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    if least is None:
+        return [], np.zeros(0), ends
+    found = counts.filter(scale >= least).toArrow()
+    pairs = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda p: (-p[1], p[0]))
+    pairs = [p for p in pairs if p[0] != END]
+    return [p[0] for p in pairs], np.array([p[1] for p in pairs], float), ends
+
+
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
@@ -205,25 +228,24 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     counts = materialize(word_counts(training), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # HELD_WORDS bounds what reaches the driver and every task.
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(HELD_WORDS).toPandas()
-    ends = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words = [bytes(w) for w in top["word"]]
+    words, times, ends = _most_frequent(counts)
     own = {w: TAIL_CLASSES + 1 + k for k, w in enumerate(words[: CLASSES - TAIL_CLASSES - 1])}
     shared_own = broadcast(own)
 
     # At most CLASSES squared pairs reach the driver.
-    found = training.select("text").mapInArrow(_pairs(shared_own), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = training.select("text").mapInArrow(_pairs(shared_own), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
+    del found
     model = train_nce(pairs.reshape(CLASSES, CLASSES))
 
-    tails = counts.mapInArrow(_tail_totals(shared_own), "kind int, tokens long, words long").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toPandas()
+    tails = counts.mapInArrow(_tail_totals(shared_own), "kind int, tokens long, words long").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
     tail_log = np.zeros(CLASSES)
-    tail_log[tails["kind"].to_numpy()] = np.log10((tails["tokens"] + tails["words"] + 1).to_numpy(float))
+    tail_log[tails["kind"].to_numpy()] = np.log10(tails["tokens"].to_numpy() + tails["words"].to_numpy() + 1.0)
 
     index = {w: k for k, w in enumerate(words)} | {END: len(words)}
     classes = np.array([own.get(w) or tail_class(w) for w in words] + [0], np.int64)
-    log_count = np.log10(np.append(top["c"].to_numpy(float), float(ends)) + 1)
+    log_count = np.log10(np.append(times, float(ends)) + 1)
     scored = slim.mapInArrow(
         _score(broadcast((index, classes, log_count)), broadcast(model), broadcast(tail_log)),
         "doc_id long, n_tokens long, n_held long, base double, score double, rare array<binary>, times array<int>",
