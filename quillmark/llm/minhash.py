@@ -179,7 +179,7 @@ def sign_documents(docs: DataFrame, width: int = 5) -> DataFrame:
 def post_prefixes(classes: DataFrame) -> DataFrame:
     """(key, node): each class under its rarest ``PREFIX`` coordinate-value pairs."""
     spark = classes.sparkSession
-    cells = classes.select("sig").mapInArrow(_sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = classes.select("sig").mapInArrow(_sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(1 << SKETCH_BITS, np.int64)
     often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return classes.select("node", "sig").mapInArrow(_post(spark.sparkContext.broadcast(often)), "key long, node long")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,11 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     p, q = F.col("toxic") + 1.0, F.col("clean") + 1.0
     ratio = F.log(p / (toxic + cells)) - F.log(q / (clean + cells))
     sure = F.round(F.abs(ratio) / F.sqrt(1 / p + 1 / q), 9)
-    best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(FEATURES).toPandas()
+    best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(FEATURES).toArrow()
     slot[best["cell"].to_numpy()] = np.arange(len(best))
     ratios = best["ratio"].to_numpy()
-    held = sample.mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toPandas()
-    weight, bias = _fit([np.asarray(r, np.int64) for r in held["features"]], held["toxic"].to_numpy(float), ratios)
+    held = sample.mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toArrow()
+    lists = held["features"].combine_chunks()
+    rows = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+    weight, bias = _fit(rows, held["toxic"].to_numpy().astype(float), ratios)
     return Model(slot, weight * ratios, bias)
 
 
