@@ -115,3 +115,26 @@ def normalize_tender(title: Column, specification: Column, items: Column, most:
         text.technical_parameters(combined).alias("technical_parameters"),
         ident.extract_references(combined).alias("cited_standards"),
     )
+
+
+def service_rows(responses: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Rows of landed service responses: JSON ``body`` with status and data.
+
+    Responses whose status is not SUCCESS, or that can't be read, have no rows;
+    absent fields are null.  Other columns are carried along.
+    """
+    envelope = F.from_json("body", "struct<status:string,data:array<map<string,string>>>").alias("__e")
+    rest = [c for c in responses.columns if c != "body"]
+    rows = responses.select(*rest, envelope).filter(F.col("__e.status") == "SUCCESS").select(*rest, F.explode("__e.data").alias("__r"))
+    return rows.select(*rest, *(F.try_element_at("__r", F.lit(f)).alias(f) for f in fields))
+
+
+def pages_left(responses: DataFrame, limit: int) -> DataFrame:
+    """(department, offset) still to be fetched, from the total that the landed responses name.
+
+    ``responses``: department, offset and body; the resume point of a paged scan.
+    """
+    total = F.coalesce(F.get_json_object("body", "$.totalRecords"), F.get_json_object("body", "$.totalRecord")).try_cast("long")
+    seen = responses.groupBy("department").agg(F.max(total).alias("total"), F.collect_set("offset").alias("done")).filter("total > 0")
+    every = seen.select("department", "done", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(limit).cast("long"))).alias("offset"))
+    return every.filter(~F.array_contains("done", F.col("offset"))).select("department", "offset")

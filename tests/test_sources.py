@@ -90,3 +90,14 @@ def test_gate_and_fusion_of_empty_arms(spark):
     gated = retrieve.gate(asked, retrieve.retrieve(docs, asked), retrieve.PROFILES["hybrid"])
     assert {(r["query_id"], r["state"]) for r in gated.collect()} == {(1, "ok"), (2, "no_results")}
     assert gated.filter(F.col("query_id") == 2).first()["doc_id"] is None
+
+
+def test_landed_service_pages(spark):
+    body = '{"status": "SUCCESS", "totalRecord": 5, "data": [{"standardNumber": " IS 5 ", "standardId": 7, "standardName": "Cable"}]}'
+    pages = spark.createDataFrame([("CED", 0, body), ("CED", 2, '{"status": "FAILED", "data": []}'), ("ETD", 0, "not json")], "department string, offset long, body string")
+    from quillmark.functions.records import normalize_records
+
+    rows = corpus.service_rows(pages, ("standardNumber", "standardId", "standardName", "isStatus"))
+    got = normalize_records(rows.withColumnRenamed("department", "deptAliasName")).first()
+    assert (got["is_number"], got["standard_id"], got["title"], got["matched_queries"], got["withdrawn"]) == ("IS 5", 7, "Cable", ["CED"], False)
+    assert [tuple(r) for r in corpus.pages_left(pages, 2).collect()] == [("CED", 4)]
