@@ -61,7 +61,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen often; bounded size."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

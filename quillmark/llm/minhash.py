@@ -60,7 +60,7 @@ def signature(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(width: int, chunk: int = 1_500_000):
+def _sign(width: int, chunk: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
 

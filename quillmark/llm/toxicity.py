@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 
 _STEP = np.random.default_rng(11).integers(0, 2**31, max(SIZES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_CHUNK = 1_000_000
+_CHUNK = 250_000
 
 
 @dataclass(frozen=True)
