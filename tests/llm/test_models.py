@@ -2,6 +2,7 @@
 
 import math
 import random
+import warnings
 import zlib
 from collections import Counter
 
@@ -135,6 +136,43 @@ def test_mix_edge_cases(spark):
     assert [r["probability"] for r in mixing.mixed(spark.createDataFrame([(1, None, "en", "a", 0)] * 2, MIX)).collect()] == [1.0, 1.0]
 
 
+def many_sources(n=1500):
+    """One source with a third of the tokens and ``n`` equal small ones."""
+    big = [(i, "tok " * n, "en", "big", 0) for i in range(2)]
+    return big + [(10 + i, "tok " * 4, "en", f"s{i:05}", 0) for i in range(n)]
+
+
+def test_sources_beyond_a_thousand_are_raked_one_by_one(spark):
+    got = mixing.mixed(spark.createDataFrame(many_sources(), MIX).selectExpr("*", "'t' topic")).collect()
+    assert len(got) == 1502
+    assert {r["probability"] for r in got if r["source"] != "big"} == {1.0} and {r["kept"] for r in got if r["source"] != "big"} == {True}
+
+
+def test_raking_in_spark_agrees_with_the_driver(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "tok " * rng.choice([3, 20, 200]), rng.choice(["en", "fr", None]), rng.choice("aaabbc"), 0) for i in range(500)] + [(9999, None, "xx", "z", None)]
+    df = spark.createDataFrame(rows, MIX)
+    monkeypatch.setattr(mixing, "SWEEPS", 3)
+    for targets in (None, {"source": {"a": 0.3, "b": 0.3}}):
+        monkeypatch.setattr(mixing, "MAX_CELLS", 10_000)
+        want = {r["doc_id"]: r for r in mixing.mixed(df, targets).collect()}
+        monkeypatch.setattr(mixing, "MAX_CELLS", 1)
+        got = {r["doc_id"]: r for r in mixing.mixed(df, targets).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i]["probability"], want[i]["probability"], abs_tol=2e-9) for i in want)
+
+
+def test_categories_without_a_target_keep_a_share():
+    cells = {("a", "x"): 50.0, ("b", "x"): 30.0, ("c", "y"): 10.0, ("d", "y"): 10.0}
+    for target, want in (({"a": 0.3, "b": 0.3}, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}), ({"a": 0.5, "b": 0.5}, {"a": 0.4, "b": 0.4, "c": 0.1, "d": 0.1}), ({"a": 0.6, "c": 0.0}, {"a": 0.6, "b": 0.3, "c": 0.0, "d": 0.1})):
+        names = sorted(want)
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            shares = mixing._shares(names, mixing.np.array([cells[n, "x" if n in "ab" else "y"] for n in names]), target)
+        assert all(math.isclose(s, want[n], abs_tol=1e-9) for n, s in zip(names, shares.tolist(), strict=True))
+        assert bool(said) == (sum(target.values()) >= 1)
+
+
 def item(rng, n):
     return [f"v{rng.randrange(2000)}" for _ in range(n)]
 
