@@ -1,13 +1,17 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For each benchmark item every window of the item's length in a document is
-fingerprinted (64-bit SimHash of its words and adjacent word pairs).  A
-multi-index finds all items within ``RADIUS`` bits: with four blocks of 16 bits,
-fingerprints at most 15 bits apart agree in some block up to 3 bits, and all
-those block values are posted.  Candidates are verified by the exact weighted
-Jaccard similarity of their five-word shingles (multiset counts, weighted by
-rarity among the items).  Windows that hold no shingle of any item have
-similarity 0 with all of them, so they are not fingerprinted; nothing is lost.
+A window of an item's length in a document is compared with the item by the
+exact weighted Jaccard similarity of their five-word shingles (multiset counts,
+weighted by rarity among the items).  The shingles that a document shares with
+an item bound that similarity for every window, by running sums; the windows
+that can reach the threshold are all verified, so none is lost.
+
+They are also fingerprinted (64-bit SimHash of words and adjacent word pairs),
+and those within ``RADIUS`` bits of an item are verified first: with four blocks
+of 16 bits, fingerprints at most 15 bits apart agree in some block up to 3 bits,
+and all those block values are posted.  An edit at one end of a passage can move
+it beyond any such radius, so the others follow by descending bound until it is
+no greater than the similarity found.
 
 The benchmark is the stated query set: it is broadcast in blocks of bounded
 size, each of which sees all documents.
@@ -29,6 +33,8 @@ from .common import WordHashes, column_bytes, mix64, shingle_hashes, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
+#: Bounds are sums of floats; so much is allowed for their rounding.
+SLACK = 1e-9
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items in one broadcast block.
@@ -77,10 +83,16 @@ class ItemIndex:
         self.anchors = np.array(sorted(holders), np.uint64)
         self.member = np.zeros(1 << _MEMBER_BITS, bool)
         self.member[(self.anchors >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)] = True
-        self.at: dict[int, list[int]] = {}
-        for k, own in enumerate(self.shingles):
-            for s in np.unique(own):
-                self.at.setdefault(int(s), []).append(k)
+        self.anchor_weights = np.array([self.weights[int(s)] for s in self.anchors])
+        self.totals = np.array([sum(self.weights[s] * c for s, c in own.items()) for own in self.counts])
+        # Posting lists of the anchors: the items that hold them, and how often.
+        distinct = [np.unique(own, return_counts=True) for own in self.shingles]
+        self.own = [np.searchsorted(self.anchors, values) for values, _ in distinct]
+        place = np.concatenate([*self.own, np.empty(0, np.int64)])
+        order = np.argsort(place, kind="stable")
+        self.posted = np.repeat(np.arange(n), [len(own) for own in self.own])[order]
+        self.posted_counts = np.concatenate([*(counts for _, counts in distinct), np.empty(0, np.int64)])[order]
+        self.starts = np.searchsorted(place[order], np.arange(len(self.anchors) + 1))
         self.blocks = []
         for b in range(BLOCKS):
             values = ((self.prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -104,31 +116,85 @@ class ItemIndex:
             high += w * max(own[s], other[s])
         return low / high if high else 0.0
 
+    def document_weights(self, shingles: np.ndarray, hit: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The weight of each shingle of a document; those at ``hit`` are the anchors ``place``."""
+        out = np.full(len(shingles), self.other)
+        out[hit] = self.anchor_weights[place]
+        return out
+
+    def reachable(self, shingles: np.ndarray, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(window starts, bounds of their similarity) of each item that some window of a document of ``n`` words can reach."""
+        hit = np.flatnonzero(self.member[(shingles >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.anchors, shingles[hit]), len(self.anchors) - 1)
+        real = self.anchors[place] == shingles[hit]
+        hit, place = hit[real], place[real]
+        if not len(hit):
+            return {}
+        # What the whole document shares with each item bounds every window.
+        found, times = np.unique(place, return_counts=True)
+        sizes = self.starts[found + 1] - self.starts[found]
+        at = np.repeat(self.starts[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        shared = np.zeros(len(self.ids), self.totals.dtype)
+        np.add.at(shared, self.posted[at], np.repeat(self.anchor_weights[found], sizes) * np.minimum(np.repeat(times, sizes), self.posted_counts[at]))
+        out, running = {}, None
+        for k in np.flatnonzero(self._reaches(shared, self.totals)).tolist():
+            if running is None:
+                weights = self.document_weights(shingles, hit, place)
+                running = np.concatenate([np.zeros(1, weights.dtype), np.cumsum(weights)])
+            own = self.own[k]
+            mine = own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place
+            spots, held = hit[mine], self.anchor_weights[place[mine]]
+            length = min(self.lengths[k], n)
+            width = max(1, length - WIDTH + 1)
+            low, high = max(0, int(spots[0]) - width + 1), min(n - length, len(shingles) - width, int(spots[-1]))
+            count = high - low + 1
+            if count < 1:
+                continue
+            common = np.zeros(count + width, held.dtype)
+            common[spots - low + 1] = held
+            common = np.cumsum(common)
+            common = np.minimum(np.minimum(common[width : width + count] - common[:count], shared[k]), self.totals[k])
+            union = self.totals[k] + running[low + width : low + width + count] - running[low : low + count] - common
+            can = np.flatnonzero(self._reaches(common, union))
+            if len(can):
+                out[k] = (can + low, common[can] / union[can])
+        return out
+
+    @staticmethod
+    def _reaches(common: np.ndarray, union: np.ndarray) -> np.ndarray:
+        return common >= (SIMILARITY - SLACK) * union
+
     def best(self, words: list[bytes], known: WordHashes) -> tuple[int | None, float, int]:
         """(best item, its similarity, items at or above the threshold) of one document."""
         shingles = shingle_hashes(words, known, WIDTH)
-        hit = np.flatnonzero(self.member[(shingles >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)]) if len(shingles) and len(self.ids) else []
-        hit = [int(p) for p in hit if int(shingles[p]) in self.weights]
-        if not hit:
+        able = self.reachable(shingles, len(words)) if len(shingles) and self.ids else {}
+        if not able:
             return None, 0.0, 0
         n = len(words)
         near: dict[int, np.ndarray] = {}
-        for p in hit:
-            for k in self.at[int(shingles[p])]:
-                length = min(self.lengths[k], n)
-                starts = near.setdefault(length, np.zeros(n - length + 1, bool))
-                starts[max(0, p + min(WIDTH, n) - length) : p + 1] = True
+        for k, (starts, _) in able.items():
+            length = min(self.lengths[k], n)
+            near.setdefault(length, np.zeros(n - length + 1, bool))[starts] = True
         values = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         found: dict[int, float] = {}
+
+        def verify(k: int, start: int) -> None:
+            width = max(1, min(self.lengths[k], n) - WIDTH + 1)
+            found[k] = max(found.get(k, 0.0), self.similarity(k, shingles[start : start + width]))
+
         for length, wanted in near.items():
             at = np.flatnonzero(wanted)
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                 prints = simhash_windows(values[run[0] : run[-1] + length], length)
                 for start, fingerprint in zip(run.tolist(), prints.tolist(), strict=True):
                     for k in self.near(fingerprint).tolist():
-                        if min(self.lengths[k], n) == length:
-                            window = shingles[start : start + max(1, length - WIDTH + 1)]
-                            found[k] = max(found.get(k, 0.0), self.similarity(k, window))
+                        if k in able and min(self.lengths[k], n) == length:
+                            verify(k, start)
+        for k, (starts, bounds) in able.items():
+            for i in np.argsort(-bounds, kind="stable").tolist():
+                if bounds[i] + SLACK <= found.get(k, 0.0):
+                    break
+                verify(k, int(starts[i]))
         found = {k: v for k, v in found.items() if v >= SIMILARITY}
         if not found:
             return None, 0.0, 0

@@ -233,3 +233,21 @@ def test_multi_index_finds_all_within_the_radius():
             bits = rng.choice(64, distance, replace=False)
             probe = int(index.prints[k]) ^ sum(1 << int(b) for b in bits)
             assert k in index.near(probe).tolist()
+
+
+def test_truncated_and_reended_items_are_found():
+    rng = random.Random(11)
+    known = WordHashes()
+    items = {i: item(rng, rng.choice([19, 40, 54])) for i in range(400)}
+    index = decontaminate.ItemIndex(list(items), [" ".join(i).encode() for i in items.values()])
+    reached = 0
+    for i, own in items.items():
+        cut = {19: 2, 40: 5, 54: 7}[len(own)]
+        around = [f"z{rng.randrange(2000)}" for _ in range(60)]
+        changed = own[cut:] if i % 3 == 0 else own[:-cut] if i % 3 == 1 else own[:-cut] + item(rng, cut)
+        words = around[:30] + changed + around[30:]
+        own_only = max(index.similarity(i, shingle_hashes([w.encode() for w in words[s : s + len(own)]], known)) for s in range(len(words) - len(own) + 1))
+        got = index.best([w.encode() for w in words], known)
+        assert (got[0] == i) == (own_only >= 0.75), (i, own_only, got)
+        reached += own_only >= 0.75
+    assert reached == 400
