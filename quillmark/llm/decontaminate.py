@@ -14,7 +14,10 @@ it beyond any such radius, so the others follow by descending bound until it is
 no greater than the similarity found.
 
 The benchmark is the stated query set: it is broadcast in blocks of bounded
-size, each of which sees all documents.
+size, each of which sees all documents.  Rarity is counted once over the whole
+benchmark, so a verdict doesn't depend on the block of an item.  A shingle of a
+single item weighs as much as one of none; only those that items share, and
+their counts, go to every block.
 """
 
 from __future__ import annotations
@@ -61,10 +64,28 @@ def simhash_windows(words: np.ndarray, length: int) -> np.ndarray:
     return ((total > 0).astype(np.uint64) << _BIT).sum(axis=1, dtype=np.uint64)
 
 
+class Rarity:
+    """Number of items of a benchmark, and the shingles that more than one of them hold with the number of holders."""
+
+    def __init__(self, n: int, shared: np.ndarray, holders: np.ndarray):
+        order = np.argsort(shared)
+        self.n, self.shared, self.holders = n, shared[order], holders[order]
+        self.other = log(1 + n) if n else 1.0
+
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        """The weight of each shingle."""
+        out = np.full(len(shingles), self.other)
+        if len(self.shared):
+            place = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            held = self.shared[place] == shingles
+            out[held] = [log(1 + self.n / c) for c in self.holders[place[held]].tolist()]
+        return out
+
+
 class ItemIndex:
-    """One block of benchmark items, ready for lookup."""
+    """One block of benchmark items, ready for lookup; without ``rarity`` the block is the whole benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[bytes | None]):
+    def __init__(self, ids: list[int], texts: list[bytes | None], rarity: Rarity | None = None):
         known = WordHashes()
         self.ids, self.lengths, self.shingles, prints = [], [], [], []
         for i, text in zip(ids, texts, strict=True):
@@ -75,15 +96,14 @@ class ItemIndex:
                 self.shingles.append(shingle_hashes(words, known, WIDTH))
                 prints.append(simhash_windows(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), len(words))[0])
         self.prints = np.array(prints, np.uint64)
-        holders = Counter(int(s) for own in self.shingles for s in np.unique(own))
         n = len(self.ids)
-        self.other = log(1 + n) if n else 1.0
-        self.weights = {s: log(1 + n / c) for s, c in holders.items()}
+        self.anchors, holders = np.unique(np.concatenate([*map(np.unique, self.shingles), np.empty(0, np.uint64)]), return_counts=True)
+        self.rarity = rarity or Rarity(n, self.anchors[holders > 1], holders[holders > 1])
+        self.anchor_weights = self.rarity.weights(self.anchors)
+        self.weights = dict(zip(self.anchors.tolist(), self.anchor_weights.tolist(), strict=True))
         self.counts = [Counter(own.tolist()) for own in self.shingles]
-        self.anchors = np.array(sorted(holders), np.uint64)
         self.member = np.zeros(1 << _MEMBER_BITS, bool)
         self.member[(self.anchors >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)] = True
-        self.anchor_weights = np.array([self.weights[int(s)] for s in self.anchors])
         self.totals = np.array([sum(self.weights[s] * c for s, c in own.items()) for own in self.counts])
         # Posting lists of the anchors: the items that hold them, and how often.
         distinct = [np.unique(own, return_counts=True) for own in self.shingles]
@@ -110,18 +130,14 @@ class ItemIndex:
         """Weighted Jaccard similarity of an item and the shingles of a window."""
         own, other = self.counts[k], Counter(window.tolist())
         low = high = 0.0
+        strange = [s for s in other if s not in self.weights]
+        more = dict(zip(strange, self.rarity.weights(np.array(strange, np.uint64)).tolist(), strict=True))
         for s in own.keys() | other.keys():
-            w = self.weights.get(s, self.other)
+            w = self.weights[s] if s in self.weights else more[s]
             low += w * min(own[s], other[s])
             high += w * max(own[s], other[s])
         return low / high if high else 0.0
 
-    def document_weights(self, shingles: np.ndarray, hit: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The weight of each shingle of a document; those at ``hit`` are the anchors ``place``."""
-        out = np.full(len(shingles), self.other)
-        out[hit] = self.anchor_weights[place]
-        return out
-
     def reachable(self, shingles: np.ndarray, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """(window starts, bounds of their similarity) of each item that some window of a document of ``n`` words can reach."""
         hit = np.flatnonzero(self.member[(shingles >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)])
@@ -139,7 +155,7 @@ class ItemIndex:
         out, running = {}, None
         for k in np.flatnonzero(self._reaches(shared, self.totals)).tolist():
             if running is None:
-                weights = self.document_weights(shingles, hit, place)
+                weights = self.rarity.weights(shingles)
                 running = np.concatenate([np.zeros(1, weights.dtype), np.cumsum(weights)])
             own = self.own[k]
             mine = own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place
@@ -202,18 +218,42 @@ class ItemIndex:
         return self.ids[k], found[k], len(found)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes | None]]]:
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+
+
+def _held_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct shingles, and a row without shingle for the item itself."""
+    known = WordHashes()
+    for batch in batches:
+        for text in column_bytes(batch, "text"):
+            own = np.unique(shingle_hashes(split_words(text), known, WIDTH))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array([None, *own.view(np.int64).tolist()], pa.int64())], ["shingle"])
+
+
+def _rarity(benchmark: DataFrame) -> Rarity:
+    """Counted over all items.  Shingles of a single item don't reach the driver."""
+    counts = _items(benchmark).select("text").mapInArrow(_held_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counts.filter("shingle is null or n > 1").toArrow()
+    shingles, holders = found["shingle"].combine_chunks(), found["n"].to_numpy()
+    empty = shingles.is_null().to_numpy(zero_copy_only=False)
+    shared = shingles.drop_null().to_numpy().astype(np.int64).view(np.uint64)
+    return Rarity(int(holders[empty].sum()), shared, holders[~empty])
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
     """The benchmark in blocks of ``BLOCK_ITEMS`` items at most, read one after the other."""
+    rarity = _rarity(benchmark)
     ids, texts = [], []
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    for row in items.orderBy("item_id", "text").toLocalIterator():
+    for row in _items(benchmark).orderBy("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"].encode())
         if len(ids) == BLOCK_ITEMS:
-            yield ids, texts
+            yield ItemIndex(ids, texts, rarity)
             ids, texts = [], []
     if ids:
-        yield ids, texts
+        yield ItemIndex(ids, texts, rarity)
 
 
 def _verdicts(index, texts: list[bytes | None], known: WordHashes) -> list[tuple[int | None, float, int]]:
@@ -257,14 +297,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_items"))
     schema = "doc_id long, text string, item_id long, similarity double, n_items long"
-    for ids, texts in _blocks(benchmark):
-        out = out.mapInArrow(_report(spark.sparkContext.broadcast(ItemIndex(ids, texts))), schema)
+    for index in _blocks(benchmark):
+        out = out.mapInArrow(_report(spark.sparkContext.broadcast(index)), schema)
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", F.round("similarity", 9).alias("similarity"), "n_items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
     out = docs
-    for ids, texts in _blocks(benchmark):
-        out = out.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, texts))), docs.schema)
+    for index in _blocks(benchmark):
+        out = out.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return out

@@ -251,3 +251,17 @@ def test_truncated_and_reended_items_are_found():
         assert (got[0] == i) == (own_only >= 0.75), (i, own_only, got)
         reached += own_only >= 0.75
     assert reached == 400
+
+
+def test_verdicts_do_not_depend_on_the_block(spark, monkeypatch):
+    rng = random.Random(6)
+    template = item(rng, 45)
+    items = [(i, " ".join([*template, *(f"own{i}x{j}" for j in range(5))])) for i in range(21)]
+    docs = spark.createDataFrame([(1, " ".join([*template, *(f"else{j}" for j in range(5))])), (2, items[20][1]), (3, items[4][1])], KIND)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1000, 20, 6):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        found.append(sorted(map(tuple, decontaminate.contamination(docs, bench).collect())))
+        assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {1}
+    assert found[0] == found[1] == found[2] and [r[1] for r in found[0]] == [False, True, True]
