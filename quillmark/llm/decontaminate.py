@@ -36,8 +36,8 @@ from .common import WordHashes, column_bytes, mix64, shingle_hashes, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
-#: Bounds are sums of floats; so much is allowed for their rounding.
-SLACK = 1e-9
+#: Weights are whole numbers of this unit, so sums and the border are exact.
+UNIT = 1 << 36
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items in one broadcast block.
@@ -70,15 +70,15 @@ class Rarity:
     def __init__(self, n: int, shared: np.ndarray, holders: np.ndarray):
         order = np.argsort(shared)
         self.n, self.shared, self.holders = n, shared[order], holders[order]
-        self.other = log(1 + n) if n else 1.0
+        self.other = round(log(1 + n) * UNIT) if n else UNIT
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """The weight of each shingle."""
-        out = np.full(len(shingles), self.other)
+        out = np.full(len(shingles), self.other, np.int64)
         if len(self.shared):
             place = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
             held = self.shared[place] == shingles
-            out[held] = [log(1 + self.n / c) for c in self.holders[place[held]].tolist()]
+            out[held] = [round(log(1 + self.n / c) * UNIT) for c in self.holders[place[held]].tolist()]
         return out
 
 
@@ -104,7 +104,7 @@ class ItemIndex:
         self.counts = [Counter(own.tolist()) for own in self.shingles]
         self.member = np.zeros(1 << _MEMBER_BITS, bool)
         self.member[(self.anchors >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)] = True
-        self.totals = np.array([sum(self.weights[s] * c for s, c in own.items()) for own in self.counts])
+        self.totals = np.array([sum(self.weights[s] * c for s, c in own.items()) for own in self.counts], np.int64)
         # Posting lists of the anchors: the items that hold them, and how often.
         distinct = [np.unique(own, return_counts=True) for own in self.shingles]
         self.own = [np.searchsorted(self.anchors, values) for values, _ in distinct]
@@ -129,14 +129,14 @@ class ItemIndex:
     def similarity(self, k: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and the shingles of a window."""
         own, other = self.counts[k], Counter(window.tolist())
-        low = high = 0.0
+        low = high = 0
         strange = [s for s in other if s not in self.weights]
         more = dict(zip(strange, self.rarity.weights(np.array(strange, np.uint64)).tolist(), strict=True))
         for s in own.keys() | other.keys():
             w = self.weights[s] if s in self.weights else more[s]
             low += w * min(own[s], other[s])
             high += w * max(own[s], other[s])
-        return low / high if high else 0.0
+        return low / high if high else 0.0  # a quotient of integers, rounded once
 
     def reachable(self, shingles: np.ndarray, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """(window starts, bounds of their similarity) of each item that some window of a document of ``n`` words can reach."""
@@ -178,7 +178,7 @@ class ItemIndex:
 
     @staticmethod
     def _reaches(common: np.ndarray, union: np.ndarray) -> np.ndarray:
-        return common >= (SIMILARITY - SLACK) * union
+        return 4 * common >= 3 * union
 
     def best(self, words: list[bytes], known: WordHashes) -> tuple[int | None, float, int]:
         """(best item, its similarity, items at or above the threshold) of one document."""
@@ -208,7 +208,7 @@ class ItemIndex:
                             verify(k, start)
         for k, (starts, bounds) in able.items():
             for i in np.argsort(-bounds, kind="stable").tolist():
-                if bounds[i] + SLACK <= found.get(k, 0.0):
+                if bounds[i] * (1 + 1e-12) < found.get(k, 0.0) or found.get(k) == 1:
                     break
                 verify(k, int(starts[i]))
         found = {k: v for k, v in found.items() if v >= SIMILARITY}

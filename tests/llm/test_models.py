@@ -265,3 +265,15 @@ def test_verdicts_do_not_depend_on_the_block(spark, monkeypatch):
         found.append(sorted(map(tuple, decontaminate.contamination(docs, bench).collect())))
         assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {1}
     assert found[0] == found[1] == found[2] and [r[1] for r in found[0]] == [False, True, True]
+
+
+def test_exactly_the_threshold_counts_for_any_benchmark_size():
+    for words, sizes in ((11, (25, 800)), (18, (30, 120, 400))):
+        for n in sizes:
+            items = [[f"i{i}w{j}" for j in range(words)] for i in range(n)]
+            index = decontaminate.ItemIndex(list(range(n)), [" ".join(i).encode() for i in items])
+            changed = [w.encode() for w in items[3]]
+            for j in {11: [10], 18: [0, 17]}[words]:
+                changed[j] = b"other"
+            got = index.best(changed, WordHashes())
+            assert got == (3, 0.75, 1)
