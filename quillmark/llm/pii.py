@@ -6,9 +6,11 @@ same type, script and format: letters stay letters of their script and case,
 digits stay digits, separators, country codes and forms of address stay, names
 keep their gender, a card keeps its first digit and whether its check digit is
 right.  A surrogate depends on the key and the entity only, so an entity is
-replaced alike wherever it occurs, a surname also with and without given name.
+replaced alike wherever it occurs, a surname also with and without given name,
+and in the same document without form of address.  Particles stay; initials
+become other letters.
 
-All distinct entities are checked against each other's surrogates and against
+All distinct entities but initials are checked against each other's surrogates and against
 all real entities; where two meet, the later one draws again until none do.
 """
 
@@ -41,19 +43,30 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_CARD = r"(?<![\p{L}\d-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\p{L}\d.-])\d{13,19}(?![\p{L}\d])"
-_NAME = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
-ENTITY = f"{_EMAIL}|{_IP}|{_PHONE}|{_IBAN}|{_CARD}|{_NAME}"
+_CARD = r"(?<![\p{L}\d-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\p{L}\d-])\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|(?<![\p{L}\d.-])\d{13,19}(?![\p{L}\d])"
+# Without + and brackets: 3-3-4, the prefix 00, the trunk prefix 0 with an area code, and five pairs.
+_NATIONAL = (
+    r"(?<![\p{L}\p{N}_+/-])(?<!\d[.,])(?:(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3}[ -]\d{4})|00[1-9]\d{0,2}(?:[ -]\d{2,8}){2,4}"
+    r"|0[1-9]\d{1,3}(?:[ /-]\d{6,8}|[ /-]\d{3}(?: \d{2}){2}|[ /-]\d{3,4}[ -]\d{3,5}(?:[ -]\d{2,4})?)|0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4}))(?![\p{L}\d]|[.,-]\d)"
+)
+_TRUNK = r"(?<![\d+])\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,5}(?:[ /.-]?\d{2,8}){1,3}(?!\d)"
+PARTICLES = "von|van|vom|vander|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|le|les|zu|zum|zur|ten|ter|bin|ibn|al|el|af|av|и|фон"
+_HONORIFIC = r"(?:(?:Dr|Prof|Professor|Doctor|Доктор|Профессор)\.? )*"
+_WORD = r"(?:d['’]|[ae]l-)?\p{Lu}[\p{L}'’-]+"
+_BEFORE = rf"(?:\p{{Lu}}(?:\.[ -]?| )|(?:{PARTICLES}) ){{0,4}}"
+_TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES})\.? {_HONORIFIC}"
+_NAME = rf"(?<!\p{{L}}){_TITLE}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,4}}"
+ENTITY = f"{_EMAIL}|{_IP}|{_TRUNK}|{_PHONE}|{_IBAN}|{_CARD}|{_NATIONAL}|{_NAME}"
 #: A cheap test that any text with an entity passes.
-MAYBE = rf"@|\d\.\d|[+(]\d|\d{{4}}|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
+MAYBE = rf"@|\d\.\d|[+(]\d|\d{{4}}|\d{{2}}[ ./-]\d{{2}}|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? [\p{{L}}]"
 
 
 def kind_of(entity: Column) -> Column:
     return (
         F.when(entity.contains("@"), "email")
-        .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
-        .when(entity.rlike(r"^[+(]"), "phone")
-        .when(entity.rlike(r"^\d"), "card")
+        .when(entity.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(entity.rlike(r"^(?:\d{4}[ -]){3}\d{1,7}$|^\d{4}[ -]\d{6}[ -]\d{4,5}$|^\d{13,19}$"), "card")
+        .when(entity.rlike(r"^[+(\d]"), "phone")
         .when(entity.rlike(r"^[A-Z]{2}\d"), "iban")
         .otherwise("name")
     )
@@ -125,6 +138,7 @@ def surrogate(kind: Column, token: Column, attempt: Column) -> Column:
     phone = F.concat(code, _shaped(F.substring(token, F.length(code) + 1, F.length(token)), *seed))
     iban = F.concat(F.substring(token, 1, 2), _shaped(F.substring(token, F.lit(3), F.length(token)), *seed))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", _card(token, *seed)).when(kind == "iban", iban)
+    out = out.when(kind == "initial", _shaped(token, *seed)).when(kind == "particle", token)
     cyrillic = token.rlike(r"\p{IsCyrillic}")
     for (gender, script), names in GIVEN.items():
         own = (kind == f"given_{gender}") & (cyrillic if script == "cyrillic" else ~cyrillic)
@@ -135,29 +149,51 @@ def surrogate(kind: Column, token: Column, attempt: Column) -> Column:
 def _tokens(entity: Column) -> Column:
     """array<struct<kind, token>>: the parts of an entity that are replaced."""
     kind = kind_of(entity)
-    words = F.split(F.regexp_replace(entity, r"^\S+ ", ""), " ")
+    words = F.split(F.regexp_replace(entity, f"^{_TITLE}", ""), " ")
     gender = F.when(entity.rlike(rf"^(?:{FEMALE_TITLES})\.? "), "given_f").otherwise("given_m")
-    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(gender).alias("kind"), w.alias("token")))
+
+    def part(w: Column, i: Column) -> Column:
+        own = F.when(i == F.size(words) - 1, F.lit("surname")).when(w.rlike(rf"^(?:{PARTICLES})$"), "particle").when(w.rlike(r"^\p{Lu}$|^(?:\p{Lu}\.-?)+$"), "initial")
+        return F.struct(own.otherwise(gender).alias("kind"), w.alias("token"))
+
+    named = F.transform(words, part)
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("token"))))
 
 
 def entities_of(text: Column) -> Column:
-    """All entities of a text, in order."""
+    """All entities of a text, in order; bare repeats of surnames are not among them."""
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def pattern_of(found: Column) -> Column:
+    """The pattern of a text's entities and of the surnames among ``found`` standing by themselves; longer ones come first."""
+    named = F.filter(found, lambda e: e.rlike(f"^{_TITLE}"))
+    surnames = F.sort_array(F.array_distinct(F.transform(named, lambda e: F.regexp_extract(e, r"(\S+)$", 1))), asc=False)
+    bare = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(surnames) > 0, bare)
+
+
+def _with_found(slim: DataFrame) -> DataFrame:
+    """``slim`` with ``found``, all entities of its text, and ``pattern``, by which they are found."""
+    first = slim.withColumn("found", F.coalesce(entities_of(F.col("text")), F.array().cast("array<string>")))
+    named = first.withColumn("pattern", pattern_of(F.col("found")))
+    again = F.when(F.col("pattern").isNotNull(), F.regexp_extract_all(F.col("text"), F.col("pattern"), F.lit(0))).otherwise(F.col("found"))
+    return named.withColumn("found", again)
+
+
 def _replace(entity: Column, again: Column | None) -> Column:
     def one(t: Column) -> Column:
         attempt = F.lit(0) if again is None else F.coalesce(F.try_element_at(again, F.concat(t["kind"], F.lit("|"), t["token"])), F.lit(0))
         return surrogate(t["kind"], t["token"], attempt)
 
-    title = F.when(kind_of(entity) == "name", F.regexp_extract(entity, r"^\S+ ", 0)).otherwise("")
+    title = F.when(kind_of(entity) == "name", F.regexp_extract(entity, f"^{_TITLE}", 0)).otherwise("")
     return F.concat(title, F.array_join(F.transform(_tokens(entity), one), " "))
 
 
-def _rewritten(text: Column, found: Column, again: Column | None) -> Column:
+def _rewritten(text: Column, found: Column, pattern: Column, again: Column | None) -> Column:
     """``text`` with each entity replaced; ``again``: attempts of the tokens that drew more than once."""
-    pieces = F.zip_with(F.split(text, ENTITY, -1), F.transform(found, lambda e: _replace(e, again)), lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
+    rest = F.when(pattern.isNull(), F.split(text, ENTITY, -1)).otherwise(F.split(text, pattern, -1))
+    pieces = F.zip_with(rest, F.transform(found, lambda e: _replace(e, again)), lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
     return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
@@ -189,15 +225,14 @@ def replace_personal_data(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = F.coalesce(entities_of(F.col("text")), F.array().cast("array<string>"))
-    held = materialize(slim.select(F.xxhash64("text").alias("of"), found.alias("found")).filter(F.size("found") > 0), "entities")
-    tokens = held.select("of", F.explode("found").alias("entity")).select("of", F.inline(_tokens(F.col("entity")))).distinct()
+    with_found = _with_found(slim)
+    held = materialize(with_found.select(F.xxhash64("text").alias("of"), "found").filter(F.size("found") > 0), "entities")
+    tokens = held.select("of", F.explode("found").alias("entity")).select("of", F.inline(_tokens(F.col("entity")))).filter("kind not in ('initial', 'particle')").distinct()
     again = redrawn(tokens.select("kind", "token").distinct())
-    with_found = slim.withColumn("found", found)
     if again.isEmpty():
-        return with_found.select("doc_id", F.size("found").alias("n_entities"), _rewritten(F.col("text"), F.col("found"), None).alias("text"))
+        return with_found.select("doc_id", F.size("found").alias("n_entities"), _rewritten(F.col("text"), F.col("found"), F.col("pattern"), None).alias("text"))
     attempts = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "token"), "attempt")))
     per_text = tokens.join(again, ["kind", "token"]).groupBy("of").agg(attempts.alias("again"))
     some = with_found.filter(F.size("found") > 0).withColumn("of", F.xxhash64("text")).join(per_text, "of", "left")
-    some = some.select("doc_id", F.size("found").alias("n_entities"), _rewritten(F.col("text"), F.col("found"), F.col("again")).alias("text"))
+    some = some.select("doc_id", F.size("found").alias("n_entities"), _rewritten(F.col("text"), F.col("found"), F.col("pattern"), F.col("again")).alias("text"))
     return some.unionAll(with_found.filter(F.size("found") == 0).select("doc_id", F.lit(0).alias("n_entities"), "text"))

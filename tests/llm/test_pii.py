@@ -49,3 +49,23 @@ def test_genders_and_scripts(spark):
     assert got[2].split()[1].split("-")[0] in pii.GIVEN["m", "latin"].split()
     assert got[3].split()[1].split("-")[0] in pii.GIVEN["m", "cyrillic"].split()
     assert got[1].split()[2] == got[2].split()[2]
+
+
+def test_national_numbers_grouped_cards_and_longer_names(spark):
+    phones = ["555-123-4567", "1-800-555-0199", "555.123.4567", "0171 2345678", "030/1234567", "020 7946 0958", "01 23 45 67 89", "0049 171 2345678", "+49 (0)171 2345678"]
+    rows = [(i, f"call {x}, now") for i, x in enumerate(phones)]
+    rows += [(20, "card 3782 822463 10005."), (21, "Mr John Fitzgerald Kennedy came"), (22, "Mr. J. Smith came"), (23, "Frau von Berg kam"), (24, "Herr Dr. Meier kam"), (25, "Mr Jan Meier came. Meier said, Meier-Haus, Meierei; Mrs Meier went.")]
+    plain = [(30, "on 01.02.2003 and 2001-02-03, 12 345 678, 3.1415 and 1 000 000"), (31, "Berg Meier Kennedy")]
+    got = {r["doc_id"]: r for r in pii.replace_personal_data(spark.createDataFrame(rows + plain, KIND)).collect()}
+    for i, x in enumerate(phones):
+        out = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and x not in out, (x, out)
+        assert re.sub(r"\d", "9", out) == re.sub(r"\d", "9", rows[i][1])
+    assert luhn(got[20]["text"][5:]) and re.fullmatch(r"card 3\d{3} \d{6} \d{5}\.", got[20]["text"]) and "822463" not in got[20]["text"]
+    for i, real in ((21, "John Fitzgerald Kennedy"), (22, "Smith"), (23, "Berg"), (24, "Meier")):
+        assert got[i]["n_entities"] == 1 and not any(w in got[i]["text"] for w in real.split()), got[i]["text"]
+    assert re.fullmatch(r"Mr\. [A-Z]\. \w+ came", got[22]["text"]) and got[23]["text"].startswith("Frau von ") and got[24]["text"].startswith("Herr Dr. ")
+    name = got[24]["text"].split()[2]
+    assert re.fullmatch(rf"Mr \w+ {name} came\. {name} said, {name}-Haus, Meierei; Mrs {name} went\.", got[25]["text"]) and got[25]["n_entities"] == 4
+    for i, text in plain:
+        assert (got[i]["text"], got[i]["n_entities"]) == (text, 0)
