@@ -21,7 +21,10 @@
 4. Pairs that reach ``MATCHES`` are confirmed on the full shingle sets, with
    integers: 100 * common >= percent * union.
 
-A pair at similarity 0.75 fails step 2 with probability below 2e-6.
+A pair at similarity 0.75 fails step 2 with probability below 2.9e-6 (at most
+16 of 40 coordinates agree).  In long lists a pair at 0.75 is also lost if its
+1,024-bit sketches differ in more bits than ``_most_bits`` allows, with
+probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -264,11 +267,12 @@ def _most_bits(percent: int) -> int:
 
 
 def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of ``apart`` (node, label) in different components that may be similar enough, none left out.
+    """Pairs of ``apart`` (node, label) in different components that may be similar enough.
 
     Prefix filter on the full sets: with the rarest shingles first, sets at the
     threshold share one of the first n - ceil(n * percent / 100) + 1.  At the
-    first shared one, the places left bound the overlap from above.
+    first shared one, the places left bound the overlap from above.  This leaves
+    none out; the sketches, compared at last, may lose a pair as ``_most_bits`` says.
     """
     rows = materialize(packed.mapInArrow(_shingles(width), "node long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))

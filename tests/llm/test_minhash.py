@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from quillmark.llm import minhash
 
@@ -58,3 +60,14 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(None, "p q r s t"), (7, "p q r s t u")], "doc_id long, text string").selectExpr("*", "1 node", "'x' digest", "2 label")
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
     assert rows == {None: (1, None, True), 7: (2, 7, True)}
+
+
+def test_stated_probabilities_of_a_miss():
+    def tail(n, p, ks):
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in ks)
+
+    stated = [float(x.rstrip(".")) for x in re.findall(r"probability\s+below\s+(\S+)", minhash.__doc__)]
+    places = minhash.SKETCH_PLACES
+    assert len(stated) == 2
+    assert tail(minhash.COORDINATES, 0.75, range(minhash.MATCHES)) < stated[0]
+    assert tail(places, 0.125, range(minhash._most_bits(75) + 1, places + 1)) < stated[1]
