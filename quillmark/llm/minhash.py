@@ -10,20 +10,24 @@
    is posted.  The order puts rare values first; its frequencies come from a
    sketch of fixed size, and any frequencies give whole results.  The other
    coordinates are skipped: collisions are counted on the two signatures.
-3. In each posting list the members are paired with the list's two leaders,
-   short lists fully.  Where the members of a longer list then still lie in
-   more than one component, those members are joined again on their full
-   shingle sets: each posts its rarest shingles, just so many that two sets
-   similar enough share one, and pairs whose places of the shared shingle leave
-   too little room for the needed overlap are dropped.  Pairs within one
-   component are not formed, so neither a large group of near copies nor a
-   passage that many documents share is expanded, and no list is cut short.
-4. Pairs that reach ``MATCHES`` are confirmed on the full shingle sets, with
+3. In each posting list the members are paired with the list's leaders, short
+   lists fully.  A leader is the member that meets the most others over all its
+   lists, so the lists of one group of near copies name the same few leaders.
+   The members of a longer list that then still lie outside its largest
+   component are paired with leaders of that component.
+4. Where the members of a longer list even then lie in more than one component,
+   those members are joined again on their full shingle sets: each posts its
+   rarest shingles, just so many that two sets similar enough share one, and
+   pairs whose places of the shared shingle leave too little room for the needed
+   overlap are dropped.  Pairs within one component are not formed, so neither a
+   large group of near copies nor a passage that many documents share is
+   expanded, and no list is cut short.
+5. Pairs that reach ``MATCHES`` are confirmed on the full shingle sets, with
    integers: 100 * common >= percent * union.
 
 A pair at similarity 0.75 fails step 2 with probability below 2.9e-6 (at most
 16 of 40 coordinates agree).  In long lists a pair at 0.75 is also lost if its
-1,024-bit sketches differ in more bits than ``_most_bits`` allows, with
+2,048-bit sketches differ in more bits than ``_most_bits`` allows, with
 probability below 1e-6.
 """
 
@@ -46,8 +50,10 @@ MATCHES = 17
 PREFIX = COORDINATES - MATCHES + 1
 SKETCH_BITS = 18
 SHORT_LIST = 24
+#: Leaders of a list in the first pass, and of its largest component in the second.
+LEADERS, MORE_LEADERS = 2, 4
 #: Bits of the sketch that the members of long lists get.
-SKETCH_PLACES = 1_024
+SKETCH_PLACES = 2_048
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -192,15 +198,47 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leader_pairs(postings: DataFrame, lists: DataFrame) -> DataFrame:
-    """Members with their list's two leaders; short lists in full."""
-    met = postings.join(lists.filter("n > 1"), "key")
-    star = met.select("node", F.explode(F.array("first", "last")).alias("leader")).filter("node <> leader").select(*_ordered("node", "leader"))
-    short = met.filter(F.col("n").between(4, SHORT_LIST)).select("key", "node")
+def _met(postings: DataFrame) -> DataFrame:
+    """(key, node, n, weight): postings of lists with several members.
+
+    ``n`` is the list's length, ``weight`` the sum of the lengths of all lists
+    of the node: how often it meets another document.
+    """
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(postings.join(lists, "key"), "met")
+    return materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "n", "weight"), "weighted")
+
+
+def _leaders(members: DataFrame, by: list[str], count: int) -> DataFrame:
+    """The heaviest member in each of ``count`` fixed parts of every group ``by``.
+
+    Only maxima are aggregated, so a list of any length is combined map-side.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(count)).alias("part")
+    heaviest = F.max_by("node", F.struct("weight", "node")).alias("leader")
+    return members.groupBy(*by, part).agg(heaviest).drop("part")
+
+
+def _leader_pairs(met: DataFrame) -> DataFrame:
+    """Members with their list's leaders; short lists in full."""
+    star = met.join(_leaders(met, ["key"], LEADERS), "key").filter("node <> leader").select(*_ordered("node", "leader"))
+    short = met.filter(F.col("n").between(3, SHORT_LIST)).select("key", "node")
     full = short.alias("x").join(short.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return star.unionAll(full).distinct()
 
 
+def _main_pairs(split: DataFrame) -> DataFrame:
+    """Members of split lists outside the list's largest component, with its leaders.
+
+    ``split`` has (key, node, label, weight).
+    """
+    parts = split.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    sided = split.join(main, "key")
+    leaders = _leaders(sided.filter("label = main"), ["key"], MORE_LEADERS)
+    return sided.filter("label <> main").join(leaders, "key").select(*_ordered("node", "leader")).distinct()
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in ``MATCHES`` coordinates at least."""
     signs = classes.select("node", "sig")
@@ -281,14 +319,28 @@ def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int)
     known = materialize(apart.join(packed.mapInArrow(_bits(width), "node long, bits array<long>"), "node"), "bits")
     posted = materialize(first.join(known, "node").select("shingle", "node", "label", "n", "place", "bits"), "posted")
     main = posted.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
-    x = posted.join(main.filter("parts > 1").select("shingle", "main"), "shingle").filter("label <> main").alias("x")
-    y = posted.alias("y")
+    met = materialize(posted.join(main.filter("parts > 1").select("shingle", "main"), "shingle"), "met")
+    x, y = met.filter("label <> main").alias("x"), met.alias("y")
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     differ = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & (room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (differ <= _most_bits(percent))
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _split_lists(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, weight): the long lists whose members lie in several components."""
+    members = met.filter(F.col("n") > SHORT_LIST).join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "weight")
+    split = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    return members.join(split, "key")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links``."""
+    if links.isEmpty():
+        return labels
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -309,22 +361,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         "classes",
     )
     postings = materialize(post_prefixes(classes), "postings")
-    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
-    tested = materialize(_agreeing(_leader_pairs(postings, lists), classes), "pairs")
+    met = _met(postings)
+    tested = materialize(_agreeing(_leader_pairs(met), classes), "pairs")
     ends = tested.select(F.col("a").alias("node")).unionAll(tested.select(F.col("b").alias("node")))
     links = materialize(_confirmed(tested, _packed(ends, classes, docs, width), width, percent), "confirmed")
     labels = connected_components(links)
 
-    long_lists = postings.join(lists.filter(F.col("n") > SHORT_LIST).select("key"), "key")
-    in_lists = long_lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = in_lists.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    apart = materialize(in_lists.join(split, "key").select("node", "label").distinct(), "apart")
-    if not apart.isEmpty():
-        packed = _packed(apart, classes, docs, width)
-        fresh = materialize(_apart_pairs(apart, packed, width, percent).join(tested, ["a", "b"], "left_anti"), "fresh")
-        more = materialize(_confirmed(fresh, packed, width, percent), "confirmed")
-        if not more.isEmpty():
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
+    split = materialize(_split_lists(met, labels), "split")
+    if not split.isEmpty():
+        packed = _packed(split, classes, docs, width)
+        second = materialize(_agreeing(_main_pairs(split).join(tested, ["a", "b"], "left_anti"), classes), "pairs")
+        labels = _joined(labels, materialize(_confirmed(second, packed, width, percent), "confirmed"))
+        apart = materialize(_split_lists(met, labels).select("node", "label").distinct(), "apart")
+        if not apart.isEmpty():
+            packed = packed.join(apart.select("node"), "node", "left_semi")
+            third = materialize(_apart_pairs(apart, packed, width, percent).join(tested.unionAll(second), ["a", "b"], "left_anti"), "pairs")
+            labels = _joined(labels, materialize(_confirmed(third, packed, width, percent), "confirmed"))
 
     named = classes.join(labels, "node", "left").select("digest", "cid", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))

@@ -71,3 +71,42 @@ def test_stated_probabilities_of_a_miss():
     assert len(stated) == 2
     assert tail(minhash.COORDINATES, 0.75, range(minhash.MATCHES)) < stated[0]
     assert tail(places, 0.125, range(minhash._most_bits(75) + 1, places + 1)) < stated[1]
+
+
+def test_pairs_stay_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
+    words = [f"w{i}" for i in range(5000)]
+    counts, write = [], minhash.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counting)
+    per_document = []
+    for n in (300, 1200):
+        rng, rows = random.Random(5), []
+        base = [rng.choice(words) for _ in range(120)]
+        for i in range(n):
+            copy = list(base)
+            for _ in range(2):
+                copy[rng.randrange(120)] = rng.choice(words)
+            rows.append((i, " ".join(copy)))
+        counts.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert minhash.near_duplicates(df).filter("component_id <> 0").isEmpty()
+        per_document.append(sum(counts) / n)
+    assert per_document[1] <= per_document[0] * 1.1
+
+
+def test_group_that_straddles_the_threshold(spark):
+    rng, rows = random.Random(6), []
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(120)]
+    for i in range(150):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    assert got(spark, rows) == brute(rows)
