@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -24,17 +26,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK = 1_024
 
 
-def load_encoding(vocabulary: str, pattern: str = PATTERN):
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoding_of(vocabulary: bytes, pattern: str = PATTERN):
+    """The encoding of a vocabulary file's content."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _measure(vocabulary: str):
+def load_encoding(path: str, pattern: str = PATTERN):
+    return encoding_of(read_vocabulary(path), pattern)
+
+
+def _measure(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, seen = load_encoding(vocabulary), Counter()
+        encoding, seen = encoding_of(vocabulary.value), Counter()
         for batch in batches:
             seen.update(len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
@@ -44,7 +55,8 @@ def _measure(vocabulary: str):
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(length, n_docs): how many rows of ``docs`` have each encoded length; null texts have none."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_measure(os.fspath(vocabulary)), "length long, n_docs long")
+    content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(os.fspath(vocabulary)))
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_measure(content), "length long, n_docs long")
     return counted.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -57,7 +69,9 @@ def limit_totals(histogram: DataFrame) -> DataFrame:
     quantile (share of documents within the limit).
 
     Sums run within blocks of ``BLOCK`` lengths and over the blocks' totals, so
-    no task sees more than a block or the list of blocks.
+    no task sees more than a block or the list of blocks.  The list of blocks is
+    one row per ``BLOCK`` lengths up to the longest text, whatever the number of
+    documents.  ``histogram`` is read twice: pass a written table.
     """
     base = histogram.withColumns({"block": F.floor(F.col("length") / BLOCK), "n_tokens": F.col("length") * F.col("n_docs")})
     totals = base.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
@@ -90,9 +104,10 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The histogram of ``docs`` with its suffix sums; see ``limit_totals``.
 
     Null and empty texts have length 0.  Each row counts, repeated ones too;
-    an empty table gives no rows.  Other columns are ignored.
+    an empty table gives no rows.  Other columns are ignored.  ``vocabulary``
+    must be readable on the driver; executors get it by broadcast.
     """
-    return limit_totals(length_histogram(docs, vocabulary))
+    return limit_totals(materialize(length_histogram(docs, vocabulary), "histogram"))
 
 
 def at_limits(totals: DataFrame, limits: list[int]) -> DataFrame:
