@@ -101,6 +101,17 @@ def shingle_hashes(words: list[bytes], hashes: WordHashes, width: int = 5) -> np
         return mix64(out)
 
 
+def run_hashes(words: list[bytes], hashes: WordHashes, length: int) -> np.ndarray:
+    """A hash per run of ``length`` words, equal to that of the one shingle of so short a text."""
+    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    count = max(len(words) - length + 1, 0)
+    with np.errstate(over="ignore"):
+        out = np.full(count, length, np.uint64)
+        for j in range(length):
+            out += values[j : j + count] * PLACE[j]
+        return mix64(out)
+
+
 def column_bytes(batch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     import pyarrow as pa

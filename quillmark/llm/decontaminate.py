@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, mix64, shingle_hashes, split_words
+from .common import WordHashes, column_bytes, mix64, run_hashes, shingle_hashes, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -97,6 +97,11 @@ class ItemIndex:
                 prints.append(simhash_windows(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), len(words))[0])
         self.prints = np.array(prints, np.uint64)
         n = len(self.ids)
+        # Items under WIDTH words are one shingle, found in windows of their own length.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, length in enumerate(self.lengths):
+            if length < WIDTH:
+                self.short.setdefault(length, {}).setdefault(int(self.shingles[k][0]), []).append(k)
         self.anchors, holders = np.unique(np.concatenate([*map(np.unique, self.shingles), np.empty(0, np.uint64)]), return_counts=True)
         self.rarity = rarity or Rarity(n, self.anchors[holders > 1], holders[holders > 1])
         self.anchor_weights = self.rarity.weights(self.anchors)
@@ -180,11 +185,22 @@ class ItemIndex:
     def _reaches(common: np.ndarray, union: np.ndarray) -> np.ndarray:
         return 4 * common >= 3 * union
 
+    def within(self, words: list[bytes], known: WordHashes) -> dict[int, float]:
+        """The items under ``WIDTH`` words that a document holds as a run of words; these agree as a whole, similarity 1."""
+        out = {}
+        for length, items in self.short.items():
+            if length <= len(words):
+                runs = run_hashes(words, known, length)
+                for value in np.unique(runs[np.isin(runs, np.array(list(items), np.uint64))]).tolist():
+                    out |= dict.fromkeys(items[value], 1.0)
+        return out
+
     def best(self, words: list[bytes], known: WordHashes) -> tuple[int | None, float, int]:
         """(best item, its similarity, items at or above the threshold) of one document."""
         shingles = shingle_hashes(words, known, WIDTH)
         able = self.reachable(shingles, len(words)) if len(shingles) and self.ids else {}
-        if not able:
+        short = self.within(words, known) if self.short else {}
+        if not able and not short:
             return None, 0.0, 0
         n = len(words)
         near: dict[int, np.ndarray] = {}
@@ -192,7 +208,7 @@ class ItemIndex:
             length = min(self.lengths[k], n)
             near.setdefault(length, np.zeros(n - length + 1, bool))[starts] = True
         values = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        found: dict[int, float] = {}
+        found: dict[int, float] = dict(short)
 
         def verify(k: int, start: int) -> None:
             width = max(1, min(self.lengths[k], n) - WIDTH + 1)
@@ -289,8 +305,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     item_id: the most similar item (ties: the smallest id) at or above the
     threshold, else null with similarity 0.  Null, empty and wordless texts are
-    clean.  An item or document under five words is one shingle, so it must
-    agree as a whole with the other side.  Null items are left out; an empty
+    clean.  An item under five words is one shingle and must stand in the
+    document as it is, word by word; a document under five words must agree as a
+    whole with an item of its length or hold a shorter one.  Null items are left out; an empty
     benchmark leaves all documents clean.  Repeated rows get equal verdicts,
     other columns are ignored.
     """

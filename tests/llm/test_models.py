@@ -218,11 +218,47 @@ def test_contamination_matches_brute_force(spark):
 def test_contamination_edge_cases(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "A b  c"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "x")], KIND)
-    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()) == [(0, False), (1, True), (2, False), (2, False)]
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()) == [(0, False), (1, True), (2, True), (2, True)]
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_inside_documents(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "Solo"), (3, "p q r s"), (4, "one  TWO")], "item_id long, text string")
+    texts = {1: "x one two y z w v", 2: "two one x y z w", 3: "one x two", 4: "a b solo", 5: "p q r", 6: "z p q r s z z z", 7: "solo one two"}
+    got = {r["doc_id"]: (r["item_id"], r["n_items"]) for r in decontaminate.contamination(spark.createDataFrame(list(texts.items()), KIND), bench).collect()}
+    assert got == {1: (1, 2), 2: (None, 0), 3: (None, 0), 4: (2, 1), 5: (None, 0), 6: (3, 1), 7: (1, 3)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(spark.createDataFrame(list(texts.items()), KIND), bench).collect()} == {2, 3, 5}
+
+
+def jaccard_of_strings(item, window, holders, n):
+    """Weighted Jaccard by word tuples and plain floats, apart from the operator's own code."""
+    grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4)))
+    a, b = grams(item), grams(window)
+    weight = lambda s: math.log(1 + n / max(1, holders[s]))
+    union = sum(weight(s) * max(a[s], b[s]) for s in a.keys() | b.keys())
+    return sum(weight(s) * min(a[s], b[s]) for s in a.keys() & b.keys()) / union
+
+
+def test_contamination_against_an_independent_similarity(spark):
+    rng = random.Random(21)
+    shared = item(rng, 20)
+    items = {i: (shared if i < 4 else []) + item(rng, rng.choice([6, 14, 33])) for i in range(20)}
+    holders = Counter(s for own in items.values() for s in {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))})
+    docs = {}
+    for i in range(80):
+        own = list(items[rng.randrange(20)])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(9)}"
+        around = item(rng, 40)
+        docs[i] = around[:15] + own + around[15:]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.contamination(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], KIND), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    for i, words in docs.items():
+        best = max(jaccard_of_strings(own, words[s : s + len(own)], holders, len(items)) for own in items.values() for s in range(len(words) - len(own) + 1))
+        assert abs(best - 0.75) < 1e-9 or got[i] == (best > 0.75), (i, best)
+    assert 0 < sum(got.values()) < 80
+
+
 def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
