@@ -112,6 +112,26 @@ def run_hashes(words: list[bytes], hashes: WordHashes, length: int) -> np.ndarra
         return mix64(out)
 
 
+def pieces(batches, rows: int = 512):
+    """Slices of Arrow batches of texts, so that few rows at a time become Python objects.
+
+    Workers outlive their task; at its end what it freed goes back to the system.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def column_bytes(batch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     import pyarrow as pa

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, mix64, run_hashes, shingle_hashes, split_words
+from .common import WordHashes, column_bytes, mix64, pieces, run_hashes, shingle_hashes, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -241,7 +241,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _held_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each item's distinct shingles, and a row without shingle for the item itself."""
     known = WordHashes()
-    for batch in batches:
+    for batch in pieces(batches):
         for text in column_bytes(batch, "text"):
             own = np.unique(shingle_hashes(split_words(text), known, WIDTH))
             if len(own):
@@ -279,7 +279,7 @@ def _verdicts(index, texts: list[bytes | None], known: WordHashes) -> list[tuple
 def _report(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             old = zip(*(batch.column(c).to_pylist() for c in ("item_id", "similarity", "n_items")), strict=True)
             rows = []
             for (item, high, n), (item2, high2, n2) in zip(old, _verdicts(index, column_bytes(batch, "text"), known), strict=True):
@@ -294,7 +294,7 @@ def _report(index):
 def _keep(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([n == 0 for _, _, n in _verdicts(index, column_bytes(batch, "text"), known)], pa.bool_()))
 
     return run

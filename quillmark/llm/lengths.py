@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this byte-level vocabulary (fixed value).
@@ -46,7 +46,7 @@ def load_encoding(path: str, pattern: str = PATTERN):
 def _measure(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, seen = encoding_of(vocabulary.value), Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             seen.update(len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
 

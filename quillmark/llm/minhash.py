@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, materialize, mix64, shingle_hashes, split_words
+from .common import WordHashes, column_bytes, materialize, mix64, pieces, shingle_hashes, split_words
 from .components import connected_components
 
 COORDINATES = 40
@@ -89,7 +89,7 @@ def _sign(width: int, chunk: int = 500_000):
                 ["doc_id", "n_shingles", "digest", "sig"],
             )
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, sets, size = [], [], 0
             for i, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
                 ids.append(i)
@@ -144,7 +144,7 @@ def _pack(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pack = WordHashes(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, texts = [], []
             for node, digest, text in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), column_bytes(batch, "text"), strict=True):
                 words = split_words(text)
@@ -164,7 +164,7 @@ def _confirm(width: int, percent: int):
         def whole_set(packed):
             return np.unique(shingle_hashes(unpack.decompress(packed).split(), known, width))
 
-        for batch in batches:
+        for batch in pieces(batches):
             a, b, keep = batch.column("a"), batch.column("b"), []
             for x, px, py in zip(a.to_pylist(), batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
                 if x != last:
@@ -267,7 +267,7 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) ->
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = WordHashes(), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 own = np.unique(shingle_hashes(unpack.decompress(packed).split(), known, width)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(np.full(len(own), len(own), np.int64)), pa.array(own)], ["node", "n", "shingle"])
@@ -282,7 +282,7 @@ def _bits(width: int):
         known, unpack = WordHashes(), zstandard.ZstdDecompressor()
         places = np.random.default_rng(13).integers(0, 2**63, (2, SKETCH_PLACES), dtype=np.uint64)
         multiply = places[1] * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, out = [], []
             for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 own = np.unique(shingle_hashes(unpack.decompress(packed).split(), known, width))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc_mod, materialize
+from .common import id_crc_mod, materialize, pieces
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -91,7 +91,7 @@ def features(texts: list[str | None], slot: np.ndarray | None) -> Iterator[tuple
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for batch in batches:
+    for batch in pieces(batches):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
         for first, _, of, cell in features(batch.column("text").to_pylist(), None):
             for label in (0, 1):
@@ -102,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(slot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             held = [[] for _ in range(batch.num_rows)]
             for first, count, of, feature in features(batch.column("text").to_pylist(), slot.value):
                 for i, part in enumerate(np.split(feature, np.searchsorted(of, np.arange(1, count)))):
@@ -175,7 +175,7 @@ def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(batch.column("text").to_pylist(), model.value))], ["doc_id", "score"])
 
     return run
@@ -183,7 +183,7 @@ def _score(model):
 
 def _keep(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(score_texts(batch.column("text").to_pylist(), model.value) < threshold))
 
     return run
