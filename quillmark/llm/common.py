@@ -112,6 +112,21 @@ def run_hashes(words: list[bytes], hashes: WordHashes, length: int) -> np.ndarra
         return mix64(out)
 
 
+#: Rows of an Arrow batch at most where rows hold whole texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger.
+
+    Executors hold a batch of whole texts several times, outside the heap too.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def pieces(batches, rows: int = 512):
     """Slices of Arrow batches of texts, so that few rows at a time become Python objects.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, mix64, pieces, run_hashes, shingle_hashes, split_words
+from .common import WordHashes, column_bytes, mix64, pieces, run_hashes, shingle_hashes, small_batches, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -315,7 +315,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_items"))
     schema = "doc_id long, text string, item_id long, similarity double, n_items long"
     for index in _blocks(benchmark):
-        out = out.mapInArrow(_report(spark.sparkContext.broadcast(index)), schema)
+        out = out.transform(small_batches).mapInArrow(_report(spark.sparkContext.broadcast(index)), schema)
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", F.round("similarity", 9).alias("similarity"), "n_items")
 
 
@@ -323,5 +323,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
     out = docs
     for index in _blocks(benchmark):
-        out = out.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        out = out.transform(small_batches).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return out

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, small_batches
 
 #: Ranges of ids per shuffle partition when neighbours are brought together.
 RANGES_PER_PARTITION = 6
@@ -49,7 +49,7 @@ def _digest_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) per row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_digest_all, "doc_id long, digest string")
+    return slim.transform(small_batches).mapInArrow(_digest_all, "doc_id long, digest string")
 
 
 def edited(text: str, following: str) -> str:
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             forms = [canonical(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(f) for f in forms], pa.string()), pa.array([f.encode("utf-8", "surrogatepass") for f in forms], pa.binary())], ["doc_id", "digest", "bytes"])
 
-    held = slim.mapInArrow(run, "doc_id long, digest string, bytes binary")
+    held = slim.transform(small_batches).mapInArrow(run, "doc_id long, digest string, bytes binary")
     return held.join(variants(held), ["digest", "bytes"], "left").select("doc_id", F.concat("digest", F.coalesce("suffix", F.lit(""))).alias("fingerprint"))
 
 
@@ -187,7 +187,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     marks = known.join(shared, "digest", "left_semi").select(
         "range", F.lit(0).alias("border"), "doc_id", F.lit(_MARK).alias("kind"), F.lit(None).cast("binary").alias("packed")
     )
-    texts = slim.mapInArrow(_deal(bounds, broadcast(above)), "range int, border int, doc_id long, kind int, packed binary")
+    texts = slim.transform(small_batches).mapInArrow(_deal(bounds, broadcast(above)), "range int, border int, doc_id long, kind int, packed binary")
     dealt = texts.unionByName(marks.distinct()).repartition(parts, "range").sortWithinPartitions(F.asc("range"), F.asc("border"), F.desc_nulls_last("doc_id"), F.asc("kind"), F.asc("packed"))
     walked = materialize(dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, next_digest string, bytes binary"), "walked")
     suffix = variants(walked)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import materialize, pieces, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this byte-level vocabulary (fixed value).
@@ -56,7 +56,7 @@ def _measure(vocabulary):
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(length, n_docs): how many rows of ``docs`` have each encoded length; null texts have none."""
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(os.fspath(vocabulary)))
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_measure(content), "length long, n_docs long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(_measure(content), "length long, n_docs long")
     return counted.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

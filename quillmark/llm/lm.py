@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_crc_mod, materialize, split_words
+from .common import column_bytes, id_crc_mod, materialize, small_batches, split_words
 
 CLASSES = 1_024
 TAIL_CLASSES = 64
@@ -62,7 +62,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): how often each token, the end included, occurs in ``docs``."""
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(_tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def _pairs(own: dict[bytes, int]):
@@ -233,7 +233,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     shared_own = broadcast(own)
 
     # At most CLASSES squared pairs reach the driver.
-    found = training.select("text").mapInArrow(_pairs(shared_own), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = training.select("text").transform(small_batches).mapInArrow(_pairs(shared_own), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     del found
@@ -246,7 +246,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     index = {w: k for k, w in enumerate(words)} | {END: len(words)}
     classes = np.array([own.get(w) or tail_class(w) for w in words] + [0], np.int64)
     log_count = np.log10(np.append(times, float(ends)) + 1)
-    scored = slim.mapInArrow(
+    scored = slim.transform(small_batches).mapInArrow(
         _score(broadcast((index, classes, log_count)), broadcast(model), broadcast(tail_log)),
         "doc_id long, n_tokens long, n_held long, base double, score double, rare array<binary>, times array<int>",
     )

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, materialize, mix64, pieces, shingle_hashes, split_words
+from .common import WordHashes, column_bytes, materialize, mix64, pieces, shingle_hashes, small_batches, split_words
 from .components import connected_components
 
 COORDINATES = 40
@@ -180,7 +180,7 @@ def _confirm(width: int, percent: int):
 
 def sign_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) per row; digest and sig null without words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(
         _sign(width), "doc_id long, n_shingles long, digest binary, sig array<int>"
     )
 
@@ -255,13 +255,13 @@ def _packed(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -
     """(node, packed): the words of one document of each class in ``nodes``."""
     wanted = classes.join(nodes.select("node").distinct(), "node").select("node", "digest", "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text")).join(wanted, "cid")
-    return materialize(texts.select("node", "digest", "text").mapInArrow(_pack(width), "node long, packed binary").dropDuplicates(["node"]), "packed")
+    return materialize(texts.select("node", "digest", "text").transform(small_batches).mapInArrow(_pack(width), "node long, packed binary").dropDuplicates(["node"]), "packed")
 
 
 def _confirmed(pairs: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among ``pairs``, by the full sets of one document of each class."""
     both = pairs.join(packed.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").join(packed.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-    return both.select("a", "b", "pa", "pb").mapInArrow(_confirm(width, percent), "a long, b long")
+    return both.select("a", "b", "pa", "pb").transform(small_batches).mapInArrow(_confirm(width, percent), "a long, b long")
 
 
 def _shingles(width: int):
@@ -312,11 +312,11 @@ def _apart_pairs(apart: DataFrame, packed: DataFrame, width: int, percent: int)
     first shared one, the places left bound the overlap from above.  This leaves
     none out; the sketches, compared at last, may lose a pair as ``_most_bits`` says.
     """
-    rows = materialize(packed.mapInArrow(_shingles(width), "node long, n long, shingle long"), "shingles")
+    rows = materialize(packed.transform(small_batches).mapInArrow(_shingles(width), "node long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
     first = rows.join(often, "shingle").withColumn("place", place).filter((F.col("n") - F.col("place")) * 100 >= F.col("n") * percent).filter("often > 1")
-    known = materialize(apart.join(packed.mapInArrow(_bits(width), "node long, bits array<long>"), "node"), "bits")
+    known = materialize(apart.join(packed.transform(small_batches).mapInArrow(_bits(width), "node long, bits array<long>"), "node"), "bits")
     posted = materialize(first.join(known, "node").select("shingle", "node", "label", "n", "place", "bits"), "posted")
     main = posted.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
     met = materialize(posted.join(main.filter("parts > 1").select("shingle", "main"), "shingle"), "met")

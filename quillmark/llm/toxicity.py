@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc_mod, materialize, pieces
+from .common import id_crc_mod, materialize, pieces, small_batches
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     # The ids are ``rows`` at most, so the broadcast is bounded.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     sample = materialize(found.repartition(SAMPLE_PARTITIONS), "labelled")
-    counts = materialize(sample.mapInArrow(_count, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
+    counts = materialize(sample.transform(small_batches).mapInArrow(_count, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     clean, toxic, cells = counts.agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
     if not clean or not toxic:
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(FEATURES).toArrow()
     slot[best["cell"].to_numpy()] = np.arange(len(best))
     ratios = best["ratio"].to_numpy()
-    held = sample.mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toArrow()
+    held = sample.transform(small_batches).mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toArrow()
     lists = held["features"].combine_chunks()
     rows = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
     weight, bias = _fit(rows, held["toxic"].to_numpy().astype(float), ratios)
@@ -197,11 +197,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     table gives no rows.  Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(small_batches).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", (id_crc_mod(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_keep(model, threshold), docs.schema)
+    return docs.transform(small_batches).mapInArrow(_keep(model, threshold), docs.schema)
