@@ -19,7 +19,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(read_table(spark, sf_dir, "documents"))
+    return pii.replace_personal_data(read_table(spark, sf_dir, "documents"), key="surrogate-key-1")
 
 
 def op4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
