@@ -5,6 +5,9 @@ import random
 import warnings
 import zlib
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from quillmark.llm import decontaminate, lm, mixing, toxicity
 from quillmark.llm.common import WordHashes, shingle_hashes
@@ -91,9 +94,82 @@ def test_language_model_contract(spark):
 def test_language_model_is_normalised():
     import numpy as np
 
-    pairs = np.random.default_rng(0).integers(0, 9, (30, 30))
-    model = lm.train_nce(pairs, steps=60)
-    assert np.allclose(np.exp(model.log_probabilities(np.arange(30))).sum(axis=1), 1, atol=1e-4)
+    contexts = np.array([(a, b) for a in range(6) for b in range(6)])
+    pairs = np.random.default_rng(0).integers(0, 9, (36, 30))
+    model = lm.train_nce(pairs, contexts, steps=60)
+    assert model.combine.shape[0] == 2
+    assert np.allclose(np.exp(model.log_probabilities(contexts)).sum(axis=1), 1, atol=1e-4)
+    starts = np.array([0, 7, 19])
+    runs = np.exp(lm.log_normalised(model.scores(contexts), starts))
+    assert np.allclose(np.add.reduceat(runs, starts, axis=1), 1, atol=1e-4)
+
+
+def spoken(n=300, seed=8):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        own = [f"{'xyz'[i % 3]}{k}{'abc'[i % 3]}" for k in range(40)]
+        rows.append((i, " ".join(rng.choice([*own, "common", f"rare{rng.randrange(900)}{'qrs'[i % 3]}"]) for _ in range(rng.choice([0, 5, 60])))))
+    return rows
+
+
+def test_probabilities_of_all_next_words_add_up_to_one(spark):
+    docs = spark.createDataFrame(spoken(), KIND)
+    counts = lm.word_counts(docs)
+    model, _, _, _ = lm.train(docs, counts)
+    seen = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    rare = [w for w in seen if w != lm.END and w not in model.units.index]
+    assert len(model.units.index) > 100 and len(rare) > 100
+    # one unseen word for each class that endings have
+    tails = {int(model.class_of[k]) for k in range(len(model.units.index), model.units.end)}
+    for history in ([], [b"x1a"], [b"x1a", b"common"], [b"y3b", b"unheard"]):
+        logs = [0.0] * (len(history) + 1)
+
+        def probability(word, count):
+            from_start = model.log10_tokens([*history, word], lm.np.array([*logs[:-1], math.log10(count + 1), 0.0]))
+            return 10 ** from_start[len(history)]
+
+        total = sum(probability(w, seen[w]) for w in [*model.units.index, *rare])
+        total += 10 ** model.log10_tokens(history, lm.np.array(logs))[-1]
+        c = model.class_of[[model.units.end] * 2 + model.units.numbers(history)]
+        for kind in tails:
+            total += 10 ** (float(model.next_class[(c[-2] * lm.CLASSES + c[-1]) * lm.CLASSES + kind]) - model.tail[kind])
+        assert math.isclose(total, 1, abs_tol=1e-3), total
+
+
+def test_scores_follow_the_model_word_by_word(spark):
+    rows = spoken(120) + [(900, "x1a unheard common"), (901, None)]
+    docs = spark.createDataFrame(rows, KIND)
+    training = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2")
+    counts = lm.word_counts(training)
+    model, _, _, _ = lm.train(training, counts)
+    seen = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.language_model_scores(docs).collect()}
+    size = Counter()
+    for w, c in seen.items():
+        if w != lm.END and w not in model.units.index:
+            size[int(model.class_of[model.units.numbers([w])[0]])] += c + 1
+    for i, text in rows:
+        want, past = 0.0, [0, 0]
+        for w in [*(text or "").encode().lower().split(), lm.END]:
+            unit = model.units.end if w == lm.END else model.units.numbers([w])[0]
+            kind = int(model.class_of[unit])
+            want += float(model.next_class[(past[-2] * lm.CLASSES + past[-1]) * lm.CLASSES + kind])
+            if w in model.units.index:
+                want += float(model.next_word[past[-1], unit])
+            elif w != lm.END:
+                want += math.log10((seen.get(w, 0) + 1) / (size[kind] + 1))
+            past.append(kind)
+        assert math.isclose(got[i], want, rel_tol=1e-6), i
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_held_out_texts_are_likelier_than_by_unigrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in lm.language_model_scores(docs).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.25 * tokens
+    assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
 
 
 def test_language_model_of_nothing(spark):
