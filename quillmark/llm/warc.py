@@ -1,60 +1,70 @@
 """WARC archives with revisit records for repeated payloads.
 
 Only headers (page id, URL, digest, length) are shuffled by payload digest to
-find each payload's first page; payloads stay with their rows.  Archives are
-written by Spark's own text sink, whose line separator is the blank lines that
-end a WARC record, so any Hadoop file system works and a lost executor's files
-are replaced by the commit protocol.  Each archive file is one gzip member of
-bounded record count.
+find each payload's first page.  The pages are then joined with the revisits
+found, which shuffles their payloads once; a revisit's payload is dropped after
+that.  Archives are written by Spark's own text sink, whose line separator is
+the blank lines that end a WARC record, so any Hadoop file system works and a
+lost executor's files are replaced by the commit protocol.  Each archive file is
+one gzip member, so records can't be read by offset; its records are so many
+that their payloads stay within ``FILE_BYTES`` (a larger one has its own file).
+Archives of others, with a gzip member per record, are read as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_scratch_path
 
 #: Payloads under this many bytes are always stored.
 MIN_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 2_000
+#: Bytes of payloads in one file at most, unless one payload is larger.
+FILE_BYTES = 64 << 20
+#: Payloads up to a size, and how many records of that size a file has.
+BANDS = tuple((size, FILE_BYTES // size) for size in (32 << 10, 1 << 20, FILE_BYTES))
 #: Fixed date of the fresh headers, so that a repeated run writes equal bytes.
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
+def _url() -> Column:
+    return F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20]", "%20")
+
+
 def resolve_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, refers_to) per row of ``pages``.
+    """(page_id, payload_bytes, payload_digest, refers_to, refers_to_url) per row of ``pages``.
 
-    refers_to is set where the payload has ``MIN_REVISIT_BYTES`` or more and a
+    refers_to, with the URL of that page, is set where the payload has ``MIN_REVISIT_BYTES`` or more and a
     smaller page_id has the same payload.  Minima are combined map-side, so a
     payload that a third of all pages share costs one row per task.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
-    first = heads.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first")
-    later = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return heads.join(first, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", later.alias("refers_to"))
+    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), _url().alias("url"))
+    first = heads.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("named"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first", F.col("named.url").alias("first_url"))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return heads.join(first, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_to_url"))
 
 
-def _record_id(page_id) -> F.Column:
+def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """One column ``record``: each page's WARC record without the blank lines at its end."""
+    """(record, n): each page's WARC record without the blank lines at its end, and its payload's bytes."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     n = F.octet_length(html).cast("long")
     digest = F.sha2(html.cast("binary"), 256)
-    revisits = resolve_revisits(pages).filter("refers_to is not null").select("page_id", "payload_digest", "refers_to").distinct()
-    url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20]", "%20")
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), n.alias("n"), digest.alias("digest"))
+    revisits = resolve_revisits(pages).filter("refers_to is not null").select("page_id", "payload_digest", "refers_to", "refers_to_url").distinct()
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), _url().alias("url"), html.alias("html"), n.alias("n"), digest.alias("digest"))
     known = slim.join(revisits.withColumnRenamed("page_id", "later"), F.col("page_id").eqNullSafe(F.col("later")) & (F.col("digest") == F.col("payload_digest")), "left")
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
@@ -68,17 +78,28 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.col("url"),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"),
         F.col("digest"),
-        F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("refers_to")))).otherwise(F.lit("")),
+        F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit(f"{CRLF}WARC-Refers-To-Target-URI: "), F.col("refers_to_url"), F.lit(f"{CRLF}WARC-Refers-To-Date: {WARC_DATE}"))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(CRLF * 2),
     )
-    return known.select(F.concat(head, block).alias("record"))
+    return known.select(F.concat(head, block).alias("record"), "n")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped archives under ``path``."""
-    warc_records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write ``pages`` (page_id, url, html) as gzipped archives under ``path``.
+
+    Payloads are written band by band of their size, so that the number of
+    records bounds the bytes of a file.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    longest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    records, low = warc_records(pages), -1
+    for size, count in BANDS:
+        own = records.filter((F.col("n") > low) & ((F.col("n") <= size) if size < BANDS[-1][0] else F.lit(True)))
+        if low < 0 or longest > low:
+            own.select("record").write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        low = size
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -97,9 +118,23 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The content of an archive file: plain, or each gzip member one after the other."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data:
+        unpack = zlib.decompressobj(31)
+        out = unpack.decompress(data)
+        if not unpack.eof:
+            raise ValueError("a gzip member is cut short")
+        yield out
+        data = unpack.unused_data.lstrip(b"\0")
+
+
 def _number(record_id: str | None) -> int | None:
-    value = record_id.removeprefix("<urn:page:").removesuffix(">") if record_id else "none"
-    return None if value == "none" else int(value)
+    value = record_id.removeprefix("<urn:page:").removesuffix(">") if record_id else ""
+    return int(value) if value.lstrip("-").isdecimal() else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +143,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows, held = [], 0
-            for headers, block in parse_warc(zlib.decompress(content.as_py(), 47)):
+            for headers, block in (r for member in members(content.as_py()) for r in parse_warc(member)):
+                if headers["warc-type"] not in ("response", "revisit"):
+                    continue
                 http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(http.rpartition(b"Content-Length: ")[2])
-                digest = headers["warc-payload-digest"].removeprefix("sha256:")
                 again = headers["warc-type"] == "revisit"
+                stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+                size = int(stated[1]) if stated else None if again else len(payload)
+                digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") or (None if again else hashlib.sha256(payload).hexdigest())
                 if not again and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                rows.append((_number(headers["warc-record-id"]), headers["warc-target-uri"], headers["warc-type"], size, digest, _number(headers.get("warc-refers-to")), None if again else payload))
+                rows.append((_number(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], size, digest, _number(headers.get("warc-refers-to")), None if again else payload))
                 held += len(payload)
                 if held > 16_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -128,7 +166,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) per record.
 
     Payloads are checked against their digests; a revisit's payload is null
-    and is found at the response that ``refers_to`` names.
+    and is found at the response that ``refers_to`` names.  Other records are
+    left out; page_id is null where the record's id is not of this module.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

@@ -1,5 +1,6 @@
 """Operators with exact answers, against brute force: fingerprints, lengths, archives, shards."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -115,6 +116,37 @@ def test_archive_files_hold_the_payloads(spark, tmp_path):
         list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
 
 
+def record(kind, i, payload):
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n%s" % (len(payload), payload)
+    digest = hashlib.sha256(payload).hexdigest()
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_archives_with_a_member_per_record(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record("warcinfo" if i == 0 else "response", i, b"payload %d" % i)) for i in range(6)))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == [(i, b"payload %d" % i) for i in range(1, 6)]
+    cut = gzip.compress(b"x" * 100)[:-9]
+    with pytest.raises(ValueError):
+        list(warc.members(cut))
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BANDS", ((1000, 50), (10_000, 5), (50_000, 1)))
+    rows = [(i, "u", f"{i:04}" * 100) for i in range(120)] + [(1000 + i, "u", f"{i:04}" * 2000) for i in range(12)] + [(2000 + i, "u", f"{i:04}" * 20_000) for i in range(3)]
+    warc.write_warc(spark.createDataFrame(rows, PAGES), f"{tmp_path}/w")
+    sizes = [[len(b) for _, b in warc.parse_warc(gzip.decompress(f.read_bytes()))] for f in (tmp_path / "w").glob("*.gz") if gzip.decompress(f.read_bytes())]
+    assert all(sum(s) < 60_000 or len(s) == 1 for s in sizes)
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, f"{tmp_path}/w").collect()) == [r[0] for r in rows]
+
+
+def test_revisits_name_the_url_of_the_response(spark, tmp_path):
+    rows = [(2, "http://first", "p" * 150), (7, "http://again", "p" * 150), (None, "http://none", "p" * 150)]
+    got = warc.warc_records(spark.createDataFrame(rows, PAGES)).collect()
+    again = [r["record"] for r in got if "WARC-Type: revisit" in r["record"]]
+    assert len(again) == 2 and all("WARC-Refers-To: <urn:page:2>\r\nWARC-Refers-To-Target-URI: http://first\r\n" in r for r in again)
+
+
 def test_archive_edge_cases(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
     rows = [(1, "u", "z" * 100), (1, "u", "z" * 100), (None, "u", "z" * 100)]
