@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens (words) are counted per cell of source, language and topic.  The cell
-weights are raked in turn to the target marginals until they settle; a
-document's keep probability is its cell's factor, scaled so that the largest
-factor among the cells with tokens is 1.  Documents are then sampled by a uniform number derived from the
+weights are raked in turn to the target marginals, ``SWEEPS`` times; a document's
+keep probability is its cell's factor, scaled so that the largest factor among
+the cells with tokens is 1.  Documents are then sampled by a uniform number derived from the
 id, so a run can be repeated and each document is decided on its own.
 
 Every category is raked by itself.  A table of at most ``MAX_CELLS`` cells is
@@ -220,10 +220,14 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _described(docs: DataFrame) -> dict[str, Column]:
+    """What the mix needs of each row: its categories and its number of tokens."""
+    return _categories(docs) | {"n_tokens": count_tokens(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+
+
 def _profile(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    values = [v.alias(d) for d, v in _categories(docs).items()]
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *values, count_tokens(text).alias("n_tokens")), "profile")
+    values = [v.alias(d) for d, v in _described(docs).items()]
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *values), "profile")
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -241,8 +245,17 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, that the mix keeps."""
-    weights = fit_mix(_profile(docs), targets).select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), F.col("weight").alias("_mix_weight"))
-    keyed = docs.select("*", *(v.alias(f"_mix_{d}") for d, v in _categories(docs).items()))
-    kept = keyed.join(weights, [f"_mix_{d}" for d in DIMENSIONS]).filter(uniform(F.col("doc_id")) < _probability(F.col("_mix_weight")))
-    return kept.drop("_mix_weight", *(f"_mix_{d}" for d in DIMENSIONS))
+    """The rows of ``docs``, all columns, that the mix keeps; see ``mixed``.
+
+    Topics and tokens are worked out once and written beside the rows, so the
+    texts aren't scanned again to pick the sample.
+    """
+    mix = "_mix"
+    while mix in docs.columns:
+        mix += "_"
+    keyed = materialize(docs.select("*", F.struct(*(v.alias(d) for d, v in _described(docs).items())).alias(mix)), "described")
+    weights = fit_mix(keyed.select(f"{mix}.*"), targets).select(F.struct(*DIMENSIONS).alias(f"{mix}_cell"), F.col("weight").alias(f"{mix}_weight"))
+    cell = F.struct(*(F.col(f"{mix}.{d}").alias(d) for d in DIMENSIONS))
+    placed = keyed.withColumn(f"{mix}_cell", cell).join(weights, f"{mix}_cell")
+    chosen = uniform(F.col("doc_id")) < _probability(F.col(f"{mix}_weight"))
+    return placed.filter(chosen).select(*docs.columns)

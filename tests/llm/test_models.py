@@ -212,6 +212,15 @@ def test_mix_edge_cases(spark):
     assert [r["probability"] for r in mixing.mixed(spark.createDataFrame([(1, None, "en", "a", 0)] * 2, MIX)).collect()] == [1.0, 1.0]
 
 
+def test_mix_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, "tok " * 20_000, "en", "a", 0), (2, None, None, None, None), (2, "", "en", "a", 0), (None, "tok", "en", "b", 1)]
+    df = spark.createDataFrame(rows, MIX).selectExpr("*", "1 _mix", "2 weight", "3 n_tokens", "4 u", "5 _mix_cell")
+    kept = mixing.sample_mix(df)
+    want = sorted((r["doc_id"] or 0) for r in mixing.mixed(df).collect() if r["kept"])
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == want
+    assert mixing.sample_mix(df.limit(0)).count() == 0
+
+
 def many_sources(n=1500):
     """One source with a third of the tokens and ``n`` equal small ones."""
     big = [(i, "tok " * n, "en", "big", 0) for i in range(2)]
