@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textindex import build_bm25, build_tfidf, bm25_scores, char_grams, tfidf_scores, word_grams
+from .textindex import Bm25Index, TfidfIndex, bm25_scores, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
 
 
 @dataclass(frozen=True)
@@ -144,20 +144,34 @@ def gate(queries: DataFrame, ranked: DataFrame, profile: Profile) -> DataFrame:
     return shown.withColumns(blank).drop("leader")
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, profile: str = "hybrid", dense: DataFrame | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """End to end for a batch of ``queries`` (query_id, text) over ``docs`` (doc_id, text).
+@dataclass(frozen=True)
+class Indexes:
+    """The indexes of a corpus that the arms of a profile read."""
+
+    word: TfidfIndex | None = None
+    char: TfidfIndex | None = None
+    bm25: Bm25Index | None = None
+
+
+def build_indexes(docs: DataFrame, path: str, profile: str = "hybrid", dense: bool = False) -> Indexes:
+    """Write the indexes of ``docs`` (doc_id, text) that ``profile`` needs under ``path``; ``dense``: a vector search is the dense arm."""
+    char = None if dense else build_tfidf(docs, f"{path}/char", char_grams)
+    if profile == "production":
+        return Indexes(char=char, bm25=build_bm25(docs, f"{path}/bm25"))
+    return Indexes(word=build_tfidf(docs, f"{path}/word", word_grams), char=char)
+
+
+def retrieve(indexes: Indexes, queries: DataFrame, profile: str = "hybrid", dense: DataFrame | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """End to end for a batch of ``queries`` (query_id, text) over an indexed corpus.
 
     The production configuration takes ``dense`` (query_id, doc_id, score, rank)
     from a vector search and BM25 as its sparse arm; the others use character
     and word TF-IDF.
     """
     p = PROFILES[profile]
-    if profile == "production":
-        sparse = top_k(bm25_scores(build_bm25(docs), queries), p.arm_k)
-    else:
-        sparse = top_k(tfidf_scores(build_tfidf(docs, word_grams), queries), p.arm_k)
+    sparse = top_k(bm25_scores(indexes.bm25, queries) if profile == "production" else tfidf_scores(indexes.word, queries), p.arm_k)
     if dense is None:
-        dense = top_k(tfidf_scores(build_tfidf(docs, char_grams), queries), p.arm_k)
+        dense = top_k(tfidf_scores(indexes.char, queries), p.arm_k)
     fused = fuse(dense, sparse, p.rrf_k)
     ranked = rerank(fused, scorer, p.rerank_k or p.top_k)
     return with_confidence(ranked.filter(F.col("position") <= p.top_k), p)

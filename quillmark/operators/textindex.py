@@ -45,10 +45,40 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 Analyzer = Callable[[Column], Column]
 
+#: Rows of query terms that are broadcast at most; a larger batch of queries is joined by shuffle.
+BROADCAST_TERMS = 2_000_000
+
+
+def padded_grams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """The character n-grams of one word, padded with a blank on each side."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.flatten(
+        F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(padded))), lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, n)))
+    )
+
 
 def term_counts(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf): occurrences of each term in each document."""
-    return docs.select(key, F.explode(analyzer(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): occurrences of each term in each document.
+
+    The texts are dealt by key first, so counting needs no shuffle of terms.
+    Character n-grams are taken from each document's distinct words.
+    """
+    dealt = docs.select(key, "text").repartition(key)
+    if analyzer is char_grams:
+        words = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+")
+        counted = dealt.select(key, F.explode(words).alias("word")).filter("word <> ''").groupBy(key, "word").agg(F.count("*").alias("c"))
+        return counted.select(key, F.explode(padded_grams(F.col("word"))).alias("term"), "c").groupBy(key, "term").agg(F.sum("c").alias("tf"))
+    return dealt.select(key, F.explode(analyzer(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _asked(terms: DataFrame) -> DataFrame:
+    """The batch's terms, broadcast if they are few enough."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
 @dataclass(frozen=True)
@@ -60,22 +90,27 @@ class Bm25Index:
     totals: DataFrame
 
 
-def build_bm25(docs: DataFrame, analyzer: Analyzer = search_tokens) -> Bm25Index:
-    """Index of ``docs`` (doc_id, text); documents without tokens count towards N and avgdl."""
-    counted = docs.select("doc_id", F.size(analyzer(F.col("text"))).cast("long").alias("dl"), "text")
-    postings = term_counts(docs, analyzer).join(counted.select("doc_id", "dl"), "doc_id")
-    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+def build_bm25(docs: DataFrame, path: str, analyzer: Analyzer = search_tokens) -> Bm25Index:
+    """Index of ``docs`` (doc_id, text) written under ``path``; documents without tokens count towards N and avgdl."""
+    counts = _written(term_counts(docs, analyzer), f"{path}/counts")
+    held = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    totals = docs.agg(F.count("*").alias("n")).crossJoin(held.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    totals = _written(totals, f"{path}/totals")
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(totals.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, totals.select("avgdl"))
+    postings = counts.join(held, "doc_id").repartition("term").sortWithinPartitions("term")
+    return Bm25Index(_written(postings, f"{path}/postings"), _written(terms, f"{path}/terms"), totals.select("avgdl"))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, analyzer: Analyzer = search_tokens) -> DataFrame:
-    """(query_id, doc_id, score) of documents that share a term with a query; repeated query terms count each time."""
+    """(query_id, doc_id, score) of documents that share a term with a query; repeated query terms count each time.
+
+    Only the queries' terms are joined; the postings are combined map-side.
+    """
     asked = term_counts(queries, analyzer, "query_id").withColumnRenamed("tf", "times")
-    weighed = asked.join(index.terms, "term")
+    weighed = _asked(index.terms.join(asked, "term"))
     hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.totals))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * gain).alias("score"))
@@ -97,15 +132,21 @@ def _weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
-def build_tfidf(docs: DataFrame, analyzer: Analyzer) -> TfidfIndex:
-    """Fit on ``docs`` (doc_id, text): smoothed idf, sublinear tf, unit vectors."""
-    counts = term_counts(docs, analyzer)
+def build_tfidf(docs: DataFrame, path: str, analyzer: Analyzer) -> TfidfIndex:
+    """Fit on ``docs`` (doc_id, text): smoothed idf, sublinear tf, unit vectors; written under ``path``.
+
+    The texts are analysed once.  Weights lie by document, so that the scores of
+    a document's pairs are summed in one task, whatever the queries.
+    """
+    counts = _written(term_counts(docs, analyzer), f"{path}/counts")
     n = docs.agg(F.count("*").alias("n"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return TfidfIndex(_weigh(counts, terms, "doc_id"), terms, analyzer)
+    terms = _written(terms, f"{path}/terms")
+    weights = _weigh(counts, terms, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id")
+    return TfidfIndex(_written(weights, f"{path}/weights"), terms, analyzer)
 
 
 def tfidf_scores(index: TfidfIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): cosine of each query with the documents that share a term with it."""
-    asked = _weigh(term_counts(queries, index.analyzer, "query_id"), index.terms, "query_id").withColumnRenamed("w", "wq")
+    asked = _asked(_weigh(term_counts(queries, index.analyzer, "query_id"), index.terms, "query_id").withColumnRenamed("w", "wq"))
     return index.weights.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))

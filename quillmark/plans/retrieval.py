@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
-from ..operators.textindex import STOP_WORDS, bm25_scores, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
+from ..operators.textindex import STOP_WORDS, bm25_scores, tfidf_scores
+from . import indexes
 from .registry import query
-from .tables import benchmark_queries, documents, table
+from .tables import benchmark_queries, table
 
 HYBRID = R.PROFILES["hybrid"]
 KNN_QUERIES_EVERY = 50
@@ -66,30 +67,44 @@ def _ranked(source: str, k: int) -> str:
       QUALIFY rank <= {k})"""
 
 
-_FUSED = f"""
-d AS {_ranked("cs", HYBRID.arm_k)}, s AS {_ranked("ws", HYBRID.arm_k)},
+def _fused(profile: R.Profile, dense: str = "cs", sparse: str = "ws") -> str:
+    return f"""
+d AS {_ranked(dense, profile.arm_k)}, s AS {_ranked(sparse, profile.arm_k)},
 f AS (SELECT query_id, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, coalesce(d.score, 0) AS dense_score, coalesce(s.score, 0) AS sparse_score,
   round(coalesce(1.0 / (60 + d.rank), 0::DOUBLE) + coalesce(1.0 / (60 + s.rank), 0::DOUBLE), 9) AS fused FROM d FULL JOIN s USING (query_id, doc_id))"""
-_CONFIDENT = f"""
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS position FROM f QUALIFY position <= {HYBRID.top_k}),
-b AS (SELECT *, greatest(max(dense_score) OVER w, 0::DOUBLE) AS best, coalesce(max(dense_score) FILTER (position = 2) OVER w, 0) AS second FROM t WINDOW w AS (PARTITION BY query_id)),
-k AS (SELECT *, round(least(1.0::DOUBLE, 0.65::DOUBLE * least(1.0::DOUBLE, dense_score / 0.40::DOUBLE)
-  + 0.15::DOUBLE * (dense_rank IS NOT NULL AND sparse_rank IS NOT NULL)::INT
-  + 0.20::DOUBLE * CASE WHEN position = 1 THEN greatest(0::DOUBLE, ((CASE WHEN best = 0 THEN 1e-9::DOUBLE ELSE best END) - second) / (CASE WHEN best = 0 THEN 1e-9::DOUBLE ELSE best END)) ELSE 0 END), 3) AS confidence FROM b),
-e AS (SELECT *, CASE WHEN confidence >= 0.75 THEN 'High' WHEN confidence >= 0.50 THEN 'Medium' ELSE 'Low' END AS band FROM k)"""
+
+
+def _confident(profile: R.Profile) -> str:
+    """CTEs from the fused rows ``f`` to ``e`` with confidence and band."""
+    top = f"t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS position FROM f QUALIFY position <= {profile.top_k})"
+    agree = "0.15::DOUBLE * (dense_rank IS NOT NULL AND sparse_rank IS NOT NULL)::INT"
+    if profile.quality_at is None:
+        b = "b AS (SELECT *, 1 / (1 + exp(-fused)) AS q, max(1 / (1 + exp(-fused))) FILTER (position = 1) OVER w AS best, coalesce(max(1 / (1 + exp(-fused))) FILTER (position = 2) OVER w, 0) AS second FROM t WINDOW w AS (PARTITION BY query_id))"
+        value = f"0.65::DOUBLE * q + {agree} + 0.20::DOUBLE * CASE WHEN position = 1 THEN greatest(0::DOUBLE, best - second) ELSE 0 END"
+    else:
+        b = "b AS (SELECT *, greatest(max(dense_score) OVER w, 0::DOUBLE) AS best, coalesce(max(dense_score) FILTER (position = 2) OVER w, 0) AS second FROM t WINDOW w AS (PARTITION BY query_id))"
+        best = "(CASE WHEN best = 0 THEN 1e-9::DOUBLE ELSE best END)"
+        value = f"0.65::DOUBLE * least(1.0::DOUBLE, dense_score / {profile.quality_at}::DOUBLE) + {agree} + 0.20::DOUBLE * CASE WHEN position = 1 THEN greatest(0::DOUBLE, ({best} - second) / {best}) ELSE 0 END"
+    if profile.clip:
+        value = f"least(1.0::DOUBLE, {value})"
+    k = f"k AS (SELECT *, round({value}, {profile.digits}) AS confidence FROM b)"
+    return f"{top},\n{b},\n{k},\ne AS (SELECT *, CASE WHEN confidence >= 0.75 THEN 'High' WHEN confidence >= 0.50 THEN 'Medium' ELSE 'Low' END AS band FROM k)"
+
+
+_FUSED, _CONFIDENT = _fused(HYBRID), _confident(HYBRID)
 
 
 def word_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(tfidf_scores(build_tfidf(documents(spark, sf_dir), word_grams), benchmark_queries(spark, sf_dir)), k)
+    return R.top_k(tfidf_scores(indexes.words(spark, sf_dir), benchmark_queries(spark, sf_dir)), k)
 
 
 def char_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(tfidf_scores(build_tfidf(documents(spark, sf_dir), char_grams), benchmark_queries(spark, sf_dir)), k)
+    return R.top_k(tfidf_scores(indexes.characters(spark, sf_dir), benchmark_queries(spark, sf_dir)), k)
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM {_ranked('bs', 50)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bm25_scores(build_bm25(documents(spark, sf_dir)), benchmark_queries(spark, sf_dir))
+    scores = bm25_scores(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir))
     return R.top_k(scores, R.PROFILES["production"].arm_k).select("query_id", "doc_id", "rank", "score")
 
 
@@ -111,7 +126,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hybrid_retrieve", f"WITH {_WORD_ARM}, {_CHAR_ARM}, {_FUSED}, {_CONFIDENT} SELECT query_id, doc_id, position AS rank, fused, confidence, band FROM e")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.retrieve(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), "hybrid")
+    ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "hybrid"), benchmark_queries(spark, sf_dir), "hybrid")
     return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")
 
 
@@ -126,7 +141,7 @@ FROM g WHERE state <> 'low_confidence' OR position = 1""",
 )
 def hybrid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = benchmark_queries(spark, sf_dir)
-    gated = R.gate(asked, R.retrieve(documents(spark, sf_dir), asked, "hybrid"), HYBRID)
+    gated = R.gate(asked, R.retrieve(indexes.of_profile(spark, sf_dir, "hybrid"), asked, "hybrid"), HYBRID)
     return gated.select("query_id", "state", "doc_id", F.col("position").alias("rank"), "confidence")
 
 
@@ -138,7 +153,7 @@ _RERANK = f"""p AS (SELECT query_id, doc_id, score AS x, row_number() OVER (PART
     f"WITH {_BM25}, {_RERANK} SELECT query_id, doc_id, position AS rank, round(1 / (1 + exp(-(x / 10))), 6) AS quality FROM p",
 )
 def rerank_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.top_k(bm25_scores(build_bm25(documents(spark, sf_dir)), benchmark_queries(spark, sf_dir)), 50)
+    scores = R.top_k(bm25_scores(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir)), 50)
     kept = R.rerank(scores.withColumnRenamed("score", "fused"), None, 10)
     return kept.select("query_id", "doc_id", F.col("position").alias("rank"), F.round(R.sigmoid(F.col("rerank_score") / 10), 6).alias("quality"))
 
@@ -165,3 +180,23 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool, asked = _vectors(spark, sf_dir)
     return R.knn(pool, asked, 50, where=F.col("label") == 1).select("query_id", "doc_id", "score", "rank")
+
+
+_VECTOR_ARM = """vs AS (SELECT item_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e)"""
+
+
+@query("retrieve_production", f"WITH {_BM25}, {_VECTOR_ARM}, {_fused(R.PROFILES['production'], 'vs', 'bs')}, {_confident(R.PROFILES['production'])} SELECT query_id, doc_id, position AS rank, fused, confidence, band FROM e")
+def retrieve_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense arm searches the vectors; an item's own vector is that of equal number."""
+    items, vectors = benchmark_queries(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    asked = items.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id").select("query_id", "query_vector")
+    found = R.knn(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), asked, R.PROFILES["production"].arm_k)
+    ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "production"), items, "production", dense=found.filter("score > 0"))
+    return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")
+
+
+@query("retrieve_offline", f"WITH {_WORD_ARM}, {_CHAR_ARM}, {_fused(R.PROFILES['offline'])}, {_confident(R.PROFILES['offline'])} SELECT query_id, doc_id, position AS rank, fused, confidence, band FROM e")
+def retrieve_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "offline"), benchmark_queries(spark, sf_dir), "offline")
+    return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")

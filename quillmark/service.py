@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions.multilingual import normalize_query
 from .functions.text import segment_items
 from .operators import analytics, cdc, graph, merge, recommend, retrieve, validate
+from .session import scratch
 from .sources import corpus
 
 #: Segments of one document that get recommendations, and how many each.
@@ -19,10 +20,17 @@ class Service:
     normative_references, amendments, certification, superseded_by, valid_upto, tier and seq."""
 
     def __init__(self, standards: DataFrame, profile: str = "hybrid"):
-        self.standards, self.profile = standards, profile
+        self.standards, self.profile, self._indexes = standards, profile, None
         self.edges = graph.build_edges(standards)
         self.documents = standards.select(F.col("is_number").alias("doc_id"), F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("scope", F.lit(""))).alias("text"))
 
+    @property
+    def indexes(self) -> retrieve.Indexes:
+        """Built with the first request and kept for the later ones."""
+        if self._indexes is None:
+            self._indexes = retrieve.build_indexes(self.documents, scratch(self.standards.sparkSession, "service"), self.profile)
+        return self._indexes
+
     def health(self) -> DataFrame:
         return self.standards.agg(F.count("*").alias("records"), F.count_if(F.col("tier") == "enriched").alias("enriched"))
 
@@ -41,7 +49,7 @@ class Service:
         """``queries``: query_id, text in any of the supported languages."""
         asked = queries.select("query_id", normalize_query(F.col("text"))["normalized"].alias("text"))
         profile = retrieve.PROFILES[self.profile]
-        gated = retrieve.gate(asked, retrieve.retrieve(self.documents, asked, self.profile), profile)
+        gated = retrieve.gate(asked, retrieve.retrieve(self.indexes, asked, self.profile), profile)
         return recommend.recommend(gated, asked, self.standards, self.edges, "production" if self.profile == "production" else "hybrid")
 
     def recommend_documents(self, documents: DataFrame) -> DataFrame:

@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where a local session names none (tests) a temporary folder is set; on a
+    cluster, whose machines don't share one, that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quillmark-{uuid.uuid4().hex}/{name}"
+
+
 def build_session(app: str = "quillmark", cores: int | None = None, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session; on a cluster the master and memory come from spark-submit."""
     n = cores or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))

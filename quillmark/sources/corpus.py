@@ -43,21 +43,37 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, envelope:
     return reader.schema(_struct(**{envelope: T.ArrayType(schema)})).json(path).select(F.inline(envelope))
 
 
+def _pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """(number, version) of the complete pointers under ``base``, oldest first."""
+    if not exists(spark, base):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    parts = [n.split("-") for n in names if n.startswith("current-")]
+    return sorted((int(number), version) for _, number, version in parts)
+
+
 def write_versioned(df: DataFrame, base: str) -> str:
-    """Write a new version and point ``base``/CURRENT at it; earlier versions stay.
+    """Write a new version and then an empty pointer file that names it; earlier versions and pointers stay.
 
-    The pointer is a one-row table that is replaced only after the data is
-    complete, so a reader sees the old version or the new one.
+    Pointers have rising numbers and are never replaced, and one is made only
+    after its data is complete: a reader sees the old version or the new one,
+    whatever is interrupted.  Of two writers at once the later name wins.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{base}/v-{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{base}/CURRENT")
+    number = max((n for n, _ in _pointers(spark, base)), default=0) + 1
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/current-{number:012}-{version}")
+    pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, False).close()
     return version
 
 
-def read_versioned(spark: SparkSession, base: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{base}/CURRENT").first()[0]
-    return spark.read.parquet(f"{base}/v-{version}")
+def read_versioned(spark: SparkSession, base: str, back: int = 0) -> DataFrame:
+    """The newest version, or the one ``back`` versions before it."""
+    found = _pointers(spark, base)
+    if len(found) <= back:
+        raise FileNotFoundError(f"{base} has {len(found)} versions")
+    return spark.read.parquet(f"{base}/v-{found[-1 - back][1]}")
 
 
 def compulsory_list(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -91,10 +107,17 @@ def parse_notification(body: Column) -> Column:
 
 
 def fetch_tenders(requests: DataFrame, tenders: DataFrame) -> DataFrame:
-    """A tender per request: equal id, else the first whose id contains it (either way, any case), else one made of the request."""
-    r, t = requests.alias("r"), tenders.alias("t")
+    """A tender per request: equal id, else the first whose id contains it (either way, any case), else one made of the request.
+
+    Equal ids are joined first; only requests without one are compared with all ids.
+    """
     wanted, own = F.lower("r.request"), F.lower("t.tender_id")
-    joined = r.join(t, (F.col("r.request") == F.col("t.tender_id")) | F.contains(own, wanted) | F.contains(wanted, own), "left")
+    equal = requests.alias("r").join(tenders.alias("t"), F.col("r.request") == F.col("t.tender_id"))
+    rest = requests.join(tenders.select(F.col("tender_id").alias("request")), "request", "left_anti")
+    similar = rest.alias("r").join(tenders.alias("t"), F.contains(own, wanted) | F.contains(wanted, own), "left")
+    joined = equal.select("r.*", "t.*").unionByName(similar.select("r.*", "t.*"))
+    r, t = requests.columns, tenders.columns
+    joined = joined.select(F.struct(*r).alias("r"), F.struct(*t).alias("t"))
     rank = Window.partitionBy("r.request").orderBy(F.when(F.col("r.request") == F.col("t.tender_id"), 0).otherwise(1), "t.tender_id")
     best = joined.withColumn("n", F.row_number().over(rank)).filter("n = 1")
     return best.select(

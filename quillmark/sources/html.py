@@ -53,12 +53,38 @@ class Node:
             todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
+#: Elements that a start tag closes, up to the nearest of the elements that hold them: end tags that may be left out.
+_IMPLIED = {
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr", "td", "th"), ("thead", "tbody", "tfoot", "table")),
+    "li": (("li",), ("ul", "ol")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",))),
+}
+_BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_IMPLIED |= {tag: (("p",), ("td", "th", "li", "div", "section", "article", "table")) for tag in _BLOCKS}
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
 
+    def _close_implied(self, tag: str) -> None:
+        closed, holders = _IMPLIED.get(tag, ((), ()))
+        n, end = self.at, None
+        while n is not None and n.tag not in holders:
+            if n.tag in closed:
+                end = n
+            n = n.parent
+        if end is not None:
+            self.at = end.parent
+
     def handle_starttag(self, tag, attrs):
+        self._close_implied(tag)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:

@@ -33,6 +33,11 @@ def current(spark: SparkSession, base: str, schema: StructType, before: int | No
     return spark.read.schema(schema).parquet(_version(base, max(done))) if done else spark.createDataFrame([], schema)
 
 
+def logged(spark: SparkSession, log: str) -> DataFrame:
+    """All changes that the batches have logged; ``batch`` is the batch's number."""
+    return spark.read.option("basePath", log).parquet(f"{log}/batch=*")
+
+
 def delta_writer(store: str, log: str, key: str = "is_number", seq: str | None = None, on_change: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch`` over records with the columns of the stored table."""
 
@@ -43,7 +48,7 @@ def delta_writer(store: str, log: str, key: str = "is_number", seq: str | None =
             batch = batch.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", seq)
         fresh = cdc.with_hashes(batch)
         stored = current(spark, store, fresh.schema, before=batch_id)
-        changes = cdc.detect_changes(fresh, stored, key).withColumn("batch", F.lit(batch_id))
+        changes = cdc.detect_changes(fresh, stored, key)
         cdc.upsert(stored, fresh, key).write.mode("overwrite").parquet(_version(store, batch_id))
         changes.filter("change_type <> 'unchanged'").write.mode("overwrite").parquet(_version(log, batch_id))
         if on_change:

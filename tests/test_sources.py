@@ -82,12 +82,12 @@ def test_upsert_and_detection(spark):
     }
 
 
-def test_gate_and_fusion_of_empty_arms(spark):
+def test_gate_and_fusion_of_empty_arms(spark, tmp_path):
     from quillmark.operators import retrieve
 
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "alpha"), (2, "zzz")], "query_id long, text string")
-    gated = retrieve.gate(asked, retrieve.retrieve(docs, asked), retrieve.PROFILES["hybrid"])
+    gated = retrieve.gate(asked, retrieve.retrieve(retrieve.build_indexes(docs, str(tmp_path)), asked), retrieve.PROFILES["hybrid"])
     assert {(r["query_id"], r["state"]) for r in gated.collect()} == {(1, "ok"), (2, "no_results")}
     assert gated.filter(F.col("query_id") == 2).first()["doc_id"] is None
 
@@ -101,3 +101,36 @@ def test_landed_service_pages(spark):
     got = normalize_records(rows.withColumnRenamed("department", "deptAliasName")).first()
     assert (got["is_number"], got["standard_id"], got["title"], got["matched_queries"], got["withdrawn"]) == ("IS 5", 7, "Cable", ["CED"], False)
     assert [tuple(r) for r in corpus.pages_left(pages, 2).collect()] == [("CED", 4)]
+
+
+def test_end_tags_that_are_left_out(spark):
+    from quillmark.sources import html
+
+    page = "<table class=views-table><thead><tr><th>No<th>Title<th>Year<th>Status<tbody><tr><td><a href=a>IS 1</a><td>Title one<td>1990<td>Active<tr><td><p>IS 2<p><td>Title two<td>1991<td>Withdrawn</table><p>after"
+    got = html.listing_rows(spark.createDataFrame([("http://x/", page, "D")], "url string, html string, division string")).collect()
+    assert [(r["is_number"], r["title"], r["year"], r["status"]) for r in got] == [("IS 1", "Title one", 1990, "current"), ("IS 2", "Title two", 1991, "withdrawn")]
+    nested = html.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>x<div>y</div><p>z")
+    assert [n.text() for n in html.select(nested, "ul li")] == ["abc", "b", "c", "d"]
+    assert [n.text() for n in html.select(nested, "p")] == ["x", "z"]
+    table = html.parse("<table><tr><td><table><tr><td>in</table><td>out</table>")
+    assert [n.text() for n in html.select(table, "td")] == ["in", "in", "out"]
+
+
+def test_versions_survive_an_interrupted_write(spark, tmp_path):
+    base = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        corpus.read_versioned(spark, base)
+    corpus.write_versioned(spark.range(3), base)
+    spark.range(9).write.parquet(f"{base}/v-without-pointer")
+    assert corpus.read_versioned(spark, base).count() == 3
+    corpus.write_versioned(spark.range(5), base)
+    assert (corpus.read_versioned(spark, base).count(), corpus.read_versioned(spark, base, back=1).count()) == (5, 3)
+
+
+def test_holders_of_passages(spark):
+    from quillmark.operators import evaluate
+
+    texts = [(1, "a b c d"), (2, "xa b cx d"), (3, "b c"), (4, "a  b c")]
+    asked = [(1, "a b c"), (2, "b c"), (3, "zz"), (4, "a  b")]
+    got = evaluate.holders(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d) for q, p in asked for d, t in texts if p in t)
