@@ -22,7 +22,7 @@ def allied_map(edges: DataFrame, roots: DataFrame, index: TfidfIndex | None = No
     return roles.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("role_label", F.transform("members", lambda m: m.cast("string"))))).alias("allied"))
 
 
-def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges: DataFrame, style: str = "production", index: TfidfIndex | None = None) -> DataFrame:
+def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges: DataFrame, style: str = "production", index: TfidfIndex | None = None, depth: int = 2) -> DataFrame:
     """One row per query and position of ``gated`` (see ``retrieve.gate``), with everything shown for it.
 
     ``standards``: is_number, title, year, status, scope, amendments and
@@ -30,7 +30,7 @@ def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges:
     """
     records = standards.select("is_number", "title", "year", "status", "scope", "amendments", "certification")
     rows = gated.withColumnRenamed("doc_id", "is_number").join(records, "is_number", "left").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    allied = allied_map(edges, gated.filter("doc_id is not null").select(F.col("doc_id").alias("root")), index)
+    allied = allied_map(edges, gated.filter("doc_id is not null").select(F.col("doc_id").alias("root")), index, depth)
     rows = rows.join(allied.withColumnRenamed("root", "is_number"), "is_number", "left")
     number = F.col("is_number").cast("string")
     latest = render.version_string(number, F.col("year"), F.col("amendments"), style)

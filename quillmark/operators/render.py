@@ -124,6 +124,11 @@ def parse_answer(raw: Column) -> Column:
     return F.from_json(body, kind)["justifications"]
 
 
+def json_record(records: DataFrame, fields: tuple[str, ...]) -> Column:
+    """A record as JSON with its ``fields`` in order; nulls are kept."""
+    return F.to_json(F.struct(*(records[f] for f in fields)), {"ignoreNullFields": "false"})
+
+
 def markdown_report(records: DataFrame) -> DataFrame:
     """(query_id, report): a Markdown section per record (position, is_number, title, confidence, justification)."""
     section = F.format_string("## %d. %s\n\n**%s** (confidence %.3f)\n\n%s\n", "position", "is_number", "title", "confidence", "justification")

@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Import the plan modules; each registers its queries."""
-    from . import corpus, graph, identifiers, merging, retrieval, validation  # noqa: F401
+    from . import corpus, graph, identifiers, merging, processing, retrieval, validation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

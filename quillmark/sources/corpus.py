@@ -152,6 +152,15 @@ def service_rows(responses: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.select(*rest, *(F.try_element_at("__r", F.lit(f)).alias(f) for f in fields))
 
 
+def failed_pages(responses: DataFrame) -> DataFrame:
+    """(department, offset, reason) of landed responses that have no rows: the stated status, or ``unreadable``.
+
+    A scan records them here and goes on with the other departments.
+    """
+    status = F.from_json("body", "struct<status:string>")["status"]
+    return responses.withColumn("reason", F.coalesce(status, F.lit("unreadable"))).filter("reason <> 'SUCCESS'").select("department", "offset", "reason")
+
+
 def pages_left(responses: DataFrame, limit: int) -> DataFrame:
     """(department, offset) still to be fetched, from the total that the landed responses name.
 
