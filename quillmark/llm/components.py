@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
-        current = materialize(_star(current), "links")
+        seen, old = mark, current
+        current = materialize(_star(old), "links")
+        discard(old)
     labels = current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return labels.unionAll(current.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())

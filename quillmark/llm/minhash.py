@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, materialize, mix64, pieces, shingle_hashes, small_batches, split_words
+from .common import WordHashes, column_bytes, discard, materialize, mix64, pieces, shingle_hashes, small_batches, split_words
 from .components import connected_components
 
 COORDINATES = 40
@@ -206,7 +206,9 @@ def _met(postings: DataFrame) -> DataFrame:
     """
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(postings.join(lists, "key"), "met")
-    return materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "n", "weight"), "weighted")
+    weighted = materialize(met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "n", "weight"), "weighted")
+    discard(met)
+    return weighted
 
 
 def _leaders(members: DataFrame, by: list[str], count: int) -> DataFrame:
@@ -362,9 +364,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     )
     postings = materialize(post_prefixes(classes), "postings")
     met = _met(postings)
+    discard(postings)
     tested = materialize(_agreeing(_leader_pairs(met), classes), "pairs")
     ends = tested.select(F.col("a").alias("node")).unionAll(tested.select(F.col("b").alias("node")))
-    links = materialize(_confirmed(tested, _packed(ends, classes, docs, width), width, percent), "confirmed")
+    texts = _packed(ends, classes, docs, width)
+    links = materialize(_confirmed(tested, texts, width, percent), "confirmed")
+    discard(texts)
     labels = connected_components(links)
 
     split = materialize(_split_lists(met, labels), "split")
@@ -374,10 +379,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         labels = _joined(labels, materialize(_confirmed(second, packed, width, percent), "confirmed"))
         apart = materialize(_split_lists(met, labels).select("node", "label").distinct(), "apart")
         if not apart.isEmpty():
-            packed = packed.join(apart.select("node"), "node", "left_semi")
-            third = materialize(_apart_pairs(apart, packed, width, percent).join(tested.unionAll(second), ["a", "b"], "left_anti"), "pairs")
-            labels = _joined(labels, materialize(_confirmed(third, packed, width, percent), "confirmed"))
+            rest = packed.join(apart.select("node"), "node", "left_semi")
+            third = materialize(_apart_pairs(apart, rest, width, percent).join(tested.unionAll(second), ["a", "b"], "left_anti"), "pairs")
+            labels = _joined(labels, materialize(_confirmed(third, rest, width, percent), "confirmed"))
+        discard(packed)
 
+    discard(met)
     named = classes.join(labels, "node", "left").select("digest", "cid", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
     of_class = named.join(least, "label").select("digest", "component_id")

@@ -34,3 +34,31 @@ def test_all_stages_but_the_last_return_documents(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def documents_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 toxic", "'x' item_id", "2 shard", "3 _mix", "'d' digest", "4 weight")
+
+
+def test_stages_with_nulls_long_texts_repeated_rows_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", len(long)), (4, long, "en", "b", len(long)), (5, "plain words only here", "en", "a", 21), (5, "plain words only here", "en", "a", 21), (None, "no number", "en", "a", 9)]
+    docs = documents_of(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        left = sorted(r["doc_id"] or 0 for r in kept.collect())
+        if name == "near_duplicates":
+            assert left == [0, 1, 2, 3, 5, 5]
+        elif name in ("toxicity", "decontamination"):
+            assert left == [0, 1, 2, 3, 4, 5, 5]
+        else:
+            assert set(left) <= {0, 1, 2, 3, 4, 5}
+    ended = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(ended) == len(rows) and {c for c in docs.columns} <= set(ended[0].asDict())
+
+
+def test_stages_of_empty_tables(spark):
+    docs = documents_of(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
