@@ -1,4 +1,4 @@
-"""Validation of the standards that documents cite: one union of rules."""
+"""Validation of the standards that documents cite: all rules in one pass."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ def citations(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(extract_references(F.col("text"))).alias("place", "is_number"))
 
 
-def _rule(rows: DataFrame, test: Column, n: int, severity: str, issue: Column, action: Column) -> DataFrame:
-    return rows.filter(test).select("doc_id", "place", F.lit(n).alias("rule"), "is_number", F.lit(severity).alias("severity"), issue.alias("issue"), action.alias("action"))
+def _rule(test: Column, n: int, severity: str, issue: Column, action: Column) -> Column:
+    """What a rule says of a citation, null where its test isn't met."""
+    return F.when(test, F.struct(F.lit(n).alias("rule"), F.lit(severity).alias("severity"), issue.alias("issue"), action.alias("action")))
 
 
 def issues(cited: DataFrame, standards: DataFrame, profile: str = "hybrid", as_of: Column | None = None) -> DataFrame:
@@ -41,23 +42,21 @@ def issues(cited: DataFrame, standards: DataFrame, profile: str = "hybrid", as_o
     no_successor = "Check the BIS portal for the current successor." if production else "Consult latest BIS catalogue for active successor."
     scheme = F.col("scheme")
     rules = [
-        _rule(rows, ~found, 0, "info", F.lit(unknown[0]), F.lit(unknown[1])),
-        _rule(rows, found & F.col("status").isin(*GONE), 1, "high", gone_issue, F.coalesce(F.concat(F.lit("Replace with "), successor), F.lit(no_successor))),
+        _rule(~found, 0, "info", F.lit(unknown[0]), F.lit(unknown[1])),
+        _rule(found & F.col("status").isin(*GONE), 1, "high", gone_issue, F.coalesce(F.concat(F.lit("Replace with "), successor), F.lit(no_successor))),
     ]
     if production:
-        rules.append(_rule(rows, found & (F.col("status") == "under_revision"), 2, "medium", F.lit("This standard is under revision"), F.lit("Confirm the applicable edition before publishing the tender.")))
+        rules.append(_rule(found & (F.col("status") == "under_revision"), 2, "medium", F.lit("This standard is under revision"), F.lit("Confirm the applicable edition before publishing the tender.")))
         label = (F.concat(F.coalesce(scheme, F.lit("None")), F.lit(" certification is mandatory")), F.lit("State the certification requirement explicitly in the tender."))
     else:
         lapsed = (F.nullif(F.col("valid_upto"), F.lit("")).isNotNull()) & (F.col("valid_upto") < as_of)
-        rules.append(_rule(rows, found & lapsed, 2, "low", F.concat(F.lit("Standard review window lapsed on "), F.col("valid_upto")), F.lit("Confirm whether BIS has issued reaffirmation or revision.")))
+        rules.append(_rule(found & lapsed, 2, "low", F.concat(F.lit("Standard review window lapsed on "), F.col("valid_upto")), F.lit("Confirm whether BIS has issued reaffirmation or revision.")))
         label = (
             F.concat(scheme, F.lit(" certification is mandatory under applicable QCO")),
             F.concat(F.lit("Require BIS "), F.coalesce("scheme_label", F.lit("certification")), F.lit(" in tender submission criteria.")),
         )
-    rules.append(_rule(rows, found & F.col("mandatory"), 3, "medium", *label))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionAll(r)
+    rules.append(_rule(found & F.col("mandatory"), 3, "medium", *label))
+    out = rows.select("doc_id", "place", "is_number", F.inline(F.array_compact(F.array(*rules))))
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES[profile])), F.col("severity"))
     order = Window.partitionBy("doc_id").orderBy(rank, "place", "rule")
     return out.withColumn("position", F.row_number().over(order)).select("doc_id", "position", "is_number", "severity", "issue", "action")
