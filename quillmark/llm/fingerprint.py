@@ -99,18 +99,20 @@ def _deal(bounds, tops):
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in descending id order, each with the one that follows it."""
     unpack = zstandard.ZstdDecompressor()
-    held, marked, out = None, None, []
-    names = ["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "next_digest", "bytes"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
+    held, marked, marked_id, out = None, None, None, []
+    names = ["doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "same_edited", "same_next", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary())
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
-    def finish(now, following: str, following_digest: str):
-        _, i, text, own, form = now
+    def finish(now, following: str, following_form: str):
+        r, i, text, form = now
         changed = edited(text, following)
+        changed_form = canonical(changed)
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((i, len(text), sha, own, digest(canonical(changed)), following_digest, form))
+        held_bytes = zstandard.compress(form.encode("utf-8", "surrogatepass")) if (r, i) == marked_id else None
+        out.append((i, len(text), sha, digest(form), digest(changed_form), changed_form == form, following_form == form, held_bytes))
 
     for batch in batches:
         for r, border, i, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("range", "border", "doc_id", "kind", "packed")), strict=True):
@@ -121,10 +123,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text = unpack.decompress(packed).decode("utf-8", "surrogatepass")
             form = canonical(text)
-            own = digest(form)
             if held is not None and held[0] == r:
-                finish(held, text, own)
-            held = None if border else (r, i, text, own, zstandard.compress(form.encode("utf-8", "surrogatepass")) if (r, i) == marked else None)
+                finish(held, text, form)
+            held = None if border else (r, i, text, form)
+            marked_id = marked
         if out:
             yield flush()
             out.clear()
@@ -164,12 +166,13 @@ def edit_report(docs: DataFrame) -> DataFrame:
     doc_id, after the smallest the greatest; rows of one id follow each other
     in the order of their packed bytes, rows without id come last.  A single
     row is its own next.  Fingerprints are exact, so a likeness is 1 for equal
-    and 0 for different canonical texts.  Null texts are empty; an empty table
+    and 0 for different canonical texts, whose bytes are compared.  Null texts are empty; an empty table
     gives no rows; other columns are ignored.
 
     The ids are cut into ranges at quantiles (a bounded list); each range meets
     in one task with the first text of the range below, so texts are shuffled
-    once.  Canonical bytes leave a task only for digests that occur twice.
+    once; rows of one id, and those without id, lie in one range, as ids are
+    keys here.  Canonical bytes leave a task only for digests that occur twice.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -189,7 +192,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     )
     texts = slim.transform(small_batches).mapInArrow(_deal(bounds, broadcast(above)), "range int, border int, doc_id long, kind int, packed binary")
     dealt = texts.unionByName(marks.distinct()).repartition(parts, "range").sortWithinPartitions(F.asc("range"), F.asc("border"), F.desc_nulls_last("doc_id"), F.asc("kind"), F.asc("packed"))
-    walked = materialize(dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, next_digest string, bytes binary"), "walked")
+    walked = materialize(dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, same_edited boolean, same_next boolean, bytes binary"), "walked")
     suffix = variants(walked)
     own = walked.join(suffix, ["digest", "bytes"], "left")
     fingerprint = F.concat("digest", F.coalesce("suffix", F.lit("")))
@@ -198,7 +201,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
         "n_chars",
         "edited_sha256",
         fingerprint.alias("fingerprint"),
-        F.col("edited_digest").alias("edited_fingerprint"),
-        F.when(F.col("digest") == F.col("edited_digest"), 1.0).otherwise(0.0).alias("near_edited"),
-        F.when(F.col("digest") == F.col("next_digest"), 1.0).otherwise(0.0).alias("near_next"),
+        F.when(F.col("same_edited"), fingerprint).when(F.col("edited_digest") == F.col("digest"), F.concat(fingerprint, F.lit("-edited"))).otherwise(F.col("edited_digest")).alias("edited_fingerprint"),
+        F.col("same_edited").cast("int").cast("double").alias("near_edited"),
+        F.col("same_next").cast("int").cast("double").alias("near_next"),
     )
