@@ -21,11 +21,23 @@ def merge_arrivals(rows: DataFrame, key: str, seq: str, fields: list[str], last_
     ``last_wins`` this is the keyword merge.
     """
     picked = [(F.max_by if f in last_wins else F.min_by)(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields]
-    extra = []
-    if queries:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(queries).alias("q"))))
-        extra.append(F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.coalesce(x["q"], F.array().cast("array<string>"))))).alias(queries))
-    return rows.groupBy(key).agg(*picked, *extra, F.count("*").alias("arrivals"))
+    out = rows.groupBy(key).agg(*picked, F.count("*").alias("arrivals"))
+    if not queries:
+        return out
+    values = rows.select(F.col(key).alias("__k"), F.col(seq).alias("__s"), F.posexplode(queries).alias("__p", "__v"))
+    united = ordered_union(values, "__k", "__v", F.struct("__s", "__p")).withColumnRenamed("__v", queries)
+    joined = out.join(united, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+    return joined.withColumn(queries, F.coalesce(queries, F.array().cast("array<string>")))
+
+
+def ordered_union(values: DataFrame, key: str, value: str, place: Column) -> DataFrame:
+    """(key, value): the distinct values of each key in order of their first ``place``.
+
+    First places are minima, combined map-side: a key of very many rows gathers
+    its distinct values only.
+    """
+    first = values.groupBy(key, value).agg(F.min(place).alias("__place"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", F.col(value).alias("v")))), lambda x: x["v"]).alias(value))
 
 
 def merge_counters(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -49,8 +61,8 @@ def merge_tiers(enriched: DataFrame, catalogue: DataFrame) -> DataFrame:
     held = catalogue.join(enriched.select("canonical_key").distinct(), "canonical_key", "left_semi")
     absorbed = held.groupBy("canonical_key").agg(
         *(F.min_by(F.col(f), F.when(truthy(F.col(f).cast("string")).isNotNull(), F.col("seq"))).alias(f"__{f}") for f in fills),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "is_number"))), lambda x: x["is_number"])).alias("alternate_designations"),
     )
+    absorbed = absorbed.join(ordered_union(held, "canonical_key", "is_number", F.col("seq")).withColumnRenamed("is_number", "alternate_designations"), "canonical_key")
     none = F.array().cast("array<string>")
     first = enriched.join(absorbed, "canonical_key", "left").select(
         "is_number",

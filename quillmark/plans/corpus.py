@@ -279,6 +279,19 @@ def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.discover_links(table(spark, sf_dir, "pages"), "page_id", "^/t", ("the", "ing"))
 
 
+@query(
+    "selector_probe",
+    """WITH f AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS source, len(regexp_extract_all(html, '<h1[ >]')) AS h1, len(regexp_extract_all(html, '<title[ >]')) AS title, len(regexp_extract_all(html, '<main[ >]')) AS main, len(regexp_extract_all(html, '<p[ >]')) AS p FROM pages),
+    r AS (SELECT source, 'title' AS field, CASE WHEN h1 > 0 THEN 'h1' WHEN title > 0 THEN 'title' END AS selector, CASE WHEN h1 > 0 THEN h1 ELSE title END AS n FROM f UNION ALL
+      SELECT source, 'body', CASE WHEN main > 0 THEN 'main' WHEN p > 0 THEN 'p' END, CASE WHEN main > 0 THEN main ELSE p END FROM f)
+    SELECT source, field, selector, count(*) AS pages, sum(n)::BIGINT AS nodes, bool_and(bool_and(selector IS NOT NULL)) OVER (PARTITION BY source, field) AS passed FROM r GROUP BY source, field, selector""",
+)
+def selector_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which selector wins on each source's pages, with its node count."""
+    found = H.probe(table(spark, sf_dir, "pages"), {"title": ("h1", "title"), "body": ("main", "p")})
+    return H.probe_report(found, F.regexp_extract("url", "https?://([^/]+)", 1))
+
+
 @query(
     "selector_report",
     """WITH f AS (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS source, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<main>([^<]*)</main>', 1) AS main FROM pages)

@@ -147,6 +147,29 @@ def select_first(root: Node, selectors: tuple[str, ...]) -> tuple[list[Node], in
     return [], None
 
 
+def probe(pages: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(url, field, selector, nodes) per page of ``pages`` (url, html) and field: the first selector that finds something, null if none does."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for url, html in zip(frame["url"], frame["html"], strict=True):
+                root = parse(html)
+                for field, selectors in fields.items():
+                    hits, which = select_first(root, selectors)
+                    out.append((url, field, None if which is None else selectors[which], len(hits)))
+            yield pd.DataFrame(out, columns=["url", "field", "selector", "nodes"])
+
+    return pages.select("url", "html").mapInPandas(run, "url string, field string, selector string, nodes long")
+
+
+def probe_report(found: DataFrame, source: Column) -> DataFrame:
+    """(source, field, selector, pages, nodes, passed) of ``probe``: per source and field each winning selector; passed if no page of the source lacks the field."""
+    per = found.groupBy(source.alias("source"), "field", "selector").agg(F.count("*").alias("pages"), F.sum("nodes").alias("nodes"))
+    lacking = per.filter("selector is null").select("source", "field", F.lit(False).alias("__whole"))
+    return per.join(lacking, ["source", "field"], "left").withColumn("passed", F.coalesce("__whole", F.lit(True))).drop("__whole")
+
+
 _LISTING = "url string, division string, position int, raw_designation string, title string, year_text string, status_text string, link string, selector int"
 
 
