@@ -201,9 +201,9 @@ def test_one_more_shard_moves_few_keys(spark):
     ids = spark.range(4000).selectExpr("id AS doc_id")
     before, after = ({r["doc_id"]: r["shard"] for r in sharding.assign_shards(ids, n).collect()} for n in (8, 9))
     strict = sum(before[i] != after[i] for i in before)
-    assert strict < 0.45 * len(before)
+    assert strict < 0.2 * len(before)
     before, after = ({r["doc_id"]: r["shard"] for r in sharding.assign_shards(ids, n, slack=0.5).collect()} for n in (8, 9))
-    assert sum(before[i] != after[i] for i in before) < min(strict, 0.2 * len(before))
+    assert sum(before[i] != after[i] for i in before) <= min(strict, 0.13 * len(before))
     assert max(Counter(after.values()).values()) <= 4000 * 1.5 / 9 + 1
 
 
