@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textindex import Bm25Index, TfidfIndex, bm25_scores, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
 
@@ -55,20 +58,59 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+#: Scores that one task holds at a time.
+_SCORES = 4_000_000
+
+
+def _unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows) of the vectors that have a direction, scaled to length one; nulls and zero vectors have none."""
+    places = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    if not len(places):
+        return places, np.zeros((0, 0))
+    kept = vectors.take(pa.array(places))
+    rows = kept.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(places), -1)
+    length = np.sqrt((rows * rows).sum(axis=1))
+    real = length > 0
+    return places[real], rows[real] / length[real, None]
+
+
+def _nearest(shared, k: int):
+    """(query_id, doc_id, score): of each slice of documents the rows that can be among the ``k`` best of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = shared.value
+        step = max(1, _SCORES // max(len(ids), 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                places, rows = _unit_rows(part.column("vector"))
+                if not len(places) or not len(ids):
+                    continue
+                score = np.round(rows @ asked.T, 6)
+                least = np.partition(score, len(places) - k, axis=0)[len(places) - k] if len(places) > k else np.full(len(ids), -np.inf)
+                doc, query = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), part.column("doc_id").take(pa.array(places[doc])), pa.array(score[doc, query])], ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, max_queries: int = 100_000) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine neighbours; ``where`` filters before ranking.
 
-    ``queries`` (query_id, vector) is a stated set: it is broadcast if it has at
-    most ``max_queries`` rows and otherwise split into such blocks by hash.
+    ``queries`` (query_id, query_vector) is a stated set: blocks of at most
+    ``max_queries`` rows are broadcast and multiplied with the vectors where they
+    lie; only what can be among a query's best leaves a task.
     """
-    pool = vectors if where is None else vectors.filter(where)
-    size = queries.count()
-    blocks = max(1, -(-size // max_queries))
+    pool = (vectors if where is None else vectors.filter(where)).select("doc_id", "vector")
+    blocks = max(1, -(-queries.count() // max_queries))
+    kinds = T.StructType([queries.schema["query_id"], vectors.schema["doc_id"], T.StructField("score", T.DoubleType())])
     out = None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = pool.crossJoin(F.broadcast(part)).select("query_id", "doc_id", cosine(F.col("vector"), F.col("query_vector")).alias("score"))
-        ranked = top_k(met.filter("score is not null"), k, positive=False)
+        held = part.select("query_id", "query_vector").toArrow().combine_chunks()
+        places, rows = _unit_rows(held["query_vector"].combine_chunks())
+        shared = vectors.sparkSession.sparkContext.broadcast((held["query_id"].combine_chunks().take(pa.array(places, pa.int64())), rows))
+        ranked = top_k(pool.mapInArrow(_nearest(shared, k), kinds), k, positive=False)
         out = ranked if out is None else out.unionAll(ranked)
     return out
 

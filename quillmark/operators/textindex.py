@@ -7,11 +7,15 @@ the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import search_tokens
 
@@ -45,7 +49,7 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 Analyzer = Callable[[Column], Column]
 
-#: Rows of query terms that are broadcast at most; a larger batch of queries is joined by shuffle.
+#: Rows of query terms that reach the driver and every task at most; a larger batch of queries is joined by shuffle.
 BROADCAST_TERMS = 2_000_000
 
 
@@ -118,7 +122,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, analyzer: Analyzer = searc
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """``weights``: doc_id, term, w (L2-normalised per document); ``terms``: term, idf."""
+    """``weights``: doc_id, term (its number), w (L2-normalised per document); ``terms``: term, number, idf."""
 
     weights: DataFrame
     terms: DataFrame
@@ -126,8 +130,8 @@ class TfidfIndex:
 
 
 def _weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Sublinear tf times idf, normalised per ``key`` over the terms the corpus has."""
-    raw = counts.join(terms, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    """(key, term, w): sublinear tf times idf by the term's number, normalised per ``key`` over the terms the corpus has."""
+    raw = counts.join(terms, "term").select(key, F.col("number").alias("term"), ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
@@ -141,12 +145,86 @@ def build_tfidf(docs: DataFrame, path: str, analyzer: Analyzer) -> TfidfIndex:
     counts = _written(term_counts(docs, analyzer), f"{path}/counts")
     n = docs.agg(F.count("*").alias("n"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    terms = _written(terms, f"{path}/terms")
+    # numbers are fixed once they are written
+    terms = _written(terms.withColumn("number", F.monotonically_increasing_id()), f"{path}/terms")
     weights = _weigh(counts, terms, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id")
     return TfidfIndex(_written(weights, f"{path}/weights"), terms, analyzer)
 
 
+#: Postings taken together, and products of documents and queries that one task holds.
+_ROWS, _PRODUCTS = 200_000, 4_000_000
+
+
+@dataclass(frozen=True)
+class _QueryTerms:
+    """Weights of a batch's terms: those of term k are ``query`` and ``weight`` from ``start[k]`` to ``start[k + 1]``."""
+
+    terms: pa.Array
+    start: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+    queries: pa.Array
+
+    @classmethod
+    def of(cls, asked: pa.Table) -> _QueryTerms:
+        """From rows (query_id, term, wq)."""
+        terms = asked["term"].combine_chunks().dictionary_encode()
+        queries = asked["query_id"].combine_chunks().dictionary_encode()
+        code = terms.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        start = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
+        return cls(terms.dictionary, start, queries.indices.to_numpy()[order], asked["wq"].to_numpy()[order], queries.dictionary)
+
+    def products(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score): sums over the postings ``rows`` (doc_id, term, w)."""
+        docs = rows["doc_id"].combine_chunks().dictionary_encode()
+        width = len(self.queries)
+        if len(docs.dictionary) * width > _PRODUCTS and len(docs.dictionary) > 1:
+            half = rows.num_rows // 2
+            yield from self.products(rows.slice(0, half))
+            yield from self.products(rows.slice(half))
+            return
+        term = pc.fill_null(pc.index_in(rows["term"].combine_chunks(), value_set=self.terms), -1).to_numpy()
+        hit = np.flatnonzero(term >= 0)
+        begin = self.start[term[hit]]
+        times = self.start[term[hit] + 1] - begin
+        # entry j of a posting is the j-th query of its term
+        entry = np.arange(times.sum()) + np.repeat(begin - np.cumsum(times) + times, times)
+        cell = np.repeat(docs.indices.to_numpy()[hit].astype(np.int64) * width, times) + self.query[entry]
+        score = np.bincount(cell, np.repeat(rows["w"].to_numpy()[hit], times) * self.weight[entry], len(docs.dictionary) * width)
+        cells = np.flatnonzero(score)
+        yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(cells % width)), docs.dictionary.take(pa.array(cells // width)), pa.array(score[cells])], ["query_id", "doc_id", "score"])
+
+
+def _multiply(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= _ROWS:
+                yield from shared.value.products(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from shared.value.products(pa.Table.from_batches(held))
+
+    return run
+
+
 def tfidf_scores(index: TfidfIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine of each query with the documents that share a term with it."""
-    asked = _asked(_weigh(term_counts(queries, index.analyzer, "query_id"), index.terms, "query_id").withColumnRenamed("w", "wq"))
-    return index.weights.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+    """(query_id, doc_id, score): cosine of each query with the documents that share a term with it.
+
+    A batch of up to ``BROADCAST_TERMS`` query terms is broadcast and multiplied
+    with the weights where they lie; a larger one is joined by shuffle.
+    """
+    asked = _weigh(term_counts(queries, index.analyzer, "query_id"), index.terms, "query_id").withColumnRenamed("w", "wq")
+    held = asked.limit(BROADCAST_TERMS + 1).toArrow()
+    if held.num_rows > BROADCAST_TERMS:
+        scored = index.weights.join(asked, "term").select("query_id", "doc_id", (F.col("w") * F.col("wq")).alias("score"))
+    elif not held.num_rows:
+        scored = index.weights.limit(0).crossJoin(asked.limit(0).select("query_id")).select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    else:
+        kinds = [asked.schema["query_id"], index.weights.schema["doc_id"], T.StructField("score", T.DoubleType())]
+        shared = index.weights.sparkSession.sparkContext.broadcast(_QueryTerms.of(held))
+        scored = index.weights.mapInArrow(_multiply(shared), T.StructType(kinds))
+    return scored.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
