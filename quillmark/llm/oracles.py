@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,6 +24,60 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN nullif(min(page_id) OVER (PA
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM f"""
 
 
+#: Weighted Jaccard similarity of item-sized windows, over all windows of every document and item that share a shingle.
+OP9 = f"""
+WITH i0 AS MATERIALIZED (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS MATERIALIZED (SELECT *, len(ws) AS l, row_number() OVER () AS k FROM i0 WHERE len(ws) > 0),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+g AS MATERIALIZED (SELECT k, l, array_to_string(ws[p:p + 4], ' ') AS s, count(*) AS c FROM i, LATERAL (SELECT unnest(range(1, greatest(l - 4, 1) + 1)) AS p) GROUP BY ALL),
+h AS MATERIALIZED (SELECT s, count(*) AS holders FROM g GROUP BY s),
+n AS (SELECT count(*) AS n FROM i),
+u AS MATERIALIZED (SELECT s, round(ln(1 + (SELECT n FROM n) / CASE WHEN holders > 1 THEN holders ELSE 1 END) * 68719476736)::HUGEINT AS w FROM h),
+o AS (SELECT round(ln(1 + (SELECT n FROM n)) * 68719476736)::HUGEINT AS w),
+t AS MATERIALIZED (SELECT k, l, sum(w * c) AS total FROM g JOIN u USING (s) GROUP BY ALL),
+x AS MATERIALIZED (SELECT r, len(ws) AS m, p, array_to_string(ws[p:p + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p) WHERE len(ws) > 0),
+y AS MATERIALIZED (SELECT x.*, sum(coalesce(u.w, (SELECT w FROM o))) OVER (PARTITION BY r ORDER BY p) AS upto, coalesce(u.w, (SELECT w FROM o)) AS w FROM x LEFT JOIN u USING (s)),
+z AS MATERIALIZED (SELECT y.r, g.k, y.m, g.l, least(y.m, g.l) AS len, greatest(least(y.m, g.l) - 4, 1) AS width, y.p, y.s, y.w, g.c FROM y JOIN g USING (s) WHERE (y.m >= 5 AND g.l >= 5)),
+v AS (SELECT r, k, width, "start", s, w, c, count(*) AS cw FROM z, LATERAL (SELECT unnest(range(greatest(p - width + 1, 1), least(p, m - len + 1) + 1)) AS "start") GROUP BY ALL),
+q AS (SELECT r, k, width, "start", sum(w * least(c, cw)) AS common FROM v GROUP BY ALL),
+f AS (SELECT q.r, q.k, common, t.total + b.w + e.upto - b.upto - common AS whole FROM q JOIN t USING (k) JOIN y b ON b.r = q.r AND b.p = q."start" JOIN y e ON e.r = q.r AND e.p = q."start" + q.width - 1),
+m AS (SELECT r, k, max(common::DOUBLE / whole::DOUBLE) AS similarity FROM f WHERE 4 * common >= 3 * whole GROUP BY ALL UNION ALL
+  SELECT r, k, 1.0 FROM d JOIN i ON i.l < 5 AND list_contains(list_transform(range(1, len(d.ws) - i.l + 2), lambda p: array_to_string(d.ws[p:p + i.l - 1], ' ')), array_to_string(i.ws, ' '))),
+a AS (SELECT r, count(*) AS n_items, max(similarity) AS similarity FROM m GROUP BY r),
+c AS (SELECT a.*, (SELECT min(item_id) FROM m JOIN i USING (k) WHERE m.r = a.r AND m.similarity = a.similarity) AS item_id FROM a)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, item_id, round(coalesce(similarity, 0), 9) AS similarity, coalesce(n_items, 0) AS n_items FROM d LEFT JOIN c USING (r)"""
+
+
+#: CRC-32 byte by byte with the table of its polynomial; then the walk around the ring, one piece of an arc at a time.
+OP8 = f"""
+WITH RECURSIVE t8 AS (SELECT b, b AS v, 0 AS k FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM t8 WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS c FROM t8 WHERE k = 8),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(coalesce(text, '')), 2),
+  lambda p: ('0x' || substr(hex(encode(coalesce(text, ''))), p, 2))::BIGINT)), lambda x, y: xor(c[(xor(x, y) & 255) + 1], x >> 8))) AS text_crc32 FROM documents, crc),
+nodes AS MATERIALIZED (SELECT ('0x' || substr(md5('shard-' || s || '-node-' || v), 1, 8))::BIGINT AS place, min(s) AS shard FROM (SELECT unnest(range(8)) AS s), (SELECT unnest(range({sharding.VIRTUAL_NODES})) AS v) GROUP BY 1),
+arcs AS MATERIALIZED (SELECT place, shard, row_number() OVER (ORDER BY place) - 1 AS arc FROM nodes),
+placed AS MATERIALIZED (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || size || '|' || text_crc32), 9, 4))::BIGINT % {sharding.PARTS} AS part FROM docs),
+unit AS MATERIALIZED (SELECT placed.*, coalesce(arc, 0) * {sharding.PARTS} + part AS unit FROM placed ASOF LEFT JOIN arcs ON placed.place <= arcs.place),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY place, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank FROM unit),
+n AS MATERIALIZED (SELECT unit, count(*) AS n FROM unit GROUP BY unit),
+fixed AS MATERIALIZED (SELECT list(coalesce(n.n, 0) ORDER BY e.u) AS counts, (SELECT list(shard ORDER BY arc) FROM arcs) AS owners, count(*) AS units, (SELECT count(*) FROM docs) AS total FROM (SELECT unnest(range((SELECT count(*) FROM arcs) * {sharding.PARTS})) AS u) e LEFT JOIN n ON n.unit = e.u),
+room AS MATERIALIZED (SELECT list_transform(range(8), lambda s: total // 8 + CASE WHEN s < total % 8 THEN 1 ELSE 0 END) AS room FROM fixed),
+walk AS (
+  SELECT 0::BIGINT AS step, false AS drain, 0::BIGINT AS own, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS used, []::STRUCT(u BIGINT, lo BIGINT, hi BIGINT)[] AS queue, NULL::STRUCT(u BIGINT, lo BIGINT, hi BIGINT, shard BIGINT, slot BIGINT) AS seg
+  UNION ALL
+  SELECT CASE WHEN more THEN step ELSE step + 1 END, more, CASE WHEN more THEN taken ELSE 0 END, now,
+    CASE WHEN more OR taken >= n THEN rest ELSE list_append(rest, {{'u': u, 'lo': taken, 'hi': n}}) END, CASE WHEN t > 0 THEN {{'u': piece.u, 'lo': piece.lo, 'hi': piece.lo + t, 'shard': s, 'slot': used[s + 1]}} END
+  FROM (SELECT *, len(rest) > 0 AND now[s + 1] < room[s + 1] AS more FROM (
+    SELECT *, list_concat(list_append(used[:s], used[s + 1] + t), used[s + 2:]) AS now, CASE WHEN drain THEN own ELSE t END AS taken,
+      CASE WHEN NOT drain THEN queue WHEN piece.lo + t < piece.hi THEN list_prepend({{'u': piece.u, 'lo': piece.lo + t, 'hi': piece.hi}}, queue[2:]) ELSE queue[2:] END AS rest
+    FROM (SELECT *, least(piece.hi - piece.lo, room[s + 1] - used[s + 1]) AS t FROM (
+      SELECT walk.*, room, u, n, s, CASE WHEN drain THEN queue[1] ELSE {{'u': u, 'lo': 0::BIGINT, 'hi': n}} END AS piece FROM (
+        SELECT walk.*, step % units AS u, CASE WHEN step < units THEN counts[step % units + 1] ELSE 0 END AS n, owners[(step % units) // {sharding.PARTS} + 1] AS s FROM walk, fixed
+        WHERE step < units OR (step < 2 * units AND len(queue) > 0)) walk, room))))),
+segs AS MATERIALIZED (SELECT seg.u AS unit, seg.lo AS lo, seg.hi AS hi, seg.shard AS shard, seg.slot AS slot FROM walk WHERE seg IS NOT NULL)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, slot + rank - lo AS slot, NULL::INT AS grown_shard FROM ranked JOIN segs ON segs.unit = ranked.unit AND rank >= lo AND rank < hi"""
+
+
 def _op2() -> str:
     """Raking written out sweep by sweep over the cell table."""
     t = "coalesce(text, '')"

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": oracles.OP2, "op6_minhash": oracles.OP6, "op10_warc": oracles.OP10}
+    return {"op2_mixing": oracles.OP2, "op6_minhash": oracles.OP6, "op8_sharding": oracles.OP8, "op9_decontaminate": oracles.OP9, "op10_warc": oracles.OP10}
