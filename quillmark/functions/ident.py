@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# The grammar of a printed designator.
-PREFIXES = r"IS(?:/(?:[A-Za-z]+(?:/[A-Za-z]+)*))?|SP|IEC|ISO/SAE|ISIHB"
-NUMBER = r"[A-Z]?\d{1,6}"
-PART = r"\s*[\(\-/ ]\s*(?:Part|Pt\.?)\s*(\d+)\s*\)?|-(\d{1,3})(?!\d)"
-SECTION = r"\s*[\(\-/ ]\s*(?:Sec|Section)\s*(\d+)\s*\)?|-(\d{1,3})(?!\d)"
-YEAR = r"\s*[:\-]\s*((?:18|19|20)\d{2})"
-
-DESIGNATOR = rf"(?i)({PREFIXES})\s*[:\-/]?\s*({NUMBER})(?:{PART})?(?:{SECTION})?(?:{YEAR})?"
+# Fixed value: the grammar of a printed designator: prefix, number, part, bare part, section, bare section, year.
+DESIGNATOR = (
+    r"(?i)(IS(?:/(?:[A-Za-z]+(?:/[A-Za-z]+)*))?|SP|IEC|ISO/SAE|ISIHB)\s*[:\-/]?\s*([A-Z]?\d{1,6})"
+    r"(?:\s*[\(\-/ ]\s*(?:Part|Pt\.?)\s*(\d+)\s*\)?|-(\d{1,3})(?!\d))?"
+    r"(?:\s*[\(\-/ ]\s*(?:Sec|Section)\s*(\d+)\s*\)?|-(\d{1,3})(?!\d))?"
+    r"(?:\s*[:\-]\s*((?:18|19|20)\d{2}))?"
+)
 #: The same with a word boundary in front, so that "this 12" is no designator.
 STRICT_DESIGNATOR = DESIGNATOR.replace("(?i)", r"(?i)\b", 1)
 _PREFIX, _NUMBER, _PART, _BARE_PART, _SECTION, _BARE_SECTION, _YEAR = range(1, 8)
