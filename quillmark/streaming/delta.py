@@ -1,15 +1,16 @@
 """Delta synchronisation: landed files, change detection, idempotent upserts.
 
 Each micro-batch is deduplicated, compared with the stored table, upserted and
-audited.  A batch writes its own version of the table, named by its batch id,
-so a batch that is run again after a failure replaces its own output only.
+audited.  A batch writes its own version of those parts of the table that its
+keys lie in, named by its batch id, so a batch that is run again after a failure
+replaces its own output only, and parts that it doesn't touch stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
@@ -18,19 +19,38 @@ from ..operators import cdc
 from ..sources.corpus import exists
 
 
+#: Parts of the stored table by a hash of the key; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def _version(base: str, batch: int) -> str:
     return f"{base}/batch={batch}"
 
 
-def current(spark: SparkSession, base: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The stored table as of the newest batch, or the newest one before ``before``."""
+def _children(spark: SparkSession, base: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``prefix``N under ``base``."""
     if not exists(spark, base):
-        return spark.createDataFrame([], schema)
+        return []
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    done = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and exists(spark, f"{base}/{n}/_SUCCESS")]
-    done = [b for b in done if before is None or b < before]
-    return spark.read.schema(schema).parquet(_version(base, max(done))) if done else spark.createDataFrame([], schema)
+    return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
+
+
+def current(spark: SparkSession, base: str, schema: StructType, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The stored table as of the newest batch, or the newest one before ``before``; ``buckets``: these parts alone.
+
+    Each part is read from the newest complete batch that wrote it.
+    """
+    newest: dict[int, int] = {}
+    for batch in sorted(_children(spark, base, "batch=")):
+        if (before is None or batch < before) and exists(spark, f"{_version(base, batch)}/_SUCCESS"):
+            newest |= dict.fromkeys(_children(spark, _version(base, batch), "bucket="), batch)
+    paths = [f"{_version(base, batch)}/bucket={k}" for k, batch in sorted(newest.items()) if buckets is None or k in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def logged(spark: SparkSession, log: str) -> DataFrame:
@@ -47,9 +67,11 @@ def delta_writer(store: str, log: str, key: str = "is_number", seq: str | None =
             newest = Window.partitionBy(key).orderBy(F.desc(seq))
             batch = batch.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", seq)
         fresh = cdc.with_hashes(batch)
-        stored = current(spark, store, fresh.schema, before=batch_id)
+        touched = {r[0] for r in fresh.select(_bucket(key)).distinct().collect()}
+        stored = current(spark, store, fresh.schema, before=batch_id, buckets=touched)
         changes = cdc.detect_changes(fresh, stored, key)
-        cdc.upsert(stored, fresh, key).write.mode("overwrite").parquet(_version(store, batch_id))
+        dealt = cdc.upsert(stored, fresh, key).withColumn("bucket", _bucket(key)).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(_version(store, batch_id))
         changes.filter("change_type <> 'unchanged'").write.mode("overwrite").parquet(_version(log, batch_id))
         if on_change:
             on_change(changes, batch_id)
