@@ -75,8 +75,9 @@ def amendments(text: Column) -> Column:
     return F.aggregate(rows, empty, lambda kept, r: F.when(F.exists(kept, lambda k: k["number"] == r["number"]), kept).otherwise(F.concat(kept, F.array(r))))
 
 
-def header_title(text: Column) -> Column:
-    line = F.regexp_extract(F.substring(text, 1, 2000), TITLE_LINE, 1)
+def header_title(text: Column, within: int = 2000) -> Column:
+    """The title line of a document's header; by rule a title stands in the first ``within`` characters."""
+    line = F.regexp_extract(F.substring(text, 1, within), TITLE_LINE, 1)
     return F.nullif(F.trim(F.regexp_replace(line, r"\s+", " "), F.lit(" -—")), F.lit(""))
 
 
@@ -102,10 +103,10 @@ def merge_repeated_cells(cells: Column) -> Column:
 ITEM_BREAK = r"\n\s*(?:\d+[\.\)]\s+|[a-z][\.\)]\s+|Item\s+\d+)"
 
 
-def segment_items(text: Column) -> Column:
-    """Numbered items over 60 characters, folded; without any the first 2000 characters of the whole."""
-    parts = F.filter(F.split(text, ITEM_BREAK, -1), lambda p: F.length(F.regexp_replace(p, r"^\s+|\s+$", "")) > 60)
-    return F.when(F.size(parts) > 0, F.transform(parts, collapse)).otherwise(F.array(F.substring(collapse(text), 1, 2000)))
+def segment_items(text: Column, least: int = 60, whole: int = 2000) -> Column:
+    """Numbered items over ``least`` characters, folded; by rule a text without any is one item of its first ``whole`` characters."""
+    parts = F.filter(F.split(text, ITEM_BREAK, -1), lambda p: F.length(F.regexp_replace(p, r"^\s+|\s+$", "")) > least)
+    return F.when(F.size(parts) > 0, F.transform(parts, collapse)).otherwise(F.array(F.substring(collapse(text), 1, whole)))
 
 
 def _matches(text: Column, pattern: str) -> Column:

@@ -130,7 +130,7 @@ def fetch_tenders(requests: DataFrame, tenders: DataFrame) -> DataFrame:
 
 
 def normalize_tender(title: Column, specification: Column, items: Column, most: int = 4000) -> Column:
-    """struct of normalized_query, technical_parameters and cited_standards."""
+    """struct of normalized_query, technical_parameters and cited_standards; by rule a query has ``most`` characters at most, the others read all."""
     parts = F.filter(F.concat(F.array(title, specification), items), lambda p: F.coalesce(p, F.lit("")) != "")
     combined = F.array_join(parts, " ")
     return F.struct(
