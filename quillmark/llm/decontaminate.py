@@ -14,7 +14,7 @@ it beyond any such radius, so the others follow by descending bound until it is
 no greater than the similarity found.
 
 The benchmark is the stated query set: it is broadcast in blocks of bounded
-size, each of which sees all documents.  Rarity is counted once over the whole
+size, each of which sees all documents, at most ``CHAIN`` of them at a time.  Rarity is counted once over the whole
 benchmark, so a verdict doesn't depend on the block of an item.  A shingle of a
 single item weighs as much as one of none; only those that items share, and
 their counts, go to every block.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, mix64, pieces, run_hashes, shingle_hashes, small_batches, split_words
+from .common import WordHashes, column_bytes, materialize, mix64, pieces, run_hashes, shingle_hashes, small_batches, split_words
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -42,6 +42,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items in one broadcast block.
 BLOCK_ITEMS = 1_000
+#: Blocks in one plan; between plans the rows are written and the blocks leave the executors.
+CHAIN = 8
 
 _FLIPS = np.array([sum(1 << b for b in bits) for k in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), k)], np.uint16)
 _BIT = np.arange(64, dtype=np.uint64)
@@ -300,6 +302,20 @@ def _keep(index):
     return run
 
 
+def _by_blocks(rows: DataFrame, benchmark: DataFrame, step) -> DataFrame:
+    """``rows`` after ``step`` (rows, broadcast block) for each block of the benchmark."""
+    held = []
+    for index in _blocks(benchmark):
+        if len(held) == CHAIN:
+            rows = materialize(rows, "blocks")
+            for block in held:
+                block.unpersist()
+            held = []
+        held.append(rows.sparkSession.sparkContext.broadcast(index))
+        rows = step(rows.transform(small_batches), held[-1])
+    return rows
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, item_id, similarity, n_items) for each row of ``docs``.
 
@@ -311,17 +327,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark leaves all documents clean.  Repeated rows get equal verdicts,
     other columns are ignored.
     """
-    spark = docs.sparkSession
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_items"))
     schema = "doc_id long, text string, item_id long, similarity double, n_items long"
-    for index in _blocks(benchmark):
-        out = out.transform(small_batches).mapInArrow(_report(spark.sparkContext.broadcast(index)), schema)
+    out = _by_blocks(out, benchmark, lambda rows, block: rows.mapInArrow(_report(block), schema))
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", F.round("similarity", 9).alias("similarity"), "n_items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
-    out = docs
-    for index in _blocks(benchmark):
-        out = out.transform(small_batches).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return out
+    return _by_blocks(docs, benchmark, lambda rows, block: rows.mapInArrow(_keep(block), docs.schema))

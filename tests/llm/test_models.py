@@ -381,8 +381,9 @@ def test_verdicts_do_not_depend_on_the_block(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join([*template, *(f"else{j}" for j in range(5))])), (2, items[20][1]), (3, items[4][1])], KIND)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = []
-    for size in (1000, 20, 6):
+    for size, chain in ((1000, 8), (20, 1), (6, 2)):
         monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        monkeypatch.setattr(decontaminate, "CHAIN", chain)
         found.append(sorted(map(tuple, decontaminate.contamination(docs, bench).collect())))
         assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {1}
     assert found[0] == found[1] == found[2] and [r[1] for r in found[0]] == [False, True, True]
