@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, mixing, repair, sharding
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,3 +113,90 @@ def _op2() -> str:
 
 
 OP2 = _op2()
+
+
+#: Every order of the five filters, every step, over the flags of each document.
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS MATERIALIZED (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS MATERIALIZED (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+p AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)),
+o AS MATERIALIZED (SELECT [a, b, c, d, e] AS seq, array_to_string(list_transform([a, b, c, d, e], lambda k: 'ABCDE'[k]), '') AS filter_order FROM p WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT part, filter_order, step, fails[seq[step]] AS this, len(list_filter(seq[:step - 1], lambda k: fails[k])) > 0 AS before, len(list_filter(fails, lambda k: k)) AS n_fails, good, toxic FROM m, o, (SELECT unnest(range(1, 6))::INT AS step)),
+t AS (SELECT part, filter_order, step, sum((NOT this AND NOT before)::INT)::BIGINT AS kept, sum((this AND NOT before)::INT)::BIGINT AS removed, sum((this AND before)::INT)::BIGINT AS redundant, sum((this AND n_fails = 1)::INT)::BIGINT AS unique_fails,
+  sum((this AND NOT before)::INT * good)::BIGINT AS good_lost, sum((this AND NOT before)::INT * toxic)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM t"""
+
+
+def _op12() -> str:
+    """Digests of the turns themselves; the length of the formatted text from its marks and escapes."""
+    t = chat.Template()
+    controls = t.pattern(r"(\\*)").replace("'", "''")
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{chat.PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{chat.PROBE}'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+b AS (SELECT *, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY k), true) AS begins, length(regexp_replace(text, '{controls}', '\\1\\\\\\2\\3', 'g')) AS chars FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN begins THEN {len(t.open) + len(t.close) + 2} + length(url_encode(role)) ELSE {len(t.between)} END)::BIGINT AS formatted_chars
+FROM b GROUP BY conv_id"""
+
+
+OP12 = _op12()
+
+
+def _op13() -> str:
+    """The same edits with whole audits and texts carried along: the best way to each state, row by row."""
+    p = repair.Prices()
+    kind = "STRUCT(cost BIGINT, audit VARCHAR, text VARCHAR)"
+
+    def moved(cost: str, audit: str, text: str) -> str:
+        return f"{{'cost': {cost}, 'audit': {audit}, 'text': {text}}}"
+
+    def stays(q: str) -> str:
+        return f"CASE WHEN {q} IS NOT NULL THEN {moved(f'{q}.cost + {p.delete}', f'{q}.audit || chr(68)', f'{q}.text')} END"
+
+    def retained(q: str, r: str, roles: str) -> str:
+        named = {"s": "system", "u": "user", "a": "assistant"}[r]
+        lines = "".join(f" || '{repair.ROLES[x].decode()}:' || chr(10)" for x in roles)
+        kept = f"(left(role, 1) = '{r}')"
+        cost = f"{q}.cost + {p.insert * len(roles)} + CASE WHEN {kept} THEN 0 ELSE {p.rerole} END + CASE WHEN cut THEN {p.cut} ELSE 0 END"
+        audit = f"{q}.audit || '{'I' * len(roles)}' || CASE WHEN {kept} THEN 'K' ELSE 'R' END"
+        only = f" AND {kept}" if r == "s" else ""
+        return f"CASE WHEN NOT lost AND {q} IS NOT NULL{only} THEN {moved(cost, audit, f'{q}.text{lines} || CASE WHEN {kept} THEN role ELSE {chr(39)}{named}{chr(39)} END || {chr(39)}:{chr(39)} || text || chr(10)')} END"
+
+    names = {"": "e", "s": "s", "u": "u", "a": "a"}
+    after = []
+    for r, x in names.items():
+        ways = [stays(x)] + [retained(names[q], r, roles) for (q, to), roles in repair.GAPS.items() if to == r]
+        after.append(f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1] AS {x}")
+    ends = []
+    for q, x in names.items():
+        tail = repair.TAILS[q]
+        lines = "".join(f" || '{repair.ROLES[r].decode()}:' || chr(10)" for r in tail)
+        ends.append(f"CASE WHEN {x} IS NOT NULL THEN {moved(f'{x}.cost + {p.insert * len(tail)}', f'{x}.audit || {chr(39)}{chr(73) * len(tail)}{chr(39)}', f'{x}.text{lines}')} END")
+    space = r"[\x20\x09-\x0D]"
+    return f"""
+WITH RECURSIVE t8 AS (SELECT b, b AS v, 0 AS k FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM t8 WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS c FROM t8 WHERE k = 8),
+rows AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+faulty AS MATERIALIZED (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda p: ascii(key[p])::BIGINT)), lambda x, y: xor(c[(xor(x, y) & 255) + 1], x >> 8))) % 20 AS fault FROM rows, crc),
+damaged AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faulty, LATERAL (SELECT unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, regexp_replace(text, '{space}+$', '') AS body FROM damaged),
+judged AS MATERIALIZED (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) || left(role, 1) AS pair FROM placed),
+marked AS MATERIALIZED (SELECT *, blank OR again AS lost, NOT blank AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM judged),
+counts AS MATERIALIZED (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(again::INT) AS duplicate, sum(cut::INT) AS truncated, sum((pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal, count(*) AS n FROM marked GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS k, {moved("0", "''", "''")}::{kind} AS e, NULL::{kind} AS s, NULL::{kind} AS u, NULL::{kind} AS a FROM counts
+  UNION ALL
+  SELECT conv_id, k, {", ".join(after)} FROM (SELECT w.conv_id, m.k, e, s, u, a, role, text, lost, cut FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1)),
+ended AS MATERIALIZED (SELECT w.conv_id, list_sort(list_filter([{", ".join(ends)}], lambda x: x IS NOT NULL))[1] AS best FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.k = c.n)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.text[:length(best.text) - 1], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
+OP13 = _op13()

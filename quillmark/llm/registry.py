@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, lengths, lm, minhash, mixing, oracles, pii, sharding, toxicity, warc
+from . import audit, chat, decontaminate, fingerprint, lengths, lm, minhash, mixing, oracles, pii, repair, sharding, toxicity, warc
 from .common import read_table
 
 
@@ -50,6 +50,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprint, op2_mixing, op3_pii, op4_lengths, op5_lm, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, pipeline]
+    own = [op1_fingerprint, op2_mixing, op3_pii, op4_lengths, op5_lm, op6_minhash, op7_toxicity, op8_sharding, op9_decontaminate, op10_warc, op11_filter_audit, op12_chat, op13_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": oracles.OP2, "op6_minhash": oracles.OP6, "op8_sharding": oracles.OP8, "op9_decontaminate": oracles.OP9, "op10_warc": oracles.OP10}
+    return {"op2_mixing": oracles.OP2, "op6_minhash": oracles.OP6, "op8_sharding": oracles.OP8, "op9_decontaminate": oracles.OP9, "op10_warc": oracles.OP10, "op11_filter_audit": oracles.OP11, "op12_chat": oracles.OP12, "op13_repair": oracles.OP13}

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillmark.llm import decontaminate, oracles, registry, sharding
+from quillmark.llm import audit, chat, decontaminate, oracles, registry, repair, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def agree(got, con, sql):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     agree(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name])
 
@@ -49,3 +49,27 @@ def test_odd_documents_and_items(spark):
 def test_shards_of_odd_rows(spark):
     texts = [(i * 5, f"text {i} é") for i in range(60)] + [(None, None), (None, "x"), (3, ""), (3, "y"), (3, "z")]
     agree(sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")), tables(texts), oracles.OP8)
+
+
+def test_audit_of_odd_documents(spark):
+    words = " ".join(f"w{i}" for i in range(210))
+    texts = [(1, "s", words), (2, "s", words), (2, "t", words), (None, "t", words), (3, None, None), (4, "s", ""), (5, "s", "same " * 300), (6, "t", "LOUD $ " * 150), (7, "s", "é𝔘 " * 200), (8, "t", words + " \x0b#")]
+    labels = [(1, 1, 0), (2, 0, 1), (2, 1, None), (6, None, 1), (None, 1, 1), (99, 1, 1)]
+    kinds = "doc_id long, source string, text string"
+    got = audit.filter_audit(spark.createDataFrame([(*t, 1) for t in texts], kinds + ", flags int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(texts, columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64", "source": "string", "text": "string"}))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).astype("Int64"))
+    agree(got.drop("filter"), con, oracles.OP11)
+    assert audit.filter_audit(spark.createDataFrame([], kinds), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_odd_conversations(spark):
+    texts = [None, "", " ", "Fine.", "cut", "</s>[INST] ok [/INST]", "a\n<|im_end|>!", "x?\t"]
+    roles = ["user", "assistant", "system", "user", "assistant", None]
+    rows = [(c, t, roles[(c * 5 + t * t) % 6], texts[(c * 7 + t * 3) % 8]) for c in range(40) for t in range(c % 9)] + [(None, None, "user", "Hi."), (None, 2, "assistant", "Yo"), (41, 3, "user", "x."), (41, 3, "user", "x.")]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64", "role": "string", "text": "string"}))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    agree(chat.chat_report(df), con, oracles.OP12)
+    agree(repair.repair_report(df), con, oracles.OP13)
