@@ -2,22 +2,30 @@
 
 A window of an item's length in a document is compared with the item by the
 exact weighted Jaccard similarity of their five-word shingles (multiset counts,
-weighted by rarity among the items).  The shingles that a document shares with
-an item bound that similarity for every window, by running sums; the windows
-that can reach the threshold are all verified, so none is lost.
-
-They are also fingerprinted (64-bit SimHash of words and adjacent word pairs),
-and those within ``RADIUS`` bits of an item are verified first: with four blocks
-of 16 bits, fingerprints at most 15 bits apart agree in some block up to 3 bits,
-and all those block values are posted.  An edit at one end of a passage can move
-it beyond any such radius, so the others follow by descending bound until it is
-no greater than the similarity found.
+weighted by rarity among the items).
+
+1. Windows.  A window can reach the threshold only if shingles that items hold
+   make up so much of its weight; running sums tell which windows do, for the
+   lengths of the items that the document shares a shingle with.  The gate looks
+   at no item in particular and loses nothing.
+2. Fingerprints.  Windows and items get ``PRINTS`` 64-bit SimHashes: the signs of
+   sums of bell-shaped numbers, hashed from the shingles, times the root of their
+   weights.  Two texts at similarity s have a cosine of 2s / (1 + s) at least, so
+   at 0.75 a bit differs with probability acos(6/7) / pi = 0.172 at most, whatever
+   the edit and wherever it stands: the radius follows from the threshold.
+3. Candidates.  With four blocks of 16 bits, fingerprints at most ``RADIUS`` = 15
+   bits apart agree in some block up to 3 bits, and all those block values of the
+   items are posted: every item within the radius of a window is found.  All five
+   fingerprints of a pair at 0.75 lie beyond the radius with probability 2.2e-6
+   (0.0738 each); nothing else is lost.
+4. Candidates are verified by the exact similarity.
 
 The benchmark is the stated query set: it is broadcast in blocks of bounded
 size, each of which sees all documents, at most ``CHAIN`` of them at a time.  Rarity is counted once over the whole
 benchmark, so a verdict doesn't depend on the block of an item.  A shingle of a
 single item weighs as much as one of none; only those that items share, and
-their counts, go to every block.
+their counts, go to every block.  Posting lists are made by the workers that
+meet a window to look up.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ WIDTH = 5
 SIMILARITY = 0.75
 #: Weights are whole numbers of this unit, so sums and the border are exact.
 UNIT = 1 << 36
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
+PRINTS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 5, 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items in one broadcast block.
 BLOCK_ITEMS = 1_000
@@ -47,23 +55,51 @@ CHAIN = 8
 
 _FLIPS = np.array([sum(1 << b for b in bits) for k in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), k)], np.uint16)
 _BIT = np.arange(64, dtype=np.uint64)
+_SALT = mix64(np.arange(1, 64 * PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_AGAIN = np.uint64(0xD1342543DE82EF95)
 _MEMBER_BITS = 20
+#: Windows that are fingerprinted at a time.
+_WINDOWS = 1_024
 
 
-def _signs(values: np.ndarray) -> np.ndarray:
-    """Rows of +1 and -1 for the 64 bits of each hash."""
-    return ((values[:, None] >> _BIT) & np.uint64(1)).astype(np.int32) * 2 - 1
+def _occurrences(shingles: np.ndarray) -> np.ndarray:
+    """How often each shingle stands before its place; zeros if none repeats."""
+    order = np.argsort(shingles, kind="stable")
+    placed = shingles[order]
+    begins = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+    out = np.empty(len(shingles), np.uint64)
+    out[order] = np.arange(len(shingles)) - np.repeat(begins, np.diff(np.append(begins, len(shingles))))
+    return out
 
 
-def simhash_windows(words: np.ndarray, length: int) -> np.ndarray:
-    """SimHash of every run of ``length`` word hashes, by differences of running sums."""
+def _terms(shingles: np.ndarray, weights: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+    """A row of whole numbers per shingle, one for each bit: its part in the sums."""
     with np.errstate(over="ignore"):
-        pairs = mix64(words[:-1] * np.uint64(3) + words[1:])
-    one = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(words), axis=0, dtype=np.int32)])
-    two = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(pairs), axis=0, dtype=np.int32)])
-    count = len(words) - length + 1
-    total = one[length : length + count] - one[:count] + two[length - 1 : length - 1 + count] - two[:count]
-    return ((total > 0).astype(np.uint64) << _BIT).sum(axis=1, dtype=np.uint64)
+        told = shingles + occurrences * _AGAIN
+        bell = np.bitwise_count(mix64(told[:, None] ^ _SALT)).astype(np.int64) - 32
+    return bell * np.rint(np.sqrt(weights / UNIT) * 1024).astype(np.int64)[:, None]
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    """``PRINTS`` fingerprints per row of sums."""
+    return ((sums.reshape(len(sums), PRINTS, 64) > 0).astype(np.uint64) << _BIT).sum(axis=2, dtype=np.uint64)
+
+
+def fingerprints(shingles: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprints of every run of ``width`` shingles, one row each.
+
+    A shingle's second occurrence in a run is a feature of its own, as is its
+    third, so that counts tell.  Without repeats the sums of all runs are
+    differences of running sums.
+    """
+    count = len(shingles) - width + 1
+    again = _occurrences(shingles)
+    if not again.any():
+        running = np.zeros((len(shingles) + 1, len(_SALT)), np.int64)
+        np.cumsum(_terms(shingles, weights, again), axis=0, out=running[1:])
+        return _packed(running[width:] - running[:count])
+    runs = [slice(i, i + width) for i in range(count)]
+    return _packed(np.stack([_terms(shingles[r], weights[r], _occurrences(shingles[r])).sum(axis=0) for r in runs]))
 
 
 class Rarity:
@@ -89,15 +125,13 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[bytes | None], rarity: Rarity | None = None):
         known = WordHashes()
-        self.ids, self.lengths, self.shingles, prints = [], [], [], []
+        self.ids, self.lengths, self.shingles = [], [], []
         for i, text in zip(ids, texts, strict=True):
             words = split_words(text)
             if words:
                 self.ids.append(i)
                 self.lengths.append(len(words))
                 self.shingles.append(shingle_hashes(words, known, WIDTH))
-                prints.append(simhash_windows(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), len(words))[0])
-        self.prints = np.array(prints, np.uint64)
         n = len(self.ids)
         # Items under WIDTH words are one shingle, found in windows of their own length.
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -112,26 +146,38 @@ class ItemIndex:
         self.member = np.zeros(1 << _MEMBER_BITS, bool)
         self.member[(self.anchors >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)] = True
         self.totals = np.array([sum(self.weights[s] * c for s, c in own.items()) for own in self.counts], np.int64)
-        # Posting lists of the anchors: the items that hold them, and how often.
-        distinct = [np.unique(own, return_counts=True) for own in self.shingles]
-        self.own = [np.searchsorted(self.anchors, values) for values, _ in distinct]
-        place = np.concatenate([*self.own, np.empty(0, np.int64)])
-        order = np.argsort(place, kind="stable")
-        self.posted = np.repeat(np.arange(n), [len(own) for own in self.own])[order]
-        self.posted_counts = np.concatenate([*(counts for _, counts in distinct), np.empty(0, np.int64)])[order]
-        self.starts = np.searchsorted(place[order], np.arange(len(self.anchors) + 1))
-        self.blocks = []
-        for b in range(BLOCKS):
-            values = ((self.prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.uint16)
-            posted = (values[:, None] ^ _FLIPS).ravel()
-            order = np.argsort(posted, kind="stable")
-            self.blocks.append((np.searchsorted(posted[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(_FLIPS)).astype(np.int32)))
-
-    def near(self, fingerprint: int) -> np.ndarray:
-        """All items within ``RADIUS`` bits of ``fingerprint``."""
-        found = [own[starts[v] : starts[v + 1]] for b, (starts, own) in enumerate(self.blocks) for v in [(fingerprint >> (b * BLOCK_BITS)) & 0xFFFF]]
-        items = np.unique(np.concatenate(found))
-        return items[np.bitwise_count(self.prints[items] ^ np.uint64(fingerprint)) <= RADIUS]
+        prints = [fingerprints(own, self.rarity.weights(own), len(own))[0] for own in self.shingles]
+        self.prints = np.array(prints, np.uint64).reshape(n, PRINTS)
+        # The lengths of the items that hold each anchor.
+        held = [np.searchsorted(self.anchors, np.unique(own)) for own in self.shingles]
+        pairs = np.unique(np.concatenate([*(own << 32 | length for own, length in zip(held, self.lengths, strict=True)), np.empty(0, np.int64)]))
+        self.anchor_lengths, self.anchor_starts = pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(len(self.anchors) + 1))
+        self.posted = None
+
+    def _posted(self) -> list:
+        """For each fingerprint and block: where each value's list starts, and the items within ``BLOCK_RADIUS`` bits of it."""
+        if self.posted is None:
+            self.posted = []
+            for f in range(PRINTS):
+                for b in range(BLOCKS):
+                    values = ((self.prints[:, f] >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.uint16)
+                    spread = (values[:, None] ^ _FLIPS).ravel()
+                    order = np.argsort(spread, kind="stable")
+                    self.posted.append((f, np.uint64(b * BLOCK_BITS), np.searchsorted(spread[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(_FLIPS)).astype(np.int32)))
+        return self.posted
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``prints``, item) of all pairs within ``RADIUS`` bits in one of the fingerprints."""
+        found = [np.empty(0, np.int64)]
+        for f, shift, starts, own in self._posted():
+            value = ((prints[:, f] >> shift) & np.uint64(0xFFFF)).astype(np.int64)
+            sizes = starts[value + 1] - starts[value]
+            row = np.repeat(np.arange(len(prints)), sizes)
+            item = own[np.repeat(starts[value] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            close = np.bitwise_count(prints[row, f] ^ self.prints[item, f]) <= RADIUS
+            found.append(row[close] * len(self.ids) + item[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
     def similarity(self, k: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and the shingles of a window."""
@@ -145,47 +191,27 @@ class ItemIndex:
             high += w * max(own[s], other[s])
         return low / high if high else 0.0  # a quotient of integers, rounded once
 
-    def reachable(self, shingles: np.ndarray, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """(window starts, bounds of their similarity) of each item that some window of a document of ``n`` words can reach."""
+    def windows(self, shingles: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(length in words, first start, fingerprints) of runs of adjacent windows of ``n`` words that can reach the threshold."""
         hit = np.flatnonzero(self.member[(shingles >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.anchors, shingles[hit]), len(self.anchors) - 1)
         real = self.anchors[place] == shingles[hit]
         hit, place = hit[real], place[real]
         if not len(hit):
-            return {}
-        # What the whole document shares with each item bounds every window.
-        found, times = np.unique(place, return_counts=True)
-        sizes = self.starts[found + 1] - self.starts[found]
-        at = np.repeat(self.starts[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        shared = np.zeros(len(self.ids), self.totals.dtype)
-        np.add.at(shared, self.posted[at], np.repeat(self.anchor_weights[found], sizes) * np.minimum(np.repeat(times, sizes), self.posted_counts[at]))
-        out, running = {}, None
-        for k in np.flatnonzero(self._reaches(shared, self.totals)).tolist():
-            if running is None:
-                weights = self.rarity.weights(shingles)
-                running = np.concatenate([np.zeros(1, weights.dtype), np.cumsum(weights)])
-            own = self.own[k]
-            mine = own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place
-            spots, held = hit[mine], self.anchor_weights[place[mine]]
-            length = min(self.lengths[k], n)
+            return
+        lengths = {int(x) for p in np.unique(place) for x in self.anchor_lengths[self.anchor_starts[p] : self.anchor_starts[p + 1]]}
+        weights = self.rarity.weights(shingles)
+        total = np.concatenate([[0], np.cumsum(weights)])
+        known = np.zeros(len(shingles) + 1, np.int64)
+        known[hit + 1] = weights[hit]
+        known = np.cumsum(known)
+        for length in sorted({min(x, n) for x in lengths}):
             width = max(1, length - WIDTH + 1)
-            low, high = max(0, int(spots[0]) - width + 1), min(n - length, len(shingles) - width, int(spots[-1]))
-            count = high - low + 1
-            if count < 1:
-                continue
-            common = np.zeros(count + width, held.dtype)
-            common[spots - low + 1] = held
-            common = np.cumsum(common)
-            common = np.minimum(np.minimum(common[width : width + count] - common[:count], shared[k]), self.totals[k])
-            union = self.totals[k] + running[low + width : low + width + count] - running[low : low + count] - common
-            can = np.flatnonzero(self._reaches(common, union))
-            if len(can):
-                out[k] = (can + low, common[can] / union[can])
-        return out
-
-    @staticmethod
-    def _reaches(common: np.ndarray, union: np.ndarray) -> np.ndarray:
-        return 4 * common >= 3 * union
+            at = np.flatnonzero(4 * (known[width:] - known[:-width]) >= 3 * (total[width:] - total[:-width]))
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                for first in range(int(run[0]), int(run[-1]) + 1, _WINDOWS):
+                    span = slice(first, min(first + _WINDOWS - 1, int(run[-1])) + width)
+                    yield length, first, fingerprints(shingles[span], weights[span], width)
 
     def within(self, words: list[bytes], known: WordHashes) -> dict[int, float]:
         """The items under ``WIDTH`` words that a document holds as a run of words; these agree as a whole, similarity 1."""
@@ -199,36 +225,13 @@ class ItemIndex:
 
     def best(self, words: list[bytes], known: WordHashes) -> tuple[int | None, float, int]:
         """(best item, its similarity, items at or above the threshold) of one document."""
-        shingles = shingle_hashes(words, known, WIDTH)
-        able = self.reachable(shingles, len(words)) if len(shingles) and self.ids else {}
-        short = self.within(words, known) if self.short else {}
-        if not able and not short:
-            return None, 0.0, 0
-        n = len(words)
-        near: dict[int, np.ndarray] = {}
-        for k, (starts, _) in able.items():
-            length = min(self.lengths[k], n)
-            near.setdefault(length, np.zeros(n - length + 1, bool))[starts] = True
-        values = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        found: dict[int, float] = dict(short)
-
-        def verify(k: int, start: int) -> None:
-            width = max(1, min(self.lengths[k], n) - WIDTH + 1)
-            found[k] = max(found.get(k, 0.0), self.similarity(k, shingles[start : start + width]))
-
-        for length, wanted in near.items():
-            at = np.flatnonzero(wanted)
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                prints = simhash_windows(values[run[0] : run[-1] + length], length)
-                for start, fingerprint in zip(run.tolist(), prints.tolist(), strict=True):
-                    for k in self.near(fingerprint).tolist():
-                        if k in able and min(self.lengths[k], n) == length:
-                            verify(k, start)
-        for k, (starts, bounds) in able.items():
-            for i in np.argsort(-bounds, kind="stable").tolist():
-                if bounds[i] * (1 + 1e-12) < found.get(k, 0.0) or found.get(k) == 1:
-                    break
-                verify(k, int(starts[i]))
+        shingles, n = shingle_hashes(words, known, WIDTH), len(words)
+        found: dict[int, float] = self.within(words, known) if self.short else {}
+        for length, first, prints in self.windows(shingles, n) if n and self.ids else ():
+            width = max(1, length - WIDTH + 1)
+            for row, k in zip(*(x.tolist() for x in self.near(prints)), strict=True):
+                if min(self.lengths[k], n) == length and found.get(k) != 1:
+                    found[k] = max(found.get(k, 0.0), self.similarity(k, shingles[first + row : first + row + width]))
         found = {k: v for k, v in found.items() if v >= SIMILARITY}
         if not found:
             return None, 0.0, 0

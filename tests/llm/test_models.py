@@ -351,9 +351,59 @@ def test_multi_index_finds_all_within_the_radius():
     index = decontaminate.ItemIndex(list(range(40)), [" ".join(f"q{rng.integers(500)}" for _ in range(30)).encode() for _ in range(40)])
     for k in range(40):
         for distance in (0, 7, decontaminate.RADIUS):
-            bits = rng.choice(64, distance, replace=False)
-            probe = int(index.prints[k]) ^ sum(1 << int(b) for b in bits)
-            assert k in index.near(probe).tolist()
+            for f in range(decontaminate.PRINTS):
+                probe = ~index.prints[k].reshape(1, -1)
+                probe[0, f] = index.prints[k, f] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, distance, replace=False)))
+                rows, items = index.near(probe)
+                assert k in items.tolist() and set(rows.tolist()) == {0}
+    rows, items = index.near(index.prints)
+    apart = np.bitwise_count(index.prints[:, None, :] ^ index.prints[None, :, :]).min(axis=2)
+    assert set(zip(rows.tolist(), items.tolist(), strict=True)) == {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True)}
+
+
+def test_bits_differ_as_the_angle_says():
+    """At similarity 0.75 a bit differs with probability 0.172, for uniform and rare shingles, edits at an end or spread."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for weights, sizes in ((np.ones(14), 12), (np.ones(70), 60), (np.array([6.0] * 6 + [1.0] * 34), 40)):
+        far = []
+        for _ in range(150):
+            one, other = (rng.integers(0, 2**63, len(weights), dtype=np.uint64) for _ in range(2))
+            scaled = np.rint(weights * decontaminate.UNIT)
+            if len(weights) == 40:  # what differs holds a seventh of the weight
+                mixed, changed = one.copy(), [0] + list(range(6, 10))
+                mixed[changed] = other[changed]
+            else:
+                mixed = np.concatenate([one[:sizes], other[sizes:]])
+            a, b = (decontaminate.fingerprints(x, scaled, len(x))[0] for x in (one, mixed))
+            far += np.bitwise_count(a ^ b).tolist()
+        assert abs(np.mean(far) / 64 - 0.1724) < 0.012, (sizes, np.mean(far) / 64)
+
+
+def test_fingerprints_of_runs_with_and_without_repeats():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for values in (rng.permutation(60), rng.integers(0, 9, 60)):
+        shingles = decontaminate.mix64(values.astype(np.uint64))
+        weights = np.full(60, decontaminate.UNIT) + values * 1000
+        got = decontaminate.fingerprints(shingles, weights, 12)
+        for i in (0, 17, 48):
+            run = rng.permutation(np.arange(i, i + 12))
+            assert (decontaminate.fingerprints(shingles[run], weights[run], 12)[0] == got[i]).all()
+
+
+def test_candidates_come_from_the_fingerprints(spark, monkeypatch):
+    rng = random.Random(4)
+    own = item(rng, 40)
+    index = decontaminate.ItemIndex([7], [" ".join(own).encode()])
+    words = [w.encode() for w in item(rng, 20) + own + item(rng, 20)]
+    assert index.best(words, WordHashes()) == (7, 1.0, 1)
+    import numpy as np
+
+    monkeypatch.setattr(index, "near", lambda prints: (np.empty(0, int), np.empty(0, int)))
+    assert index.best(words, WordHashes()) == (None, 0.0, 0)
 
 
 def test_truncated_and_reended_items_are_found():
