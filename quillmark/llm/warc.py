@@ -8,11 +8,14 @@ the blank lines that end a WARC record, so any Hadoop file system works and a
 lost executor's files are replaced by the commit protocol.  Each archive file is
 one gzip member, so records can't be read by offset; its records are so many
 that their payloads stay within ``FILE_BYTES`` (a larger one has its own file).
-Archives of others, with a gzip member per record, are read as well.
+Archives of others are read as well: plain or gzipped, with a member per record
+or one for all, and with payload digests of other algorithms.  A file is read by
+one task and, like any row of Spark's binary source, holds 2 GB at most.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -58,8 +61,8 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """(record, n): each page's WARC record without the blank lines at its end, and its payload's bytes."""
+def warc_records(pages: DataFrame, date: str = WARC_DATE) -> DataFrame:
+    """(record, n): each page's WARC record, dated ``date``, without the blank lines at its end, and its payload's bytes."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     n = F.octet_length(html).cast("long")
     digest = F.sha2(html.cast("binary"), 256)
@@ -74,11 +77,11 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.when(again, "revisit").otherwise("response"),
         F.lit(f"{CRLF}WARC-Record-ID: "),
         _record_id(F.col("page_id")),
-        F.lit(f"{CRLF}WARC-Date: {WARC_DATE}{CRLF}WARC-Target-URI: "),
+        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "),
         F.col("url"),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"),
         F.col("digest"),
-        F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit(f"{CRLF}WARC-Refers-To-Target-URI: "), F.col("refers_to_url"), F.lit(f"{CRLF}WARC-Refers-To-Date: {WARC_DATE}"))).otherwise(F.lit("")),
+        F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit(f"{CRLF}WARC-Refers-To-Target-URI: "), F.col("refers_to_url"), F.lit(f"{CRLF}WARC-Refers-To-Date: {date}"))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(CRLF * 2),
@@ -86,15 +89,15 @@ def warc_records(pages: DataFrame) -> DataFrame:
     return known.select(F.concat(head, block).alias("record"), "n")
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped archives under ``path``.
+def write_warc(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
+    """Write ``pages`` (page_id, url, html) as gzipped archives under ``path``, with ``date`` in all headers.
 
     Payloads are written band by band of their size, so that the number of
     records bounds the bytes of a file.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     longest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
-    records, low = warc_records(pages), -1
+    records, low = warc_records(pages, date), -1
     for size, count in BANDS:
         own = records.filter((F.col("n") > low) & ((F.col("n") <= size) if size < BANDS[-1][0] else F.lit(True)))
         if low < 0 or longest > low:
@@ -137,6 +140,45 @@ def _number(record_id: str | None) -> int | None:
     return int(value) if value.lstrip("-").isdecimal() else None
 
 
+#: Digest algorithms that payloads are checked by, and the bytes of their digests.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
+
+
+def stated_digest(value: str | None) -> tuple[str | None, bytes | None]:
+    """(algorithm, digest) of a digest header in hexadecimal or base 32; nothing if either isn't known."""
+    name, _, text = (value or "").strip().partition(":")
+    name, text = name.lower().replace("-", ""), text.strip()
+    size = ALGORITHMS.get(name)
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * (size or 0) else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None, None
+    return (name, raw) if size and len(raw) == size else (None, None)
+
+
+def _content(headers: dict[str, str], block: bytes) -> tuple[bytes, int, bool]:
+    """(payload, its stated or real bytes, whether digests are over the payload as it stands here)."""
+    if not headers.get("content-type", "application/http").lower().startswith("application/http"):
+        return block, len(block), True
+    http, _, payload = block.partition(b"\r\n\r\n")
+    stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+    size = int(stated[1]) if stated and headers["warc-type"] == "revisit" else len(payload)
+    return payload, size, not re.search(rb"(?im)^transfer-encoding:", http)
+
+
+def _row(headers: dict[str, str], block: bytes) -> tuple:
+    payload, size, plain = _content(headers, block)
+    again = headers["warc-type"] == "revisit"
+    name, digest = stated_digest(headers.get("warc-payload-digest"))
+    if again:
+        told = digest.hex() if name == "sha256" else headers.get("warc-payload-digest")
+    else:
+        if name and plain and hashlib.new(name, payload).digest() != digest:
+            raise ValueError(f"payload of {headers.get('warc-record-id')} does not match its digest")
+        told = hashlib.sha256(payload).hexdigest()
+    return _number(headers.get("warc-record-id")), headers.get("warc-target-uri"), headers["warc-type"], size, told, _number(headers.get("warc-refers-to")), None if again else payload
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -144,17 +186,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column("content"):
             rows, held = [], 0
             for headers, block in (r for member in members(content.as_py()) for r in parse_warc(member)):
-                if headers["warc-type"] not in ("response", "revisit"):
+                if headers.get("warc-type") not in ("response", "revisit"):
                     continue
-                http, _, payload = block.partition(b"\r\n\r\n")
-                again = headers["warc-type"] == "revisit"
-                stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-                size = int(stated[1]) if stated else None if again else len(payload)
-                digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") or (None if again else hashlib.sha256(payload).hexdigest())
-                if not again and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                rows.append((_number(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], size, digest, _number(headers.get("warc-refers-to")), None if again else payload))
-                held += len(payload)
+                rows.append(_row(headers, block))
+                held += len(rows[-1][-1] or b"")
                 if held > 16_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
                     rows, held = [], 0
@@ -165,11 +200,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) per record.
 
-    Payloads are checked against their digests; a revisit's payload is null
-    and is found at the response that ``refers_to`` names.  Other records are
-    left out; page_id is null where the record's id is not of this module.
+    All files of ``path`` are read, but for those whose names begin with a dot
+    or an underscore.  Payloads are checked against digests of ``ALGORITHMS``,
+    in hexadecimal or base 32, unless a transfer encoding stands between;
+    other digests are not checked.  payload_digest is the bare SHA-256, but for
+    revisits that state another digest, which is given as it is.  A revisit's
+    payload is null and is found at the response that ``refers_to`` names.
+    Other records are left out; page_id is null where the record's id is not of
+    this module.  A file that is no archive, or is cut short, is an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 

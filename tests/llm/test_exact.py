@@ -229,3 +229,45 @@ def test_shard_edge_cases(spark):
     assert sharding.shard_documents(spark.createDataFrame([], KIND)).count() == 0
     got = sharding.shard_documents(spark.createDataFrame([(1, "a")] * 9 + [(None, None)], KIND)).collect()
     assert len(got) == 10 and max(Counter(r["shard"] for r in got).values()) == 2
+
+
+def foreign(kind, name, payload, digest=None, content="application/http; msgtype=response", http="HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", version="1.0"):
+    block = http.encode() + payload
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: http://x/{name}\r\nContent-Type: {content}\r\n"
+    head += f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+    return head.encode() + b"Content-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+
+
+def test_foreign_digests_and_plain_archives(spark, tmp_path):
+    import base64
+
+    body = b"<p>payload</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        foreign("warcinfo", "0", b"", content="application/warc-fields", http=""),
+        foreign("response", "1", body, sha1),
+        foreign("response", "2", body, "SHA-256:" + hashlib.sha256(body).hexdigest().upper()),
+        foreign("response", "3", body, "blake3:0000"),
+        foreign("response", "4", b"7\r\npayload\r\n0\r\n\r\n", sha1, http="HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"),
+        foreign("response", "5", b"20240101 1.2.3.4", content="text/dns", http=""),
+        foreign("revisit", "6", b"", sha1, http="HTTP/1.1 200 OK\r\nContent-Length: 14\r\n\r\n"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:4]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[4:])))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = {r["url"][-1]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list("123456")
+    assert all(bytes(got[k]["payload"]) == body and got[k]["payload_digest"] == hashlib.sha256(body).hexdigest() for k in "123")
+    assert bytes(got["5"]["payload"]) == b"20240101 1.2.3.4"
+    assert (got["6"]["payload_bytes"], got["6"]["payload_digest"], got["6"]["payload"]) == (14, sha1, None)
+    with pytest.raises(ValueError):
+        warc._row({"warc-type": "response", "warc-record-id": "x", "warc-payload-digest": sha1}, b"HTTP/1.1 200 OK\r\n\r\nother")
+    assert warc.stated_digest("md5:zz") == warc.stated_digest("sha1:abc") == warc.stated_digest(None) == (None, None)
+    assert warc.stated_digest("sha1:" + hashlib.sha1(body).hexdigest()) == ("sha1", hashlib.sha1(body).digest())
+
+
+def test_a_very_long_page_and_a_date(spark):
+    pages = spark.createDataFrame([(1, "u", "é" * 400_000), (2, "u", "é" * 400_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert got[1]["payload_bytes"] == 800_000 and got[2]["refers_to"] == 1
+    assert all("WARC-Date: 2025-02-03T04:05:06Z" in r["record"] for r in warc.warc_records(pages, "2025-02-03T04:05:06Z").collect())
