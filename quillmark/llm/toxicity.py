@@ -129,12 +129,15 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int =
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, n_features: int = FEATURES) -> Model:
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, with ``n_features`` cells at most.
 
     A document labelled more than once counts as toxic if one label says so;
-    labels that are null or whose document is missing are left out.  Without
-    labels the model is constant and scores 0.
+    of rows that share a doc_id the text with the least hash is learnt from, so
+    that ``rows`` bounds what the fit holds whatever the ids.  Labels that are
+    null or whose document is missing are left out.  Cells that tell the classes
+    apart equally are taken by number.  Without labels the model is constant and
+    scores 0.
     """
     spark = docs.sparkSession
     chosen = (
@@ -146,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         .limit(rows)
     )
     # The ids are ``rows`` at most, so the broadcast is bounded.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("toxic", "least.text")
     sample = materialize(found.repartition(SAMPLE_PARTITIONS), "labelled")
     counts = materialize(sample.transform(small_batches).mapInArrow(_count, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts")
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
@@ -156,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     p, q = F.col("toxic") + 1.0, F.col("clean") + 1.0
     ratio = F.log(p / (toxic + cells)) - F.log(q / (clean + cells))
     sure = F.round(F.abs(ratio) / F.sqrt(1 / p + 1 / q), 9)
-    best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(FEATURES).toArrow()
+    best = counts.select("cell", ratio.alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "cell").limit(n_features).toArrow()
     slot[best["cell"].to_numpy()] = np.arange(len(best))
     ratios = best["ratio"].to_numpy()
     held = sample.transform(small_batches).mapInArrow(_extract(spark.sparkContext.broadcast(slot)), "toxic int, features array<int>").toArrow()

@@ -51,6 +51,51 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_scores_follow_the_model_by_hand(spark):
+    """Each text's score from its n-grams one by one, with cells, ratios and weights in plain Python."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["kind", "vile", "Straße", "𝔘x", "a", "hello\tworld"]) for _ in range(rng.randrange(0, 12))) for _ in range(90)] + ["", None, "x" * 40_000]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    labels = [(i, int("vile" in (t or ""))) for i, t in docs]
+    steps = [int(x) for x in toxicity._STEP]
+
+    def cells(text):
+        body = " " + " ".join((text or "").lower().split()) + " "
+        out = set()
+        for n in toxicity.SIZES:
+            for i in range(len(body) - n + 1):
+                h = sum(ord(c) * k for c, k in zip(body[i : i + n], steps, strict=False)) % 2**32
+                g = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+                out.add(((g ^ g >> 13) * 0xC2B2AE35 % 2**32) >> (32 - toxicity.BUCKET_BITS))
+        return out
+
+    df, marks = spark.createDataFrame(docs, KIND), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, marks)
+    learnt = [(cells(t), y) for (i, t), (_, y) in zip(docs, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = [Counter(c for own, y in learnt if y == k for c in own) for k in (0, 1)]
+    seen = counts[0].keys() | counts[1].keys()
+    total = [sum(c.values()) for c in counts]
+    ratio = {c: math.log((counts[1][c] + 1) / (total[1] + len(seen))) - math.log((counts[0][c] + 1) / (total[0] + len(seen))) for c in seen}
+    sure = sorted(seen, key=lambda c: (-round(abs(ratio[c]) / math.sqrt(1 / (counts[1][c] + 1) + 1 / (counts[0][c] + 1)), 9), c))[: toxicity.FEATURES]
+    assert {c: int(k) for c, k in enumerate(model.slot.tolist()) if k >= 0} == {c: k for k, c in enumerate(sure)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(df, marks).collect()}
+    for i, text in docs:
+        z = model.bias + sum(model.weight[model.slot[c]] for c in cells(text) if model.slot[c] >= 0)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-6), i
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark, monkeypatch):
+    docs = [(i, f"text {i} {j}") for i in (0, 1, 2) for j in range(1_000)] + [(i, "vile vile" if i % 2 else "kind words") for i in range(10, 40)]
+    labels = [(i, i % 2) for i in [0, 1, 2, *range(10, 40)]]
+    fitted = []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *a: fitted.append(len(rows)) or fit(rows, *a))
+    df, marks = spark.createDataFrame(docs, KIND), spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxicity.train(df, marks, rows=12)
+    toxicity.train(df, marks)
+    assert fitted[0] == 12 and fitted[1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in labels)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a")], KIND)
     none = spark.createDataFrame([], "doc_id long, toxic int")
