@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.retrieve import Indexes
 from ..operators.textindex import Bm25Index, TfidfIndex, build_bm25, build_tfidf, char_grams, word_grams
+from ..operators.vectorindex import VectorIndex, build_vector_index
 from ..session import scratch
 from .tables import documents
 
@@ -34,6 +35,10 @@ def characters(spark: SparkSession, sf_dir: str) -> TfidfIndex:
     return _once(spark, sf_dir, "char", lambda path: build_tfidf(documents(spark, sf_dir), path, char_grams))
 
 
+def vectors(spark: SparkSession, sf_dir: str, pool: DataFrame) -> VectorIndex:
+    return _once(spark, sf_dir, "vectors", lambda path: build_vector_index(pool, path, keep=("label",)))
+
+
 def of_profile(spark: SparkSession, sf_dir: str, profile: str) -> Indexes:
     if profile == "production":
         return Indexes(bm25=bm25(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
 from ..operators.textindex import STOP_WORDS, bm25_scores, tfidf_scores
+from ..operators.vectorindex import search
 from . import indexes
 from .registry import query
 from .tables import benchmark_queries, table
@@ -182,6 +183,26 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn(pool, asked, 50, where=F.col("label") == 1).select("query_id", "doc_id", "score", "rank")
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by the approximate index; its recall against the exact search is tested."""
+    pool, asked = _vectors(spark, sf_dir)
+    return search(indexes.vectors(spark, sf_dir, pool), asked, 10)
+
+
+@query(
+    "vector_index_all_cells",
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % {KNN_QUERIES_EVERY} = 0),
+s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE label = 1)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 5""",
+)
+def vector_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of one label; all cells are probed and the coded order is refined deeply, so the result is the exact one."""
+    pool, asked = _vectors(spark, sf_dir)
+    index = indexes.vectors(spark, sf_dir, pool)
+    return search(index, asked, 5, probes=len(index.codec.centres), refine=40, where=F.col("label") == 1)
+
+
 _VECTOR_ARM = """vs AS (SELECT item_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
   FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e)"""
 
