@@ -11,6 +11,11 @@ replaced alike wherever it occurs, a surname also with and without given name,
 and in the same document without form of address.  Particles stay; initials
 become other letters.
 
+An entity's surrogate belongs to its normal form, and is written in the form
+that was printed: numbers are one entity whatever their separators (a leading 00
+is a +, a bracketed trunk zero isn't part of it), as are addresses and names
+whatever their case.
+
 Characters are replaced by a keyed permutation of all texts of the same format
 (a Feistel network over the characters), so two entities of one format never
 meet by the first draw, which depends on the key and the entity only.  All
@@ -33,8 +38,10 @@ DRAWS = 3
 ROUNDS = 4
 
 # Forms of address, given names by gender and syllables of surnames.
-MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин|Г-н"
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Г-жа"
+MALE_TITLES = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|Господин|ГОСПОДИН|Г-н"
+FEMALE_TITLES = "Mrs|MRS|Ms|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|MME|Señora|SEÑORA|Sra|Госпожа|ГОСПОЖА|Г-жа"
+#: Country codes of telephone numbers.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 GIVEN = {
     ("m", "latin"): "Adrian Bruno Carlo David Elias Felix Gregor Hugo Ivan Jonas Konrad Lukas Martin Noel Oscar Pavel Quentin Robert Simon Tomas Ulrich Victor Walter Xavier",
     ("f", "latin"): "Alina Beatrix Clara Daria Elena Frida Greta Helena Irina Julia Karin Laura Marta Nadia Olivia Paula Rosa Sonia Teresa Ursula Vera Wanda Xenia Yvonne",
@@ -60,14 +67,14 @@ _NATIONAL = (
 )
 _TRUNK = r"(?<![\d+])\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,5}(?:[ /.-]?\d{2,8}){1,3}(?!\d)"
 PARTICLES = "von|van|vom|vander|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|le|les|zu|zum|zur|ten|ter|bin|ibn|al|el|af|av|и|фон"
-_HONORIFIC = r"(?:(?:Dr|Prof|Professor|Doctor|Доктор|Профессор)\.? )*"
+_HONORIFIC = r"(?:(?:Dr|DR|Prof|PROF|Professor|Doctor|Доктор|Профессор)\.? )*"
 _WORD = r"(?:d['’]|[ae]l-)?\p{Lu}[\p{L}'’-]+"
 _BEFORE = rf"(?:\p{{Lu}}(?:\.[ -]?| )|(?:{PARTICLES}) ){{0,4}}"
 _TITLE = rf"(?:(?:{MALE_TITLES}|{FEMALE_TITLES})\.? {_HONORIFIC}|{_HONORIFIC[:-1]}+)"
 _NAME = rf"(?<!\p{{L}}){_TITLE}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,4}}"
 ENTITY = f"{_EMAIL}|{_IP}|{_IPV6}|{_TRUNK}|{_PHONE}|{_IBAN}|{_CARD}|{_NATIONAL}|{_NAME}"
 #: A cheap test that any text with an entity passes.
-MAYBE = rf"@|\d\.\d|[+(]\d|\d{{4}}|\d{{2}}[ ./-]\d{{2}}|::?[0-9A-Fa-f]{{1,4}}:|[0-9A-Fa-f]::|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof|Professor|Doctor|Доктор|Профессор)\.? [\p{{L}}]"
+MAYBE = rf"@|\d\.\d|[+(]\d|\d{{4}}|\d{{2}}[ ./-]\d{{2}}|::?[0-9A-Fa-f]{{1,4}}:|[0-9A-Fa-f]::|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|DR|Prof|PROF|Professor|Doctor|Доктор|Профессор)\.? [\p{{L}}]"
 
 
 def kind_of(entity: Column) -> Column:
@@ -207,27 +214,63 @@ def _surname(script: str, attempt: Column, *seed) -> Column:
     words = [_word(SYLLABLES[script], _number(digest, 4 * i)) for i in range(2)]
     # attempts 1 to 3 have one more syllable, 4 to 6 two, and so on
     more = F.array_join(F.transform(F.slice(F.array(*map(F.lit, range(2, 30))), 1, ((attempt + 2) / DRAWS).cast("int")), lambda i: _word(SYLLABLES[script], _number(digest, i * 4))), "")
-    return F.initcap(F.concat(words[0], words[1], more, _word(ENDINGS[script], _number(digest, 16))))
+    return F.concat(words[0], words[1], more, _word(ENDINGS[script], _number(digest, 16)))
+
+
+def normal_form(kind: Column, token: Column) -> Column:
+    """What all printed forms of a token have in common."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\(0\)", ""), "^00", "+"), r"[^\d+]", "")
+    spaced = F.regexp_replace(token, " ", "")
+    return F.when(kind.isin("phone", "card"), digits).when(kind == "iban", spaced).when(kind.isin("ip", "initial", "particle"), token).otherwise(F.lower(token))
+
+
+def _laid_out(printed: Column, marks: str, text: Column) -> Column:
+    """``text`` in place of the characters of ``printed`` that match ``marks``; what is left of it follows the last one."""
+    between = F.split(printed, marks, -1)
+    n = F.size(between) - 1
+    chars = F.concat(F.split(F.substring(text, F.lit(1), n - 1), ""), F.array(F.substring(text, n, F.length(text)), F.lit("")))
+    chars = F.when(n > 1, chars).otherwise(F.array(text, F.lit("")))
+    return F.array_join(F.zip_with(between, chars, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+
+def _cased(printed: Column, text: Column) -> Column:
+    """``text`` with capitals where ``printed`` has them."""
+    chars = F.zip_with(F.split(printed, ""), F.split(text, ""), lambda p, c: F.when(p.rlike(r"\p{Lu}"), F.upper(c)).otherwise(F.coalesce(c, F.lit(""))))
+    return F.when(printed.rlike(r"\p{Lu}"), F.array_join(chars, "")).otherwise(text)
+
+
+def rendered(kind: Column, printed: Column, text: Column) -> Column:
+    """A surrogate in normal form, written as ``printed`` is."""
+    # what isn't part of the number is set aside and put back
+    aside = F.regexp_replace(F.regexp_replace(printed, r"\(0\)", "(\u0001)"), "^00", "\u0002")
+    phone = F.replace(F.replace(_laid_out(aside, r"\d", F.ltrim(text, F.lit("+"))), F.lit("\u0001"), F.lit("0")), F.lit("\u0002"), F.lit("00"))
+    local, host = F.substring_index(printed, "@", 1), F.substring_index(printed, "@", -1)
+    own, labels = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
+    email = F.when(F.upper(printed) == printed, F.upper(text)).otherwise(F.concat(_cased(local, own), F.lit("@"), _cased(host, labels)))
+    words = F.array_join(F.transform(F.split(text, "-"), lambda w: F.initcap(w)), "-")
+    name = F.when(F.upper(printed) == printed, F.upper(text)).otherwise(words)
+    out = F.when(kind == "phone", phone).when(kind == "card", _laid_out(printed, r"\d", text)).when(kind == "iban", _laid_out(printed, "[A-Z0-9]", text))
+    out = out.when(kind == "email", email).when(kind == "ipv6", F.when(printed.rlike("[A-F]"), F.upper(text)).otherwise(text))
+    return out.when(kind.isin("ip", "initial", "particle"), text).otherwise(name)
 
 
 def surrogate(key: str, kind: Column, token: Column, attempt: Column) -> Column:
-    """The ``attempt``-th surrogate of a token of some kind."""
+    """The ``attempt``-th surrogate of a token in normal form, in normal form."""
     seed = (key, kind, attempt)
     local, host = F.substring_index(token, "@", 1), F.substring_index(token, "@", -1)
     tld = F.substring_index(host, ".", -1)
-    labels = F.regexp_replace(F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1), r"(?i)\.example$", "")
+    labels = F.regexp_replace(F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1), r"\.example$", "")
     longer = F.repeat(F.lit("0"), F.greatest((attempt / DRAWS).cast("int"), F.lit(0)))
     letters = F.translate(longer, "0", "a")
     email = F.concat(_shaped(F.concat(local, letters), *seed), F.lit("@"), _shaped(labels, key, "host"), F.lit(".example."), tld)
-    code = F.regexp_extract(token, r"^(\+\d{1,3}(?=\D)|\+\d|)", 1)
+    code = F.regexp_extract(token, rf"^(\+(?:{COUNTRY})|)", 1)
     phone = F.concat(code, _shaped(F.concat(F.substring(token, F.length(code) + 1, F.length(token)), longer), *seed))
     # one more digit before the check digit
     card = _card(F.concat(F.substring(token, F.lit(1), F.length(token) - 1), longer, F.right(token, F.lit(1))), *seed)
-    ipv6 = _shaped(F.lower(token), *seed, alphabets=HEXADECIMAL)
+    ipv6 = _shaped(token, *seed, alphabets=HEXADECIMAL)
     # addresses can't grow: in formats that are nearly used up they are drawn from all addresses
     late, digest = attempt > 4 * DRAWS, _digest(*seed, token)
     ipv6 = F.when(late, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digest, i * 4 + 1, F.lit(4))), ":")).otherwise(ipv6)
-    ipv6 = F.when(token.rlike("[A-F]"), F.upper(ipv6)).otherwise(ipv6)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i * 2) % 256).cast("string")), ".")
     out = F.when(kind == "email", email).when(kind == "ip", F.when(late, ip).otherwise(_octets(token, *seed))).when(kind == "ipv6", ipv6)
     out = out.when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", _iban(F.concat(token, longer), *seed))
@@ -238,22 +281,22 @@ def surrogate(key: str, kind: Column, token: Column, attempt: Column) -> Column:
         for gender, names in (named | {"n": " ".join(named.values())}).items():
             own = (kind == f"given_{gender}") & (cyrillic if script == "cyrillic" else ~cyrillic)
             again = F.when(attempt > 0, F.concat(F.lit("-"), _surname(script, attempt, *seed, token))).otherwise("")
-            out = out.when(own, F.concat(_word(names, _number(_digest(*seed, token, "given"), 0)), again))
+            out = out.when(own, F.concat(_word(names.lower(), _number(_digest(*seed, token, "given"), 0)), again))
     return out.when(cyrillic, _surname("cyrillic", attempt, *seed, token)).otherwise(_surname("latin", attempt, *seed, token))
 
 
 def _tokens(entity: Column) -> Column:
-    """array<struct<kind, token>>: the parts of an entity that are replaced."""
+    """array<struct<kind, printed>>: the parts of an entity that are replaced."""
     kind = kind_of(entity)
     words = F.split(F.regexp_replace(entity, f"^{_TITLE}", ""), " ")
     gender = F.when(entity.rlike(rf"^(?:{FEMALE_TITLES})\.? "), "given_f").when(entity.rlike(rf"^(?:{MALE_TITLES})\.? "), "given_m").otherwise("given_n")
 
     def part(w: Column, i: Column) -> Column:
         own = F.when(i == F.size(words) - 1, F.lit("surname")).when(w.rlike(rf"^(?:{PARTICLES})$"), "particle").when(w.rlike(r"^\p{Lu}$|^(?:\p{Lu}\.-?)+$"), "initial")
-        return F.struct(own.otherwise(gender).alias("kind"), w.alias("token"))
+        return F.struct(own.otherwise(gender).alias("kind"), w.alias("printed"))
 
     named = F.transform(words, part)
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("token"))))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("printed"))))
 
 
 def entities_of(text: Column) -> Column:
@@ -264,7 +307,9 @@ def entities_of(text: Column) -> Column:
 def pattern_of(found: Column) -> Column:
     """The pattern of a text's entities and of the surnames among ``found`` standing by themselves; longer ones come first."""
     named = F.filter(found, lambda e: e.rlike(f"^{_TITLE}"))
-    surnames = F.sort_array(F.array_distinct(F.transform(named, lambda e: F.regexp_extract(e, r"(\S+)$", 1))), asc=False)
+    written = F.transform(named, lambda e: F.regexp_extract(e, r"(\S+)$", 1))
+    cases = F.flatten(F.transform(written, lambda w: F.array(w, F.upper(w), F.initcap(F.lower(w)))))
+    surnames = F.sort_array(F.array_distinct(cases), asc=False)
     bare = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return F.when(F.size(surnames) > 0, bare)
 
@@ -278,12 +323,17 @@ def _with_found(slim: DataFrame) -> DataFrame:
 
 
 def _replace(key: str, entity: Column, again: Column | None) -> Column:
-    def one(t: Column) -> Column:
+    # step by step, so that no expression holds another one many times
+    def normal(t: Column) -> Column:
+        return F.struct(t["kind"].alias("kind"), t["printed"].alias("printed"), normal_form(t["kind"], t["printed"]).alias("token"))
+
+    def drawn(t: Column) -> Column:
         attempt = F.lit(0) if again is None else F.coalesce(F.try_element_at(again, F.concat(t["kind"], F.lit("|"), t["token"])), F.lit(0))
-        return surrogate(key, t["kind"], t["token"], attempt)
+        return F.struct(t["kind"].alias("kind"), t["printed"].alias("printed"), surrogate(key, t["kind"], t["token"], attempt).alias("text"))
 
+    parts = F.transform(F.transform(_tokens(entity), normal), drawn)
     title = F.when(kind_of(entity) == "name", F.regexp_extract(entity, f"^{_TITLE}", 0)).otherwise("")
-    return F.concat(title, F.array_join(F.transform(_tokens(entity), one), " "))
+    return F.concat(title, F.array_join(F.transform(parts, lambda t: rendered(t["kind"], t["printed"], t["text"])), " "))
 
 
 def _rewritten(key: str, text: Column, found: Column, pattern: Column, again: Column | None) -> Column:
@@ -328,7 +378,8 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_found = _with_found(slim)
     held = materialize(with_found.select(F.xxhash64("text").alias("of"), "found").filter(F.size("found") > 0), "entities")
-    tokens = held.select("of", F.explode("found").alias("entity")).select("of", F.inline(_tokens(F.col("entity")))).filter("kind not in ('initial', 'particle')").distinct()
+    tokens = held.select("of", F.explode("found").alias("entity")).select("of", F.inline(_tokens(F.col("entity")))).filter("kind not in ('initial', 'particle')")
+    tokens = tokens.select("of", "kind", normal_form(F.col("kind"), F.col("printed")).alias("token")).distinct()
     again = redrawn(tokens.select("kind", "token").distinct(), key)
     if again.isEmpty():
         return with_found.select("doc_id", F.size("found").alias("n_entities"), _rewritten(key, F.col("text"), F.col("found"), F.col("pattern"), None).alias("text"))

@@ -149,3 +149,33 @@ def test_permutation_of_a_format(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     got = [r[0] for r in df.select(pii._shaped(F.col("t"), "k")).collect()]
     assert len(set(got)) == 1000 and got != sorted(got)
+
+
+def test_one_entity_in_many_forms(spark):
+    rows = [
+        (1, "+1 (555) 123-4567, +1 555 123 4567, +15551234567, 001 555 123 4567"),
+        (2, "4111 1111 1111 1111, 4111111111111111, 4111-1111-1111-1111"),
+        (3, "John.Doe@Acme.org, john.doe@acme.org, JOHN.DOE@ACME.ORG"),
+        (4, "MR JAN MEIER left. Mr Jan Meier left. MEIER stayed, Meier too."),
+        (5, "DE89 3702 0044 0532 0130 00, DE89370200440532013000"),
+        (6, "+49 (0)171 2345678, +49 171 2345678, 0049 171 2345678, +491712345678"),
+        (7, "FRAU DR. BELL, Frau Dr. Bell"),
+        (8, "FE80::1A2B:3, fe80::1a2b:3"),
+    ]
+    got = texts_of(spark, rows)
+    digits = lambda x: re.sub(r"\D", "", x)
+    phones = got[1].split(", ")
+    assert len({digits(p).removeprefix("00") for p in phones}) == 1 and all(re.fullmatch(f, p) for f, p in zip((r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\+1 \d{3} \d{3} \d{4}", r"\+1\d{10}", r"001 \d{3} \d{3} \d{4}"), phones, strict=True))
+    assert len({digits(c) for c in got[2].split(", ")}) == 1 and all(luhn(c) for c in got[2].split(", "))
+    mails = got[3].split(", ")
+    assert len({m.lower() for m in mails}) == 1 and mails[0][0].isupper() and mails[0][5].isupper() and mails[1].islower() and mails[2].isupper()
+    name = re.fullmatch(r"MR ([A-Z-]+) ([A-Z]+) left\. Mr ([\w-]+) (\w+) left\. ([A-Z]+) stayed, (\w+) too\.", got[4])
+    assert name and name[3].upper() == name[1] != "JAN" and name[4].upper() == name[2] == name[5] == name[6].upper() != "MEIER"
+    assert len({x.replace(" ", "") for x in got[5].split(", ")}) == 1
+    forms = got[6].split(", ")
+    assert len({digits(f.replace("(0)", "")).removeprefix("00") for f in forms}) == 1 and re.fullmatch(r"\+49 \(0\)\d{3} \d{7}", forms[0])
+    a, b = got[7].split(", ")
+    assert a == b.upper() and "BELL" not in a
+    a, b = got[8].split(", ")
+    assert a.lower() == b and a.isupper()
+    assert all(got[i] != t for i, t in rows)
