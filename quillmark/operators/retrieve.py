@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textindex import Bm25Index, TfidfIndex, bm25_scores, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
+from .textindex import Bm25Index, TfidfIndex, bm25_best, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
 
 
 @dataclass(frozen=True)
@@ -211,7 +211,7 @@ def retrieve(indexes: Indexes, queries: DataFrame, profile: str = "hybrid", dens
     and word TF-IDF.
     """
     p = PROFILES[profile]
-    sparse = top_k(bm25_scores(indexes.bm25, queries) if profile == "production" else tfidf_scores(indexes.word, queries), p.arm_k)
+    sparse = top_k(bm25_best(indexes.bm25, queries, p.arm_k) if profile == "production" else tfidf_scores(indexes.word, queries), p.arm_k)
     if dense is None:
         dense = top_k(tfidf_scores(indexes.char, queries), p.arm_k)
     fused = fuse(dense, sparse, p.rrf_k)

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,26 +54,75 @@ Analyzer = Callable[[Column], Column]
 BROADCAST_TERMS = 2_000_000
 
 
-def padded_grams(word: Column, low: int = 3, high: int = 5) -> Column:
+#: Documents of a span, the unit that a search reads or skips as a whole.
+SPAN = 32
+
+
+def _padded_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
     """The character n-grams of one word, padded with a blank on each side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    return F.flatten(
-        F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(padded))), lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, n)))
-    )
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
+
+
+def _count_tokens(tokens: pa.ListArray, grams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, row, term, times) of the distinct terms of each row, by row; ``grams``: of the n-grams of its words."""
+    flat = pc.list_flatten(tokens).dictionary_encode()
+    terms, rows = flat.dictionary, pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, times = np.unique(rows * max(1, len(terms)) + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, code = pairs // max(1, len(terms)), pairs % max(1, len(terms))
+    if grams:
+        own = [_padded_grams(w) if w else [] for w in terms.to_pylist()]
+        sizes = np.array([len(g) for g in own], np.int64)
+        listed = pa.array([g for held in own for g in held], pa.string()).dictionary_encode()
+        each = sizes[code]
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        terms = listed.dictionary
+        pairs, place = np.unique(np.repeat(row, each) * max(1, len(terms)) + listed.indices.to_numpy(zero_copy_only=False)[at], return_inverse=True)
+        times = np.bincount(place, np.repeat(times, each), len(pairs)).astype(np.int64)
+        row, code = pairs // max(1, len(terms)), pairs % max(1, len(terms))
+    return terms, row, code, times
+
+
+def _by_document(grams: bool):
+    """Each row's terms and how often it has them, as arrays."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                terms, row, code, times = _count_tokens(part.column("tokens"), grams)
+                offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, terms.take(pa.array(code))), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], [part.schema.names[0], "terms", "times"])
+
+    return run
 
-def term_counts(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf): occurrences of each term in each document.
 
-    The texts are dealt by key first, so counting needs no shuffle of terms.
-    Character n-grams are taken from each document's distinct words.
+def _spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out anew if they lie in fewer parts than there are cores (tables of few files)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)
+
+
+def _tokens(docs: DataFrame, analyzer: Analyzer, key: str) -> DataFrame:
+    """(key, tokens); of the character analyser the words, whose n-grams are counted later."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _spread(docs.select(key, "text"))
+    return docs.select(key, (F.split(F.lower(text), r"\s+") if analyzer is char_grams else analyzer(text)).alias("tokens"))
+
+
+def document_terms(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id") -> DataFrame:
+    """(key, terms, times): the distinct terms of each document, counted where it lies, without a shuffle.
+
+    Keys are unique.  Character n-grams are taken from distinct words.
     """
-    dealt = docs.select(key, "text").repartition(key)
-    if analyzer is char_grams:
-        words = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+")
-        counted = dealt.select(key, F.explode(words).alias("word")).filter("word <> ''").groupBy(key, "word").agg(F.count("*").alias("c"))
-        return counted.select(key, F.explode(padded_grams(F.col("word"))).alias("term"), "c").groupBy(key, "term").agg(F.sum("c").alias("tf"))
-    return dealt.select(key, F.explode(analyzer(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    kinds = T.StructType([docs.schema[key], T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
+    return _tokens(docs, analyzer, key).mapInArrow(_by_document(analyzer is char_grams), kinds)
+
+
+def term_counts(docs: DataFrame, analyzer: Analyzer, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf): occurrences of each term in each document."""
+    return document_terms(docs, analyzer, key).select(key, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("times").alias("tf"))))
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -81,85 +131,197 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def _asked(terms: DataFrame) -> DataFrame:
-    """The batch's terms, broadcast if they are few enough."""
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    """The batch's terms, or other rows of a batch, worked out once and broadcast if they are few enough."""
+    held = terms.limit(BROADCAST_TERMS + 1).toArrow()
+    if held.num_rows > BROADCAST_TERMS:
+        return terms
+    return F.broadcast(terms.sparkSession.createDataFrame(held, terms.schema)) if held.num_rows else terms.limit(0)
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings``: doc_id, term, tf, dl; ``terms``: term, idf; ``totals``: one row with avgdl."""
+    """``blocks``: span, term, best, docs, gains (a term's postings in a span of documents, and the greatest gain); ``terms``: term, idf."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
-    totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, gain)."""
+        return self.blocks.select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("gains").alias("gain"))))
 
-def build_bm25(docs: DataFrame, path: str, analyzer: Analyzer = search_tokens) -> Bm25Index:
-    """Index of ``docs`` (doc_id, text) written under ``path``; documents without tokens count towards N and avgdl."""
-    counts = _written(term_counts(docs, analyzer), f"{path}/counts")
-    held = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    totals = docs.agg(F.count("*").alias("n")).crossJoin(held.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    totals = _written(totals, f"{path}/totals")
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(totals.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    postings = counts.join(held, "doc_id").repartition("term").sortWithinPartitions("term")
-    return Bm25Index(_written(postings, f"{path}/postings"), _written(terms, f"{path}/terms"), totals.select("avgdl"))
 
+def _by_span(size: int):
+    """The postings of each term in ``size`` documents at a time; spans are numbered by task and place, the same if a task is run again."""
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, analyzer: Analyzer = search_tokens) -> DataFrame:
-    """(query_id, doc_id, score) of documents that share a term with a query; repeated query terms count each time.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                terms, row, code, times = _count_tokens(part.column("tokens"), False)
+                order = np.argsort(code, kind="stable")
+                offsets = pa.array(np.searchsorted(code[order], np.arange(len(terms) + 1)), pa.int32())
+                length = np.bincount(row, times, part.num_rows).astype(np.int32)
+                lists = [part.column("doc_id").take(pa.array(row[order])), pa.array(times[order], pa.int32()), pa.array(length[row[order]])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), span)), terms, *(pa.ListArray.from_arrays(offsets, x) for x in lists)], ["span", "term", "docs", "times", "lengths"])
+                span += 1
 
-    Only the queries' terms are joined; the postings are combined map-side.
+    return run
+
+
+def build_bm25(docs: DataFrame, path: str, analyzer: Analyzer = search_tokens, span: int = SPAN) -> Bm25Index:
+    """Index of ``docs`` (doc_id, text) written under ``path``; documents without tokens count towards N and avgdl.
+
+    Texts are tokenised and counted where they lie: postings are never shuffled,
+    so a term that every document has is never gathered in one task.
     """
+    array = lambda kind: T.ArrayType(kind)
+    kinds = T.StructType([T.StructField("span", T.LongType()), T.StructField("term", T.StringType()), T.StructField("docs", array(docs.schema["doc_id"].dataType)), T.StructField("times", array(T.IntegerType())), T.StructField("lengths", array(T.IntegerType()))])
+    counted = _written(_tokens(docs, analyzer, "doc_id").mapInArrow(_by_span(span), kinds), f"{path}/counts")
+    found = counted.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens"))
+    n = docs.count()
+    found = _written(found.select("term", "tokens", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), f"{path}/found")
+    tokens, mean = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.avg("raw")).first()
+    average = tokens / n if n else 1.0
+    terms = found.select("term", F.when(F.col("raw") < 0, EPSILON * F.lit(mean).cast("double")).otherwise(F.col("raw")).alias("idf"))
+    gains = F.zip_with("times", "lengths", lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)))
+    blocks = counted.select("span", "term", "docs", gains.alias("gains")).select("span", "term", F.array_max("gains").alias("best"), "docs", "gains")
+    return Bm25Index(_written(blocks, f"{path}/blocks"), _written(terms, f"{path}/terms"))
+
+
+def _weighed(index: Bm25Index, queries: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(query_id, term, weight): repeated query terms count each time."""
     asked = term_counts(queries, analyzer, "query_id").withColumnRenamed("tf", "times")
-    weighed = _asked(index.terms.join(asked, "term"))
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.totals))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * gain).alias("score"))
+    return index.terms.join(asked, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+
+
+def bm25_scores(index: Bm25Index, queries: DataFrame, analyzer: Analyzer = search_tokens) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that share a term with a query."""
+    hits = index.postings.join(_asked(_weighed(index, queries, analyzer)), "term")
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
+
+
+#: Spans that give each query its first threshold, and what rounded scores may differ by.
+FIRST_SPANS, ROUNDED = 8, 2e-6
+
+
+def _span_scores(index: Bm25Index, weighed: DataFrame, spans: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of all documents in the ``spans`` (query_id, span) of each query."""
+    hits = index.blocks.join(weighed, "term").join(_asked(spans), ["query_id", "span"])
+    rows = hits.select("query_id", "weight", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("gains").alias("gain"))))
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
+
+
+def span_bounds(index: Bm25Index, weighed: DataFrame) -> DataFrame:
+    """(query_id, span, bound, blocks): the score that no document of the span exceeds; reads no postings."""
+    most = F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))
+    return index.blocks.select("span", "term", "best").join(weighed, "term").groupBy("query_id", "span").agg(F.sum(most).alias("bound"), F.count("*").alias("blocks"))
+
+
+def spans_to_read(index: Bm25Index, weighed: DataFrame, k: int) -> DataFrame:
+    """(query_id, span, bound, blocks, read): whether the span can hold one of the query's ``k`` best.
+
+    The spans of greatest bound are scored first; their k-th score is the
+    threshold.  A document at or above it lies in a span whose bound reaches it.
+    """
+    own = Window.partitionBy("query_id")
+    bounds = span_bounds(index, weighed)
+    first = bounds.withColumn("n", F.row_number().over(own.orderBy(F.desc("bound"), "span"))).filter(F.col("n") <= FIRST_SPANS).select("query_id", "span")
+    ranked = _span_scores(index, weighed, first).filter("score > 0").withColumn("n", F.row_number().over(own.orderBy(F.desc("score"))))
+    least = ranked.filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
+    return bounds.join(least, "query_id", "left").withColumn("read", F.col("least").isNull() | (F.col("bound") >= F.col("least") - ROUNDED)).drop("least")
+
+
+def bm25_best(index: Bm25Index, queries: DataFrame, k: int, analyzer: Analyzer = search_tokens) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best of each query are among the rows, with their whole scores.
+
+    Spans of documents that can't reach a query's threshold are skipped.  The
+    batch's terms, and its spans, are broadcast up to ``BROADCAST_TERMS`` rows
+    and joined by shuffle beyond.
+    """
+    weighed = _asked(_weighed(index, queries, analyzer))
+    return _span_scores(index, weighed, spans_to_read(index, weighed, k).filter("read").select("query_id", "span"))
 
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """``weights``: doc_id, term (its number), w (L2-normalised per document); ``terms``: term, number, idf."""
+    """``rows``: doc_id, numbers, ws (a document's terms and their weights, of length one); ``terms``: term, number, idf."""
 
-    weights: DataFrame
+    rows: DataFrame
     terms: DataFrame
     analyzer: Analyzer
 
+    @property
+    def weights(self) -> DataFrame:
+        """(doc_id, term, w), a row per posting; term is its number."""
+        return self.rows.select("doc_id", F.inline(F.arrays_zip(F.col("numbers").alias("term"), F.col("ws").alias("w"))))
+
 
 def _weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """(key, term, w): sublinear tf times idf by the term's number, normalised per ``key`` over the terms the corpus has."""
     raw = counts.join(terms, "term").select(key, F.col("number").alias("term"), ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("w"))
+
+
+def _weigh_rows(shared):
+    """``_weigh`` of whole documents, with the vocabulary at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, numbers, idf = shared.value
+        for batch in batches:
+            held = batch.column("terms")
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            place = pc.index_in(pc.list_flatten(held), value_set=terms).to_numpy(zero_copy_only=False)
+            raw = (1 + np.log(pc.list_flatten(batch.column("times")).to_numpy(zero_copy_only=False))) * idf[place]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            norm = np.sqrt(np.bincount(row, raw * raw, batch.num_rows))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (pa.array(numbers[place]), pa.array(raw / norm[row]))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "numbers", "ws"])
+
+    return run
 
 
 def build_tfidf(docs: DataFrame, path: str, analyzer: Analyzer) -> TfidfIndex:
     """Fit on ``docs`` (doc_id, text): smoothed idf, sublinear tf, unit vectors; written under ``path``.
 
-    The texts are analysed once.  Weights lie by document, so that the scores of
-    a document's pairs are summed in one task, whatever the queries.
+    The texts are analysed once, and counted where they lie.  Weights lie by
+    document, so that the scores of a document's pairs are summed in one task,
+    whatever the queries.  A vocabulary of ``BROADCAST_TERMS`` terms at most is
+    broadcast, so that weights need no shuffle; a larger one is joined.
     """
-    counts = _written(term_counts(docs, analyzer), f"{path}/counts")
-    n = docs.agg(F.count("*").alias("n"))
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    spark = docs.sparkSession
+    counts = _written(document_terms(docs, analyzer), f"{path}/counts")
+    n = docs.count()
+    df = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # numbers are fixed once they are written
-    terms = _written(terms.withColumn("number", F.monotonically_increasing_id()), f"{path}/terms")
-    weights = _weigh(counts, terms, "doc_id").repartition("doc_id").sortWithinPartitions("doc_id")
-    return TfidfIndex(_written(weights, f"{path}/weights"), terms, analyzer)
+    terms = _written(df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).withColumn("number", F.monotonically_increasing_id()), f"{path}/terms")
+    kinds = T.StructType([docs.schema["doc_id"], T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("ws", T.ArrayType(T.DoubleType()))])
+    if terms.count() <= BROADCAST_TERMS:
+        held = terms.toArrow()
+        shared = spark.sparkContext.broadcast((held["term"].combine_chunks(), held["number"].to_numpy(), held["idf"].to_numpy()))
+        rows = counts.mapInArrow(_weigh_rows(shared), kinds)
+    else:
+        long = counts.select("doc_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("times").alias("tf"))))
+        rows = _weigh(long, terms, "doc_id").groupBy("doc_id").agg(F.collect_list("term").alias("numbers"), F.collect_list("w").alias("ws"))
+    return TfidfIndex(_written(rows, f"{path}/weights"), terms, analyzer)
 
 
-#: Postings taken together, and products of documents and queries that one task holds.
-_ROWS, _PRODUCTS = 200_000, 4_000_000
+#: Products of documents and queries that one task holds.
+_PRODUCTS = 4_000_000
+_MEMBERS = (1 << 20) - 1
 
 
 @dataclass(frozen=True)
 class _QueryTerms:
-    """Weights of a batch's terms: those of term k are ``query`` and ``weight`` from ``start[k]`` to ``start[k + 1]``."""
+    """Weights of a batch's terms: those of ``terms[k]`` are ``query`` and ``weight`` from ``start[k]`` to ``start[k + 1]``.
+
+    ``member`` tells by a number's last bits that no query has the term.
+    """
 
-    terms: pa.Array
+    terms: np.ndarray
+    member: np.ndarray
     start: np.ndarray
     query: np.ndarray
     weight: np.ndarray
@@ -168,45 +330,43 @@ class _QueryTerms:
     @classmethod
     def of(cls, asked: pa.Table) -> _QueryTerms:
         """From rows (query_id, term, wq)."""
-        terms = asked["term"].combine_chunks().dictionary_encode()
+        terms, code = np.unique(asked["term"].to_numpy(), return_inverse=True)
         queries = asked["query_id"].combine_chunks().dictionary_encode()
-        code = terms.indices.to_numpy()
+        member = np.zeros(_MEMBERS + 1, bool)
+        member[terms & _MEMBERS] = True
         order = np.argsort(code, kind="stable")
-        start = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
-        return cls(terms.dictionary, start, queries.indices.to_numpy()[order], asked["wq"].to_numpy()[order], queries.dictionary)
-
-    def products(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """(query_id, doc_id, score): sums over the postings ``rows`` (doc_id, term, w)."""
-        docs = rows["doc_id"].combine_chunks().dictionary_encode()
-        width = len(self.queries)
-        if len(docs.dictionary) * width > _PRODUCTS and len(docs.dictionary) > 1:
-            half = rows.num_rows // 2
-            yield from self.products(rows.slice(0, half))
-            yield from self.products(rows.slice(half))
+        start = np.searchsorted(code[order], np.arange(len(terms) + 1))
+        return cls(terms, member, start, queries.indices.to_numpy()[order], asked["wq"].to_numpy()[order], queries.dictionary)
+
+    def products(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score) of the documents ``batch`` (doc_id, numbers, ws)."""
+        width, rows = len(self.queries), batch.num_rows
+        if rows > 1 and rows * width > _PRODUCTS:
+            yield from self.products(batch.slice(0, rows // 2))
+            yield from self.products(batch.slice(rows // 2))
             return
-        term = pc.fill_null(pc.index_in(rows["term"].combine_chunks(), value_set=self.terms), -1).to_numpy()
-        hit = np.flatnonzero(term >= 0)
-        begin = self.start[term[hit]]
-        times = self.start[term[hit] + 1] - begin
+        flat = pc.list_flatten(batch.column("numbers")).to_numpy(zero_copy_only=False)
+        weights = pc.list_flatten(batch.column("ws")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rows, dtype=np.int64), pc.fill_null(pc.list_value_length(batch.column("numbers")), 0).to_numpy(zero_copy_only=False))
+        maybe = np.flatnonzero(self.member[flat & _MEMBERS])
+        place = np.minimum(np.searchsorted(self.terms, flat[maybe]), len(self.terms) - 1)
+        real = self.terms[place] == flat[maybe]
+        hit, term = maybe[real], place[real]
+        begin = self.start[term]
+        times = self.start[term + 1] - begin
         # entry j of a posting is the j-th query of its term
         entry = np.arange(times.sum()) + np.repeat(begin - np.cumsum(times) + times, times)
-        cell = np.repeat(docs.indices.to_numpy()[hit].astype(np.int64) * width, times) + self.query[entry]
-        score = np.bincount(cell, np.repeat(rows["w"].to_numpy()[hit], times) * self.weight[entry], len(docs.dictionary) * width)
+        cell = np.repeat(row[hit] * width, times) + self.query[entry]
+        score = np.bincount(cell, np.repeat(weights[hit], times) * self.weight[entry], rows * width)
         cells = np.flatnonzero(score)
-        yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(cells % width)), docs.dictionary.take(pa.array(cells // width)), pa.array(score[cells])], ["query_id", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(cells % width)), batch.column("doc_id").take(pa.array(cells // width)), pa.array(score[cells])], ["query_id", "doc_id", "score"])
 
 
 def _multiply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= _ROWS:
-                yield from shared.value.products(pa.Table.from_batches(held))
-                held, size = [], 0
-        if size:
-            yield from shared.value.products(pa.Table.from_batches(held))
+            if batch.num_rows:
+                yield from shared.value.products(batch)
 
     return run
 
@@ -222,9 +382,9 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame) -> DataFrame:
     if held.num_rows > BROADCAST_TERMS:
         scored = index.weights.join(asked, "term").select("query_id", "doc_id", (F.col("w") * F.col("wq")).alias("score"))
     elif not held.num_rows:
-        scored = index.weights.limit(0).crossJoin(asked.limit(0).select("query_id")).select("query_id", "doc_id", F.lit(0.0).alias("score"))
+        scored = index.rows.limit(0).crossJoin(asked.limit(0).select("query_id")).select("query_id", "doc_id", F.lit(0.0).alias("score"))
     else:
-        kinds = [asked.schema["query_id"], index.weights.schema["doc_id"], T.StructField("score", T.DoubleType())]
-        shared = index.weights.sparkSession.sparkContext.broadcast(_QueryTerms.of(held))
-        scored = index.weights.mapInArrow(_multiply(shared), T.StructType(kinds))
+        kinds = [asked.schema["query_id"], index.rows.schema["doc_id"], T.StructField("score", T.DoubleType())]
+        shared = index.rows.sparkSession.sparkContext.broadcast(_QueryTerms.of(held))
+        scored = index.rows.mapInArrow(_multiply(shared), T.StructType(kinds))
     return scored.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))

@@ -14,6 +14,7 @@ from ..session import scratch
 from ..sources import corpus as C
 from ..sources import documents as D
 from ..sources import html as H
+from ..sources import service as S
 from .graph import _BFS, _NODES, edges, roots
 from .registry import query
 from .tables import table
@@ -100,6 +101,40 @@ def failed_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.failed_pages(responses).select("department", "reason")
 
 
+def _land(spark: SparkSession, sf_dir: str, where: str) -> str:
+    """A folder with a response file for each chosen part: departments are brands, offsets the parts' numbers."""
+    folder = scratch(spark, "pages")
+    rows = table(spark, sf_dir, "part").filter(where).select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("department"), F.col("p_partkey").alias("offset"), F.expr(_BODY).alias("body"))
+    S.land_pages(rows, folder)
+    return folder
+
+
+_PAGE_SQL = """SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS department, p_partkey AS "offset", {rest} FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 9 {of}"""
+
+
+@query(
+    "service_scan",
+    f"""{_PAGE_SQL.format(rest="position, 'IS ' || (p_partkey + position) AS number, NULL::VARCHAR AS error", of="NOT IN (4, 5)").replace("FROM part", "FROM part, (VALUES (0), (1)) AS v(position)")}
+    UNION ALL {_PAGE_SQL.format(rest="NULL, NULL, CASE WHEN p_partkey % 9 = 4 THEN 'unreadable' ELSE 'FAILED' END", of="IN (4, 5)")}""",
+)
+def service_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh part's response, read by the data source in a partition of its own."""
+    spark.dataSource.register(S.LandedPages)
+    pages = spark.read.format("landed_pages").load(_land(spark, sf_dir, "p_partkey % 7 = 0"))
+    return pages.select("department", "offset", "position", F.try_element_at("record", F.lit("standardNumber")).alias("number"), "error")
+
+
+@query("service_stream", f"""{_PAGE_SQL.format(rest="position, 'IS ' || (p_partkey + position) AS number", of="NOT IN (4, 5)").replace("FROM part", "FROM part, (VALUES (0), (1)) AS v(position)")}""")
+def service_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a folder in which half of the pages land after the first run; the second reads those alone."""
+    folder, store, checkpoint = _land(spark, sf_dir, "p_partkey % 14 = 0"), scratch(spark, "service"), scratch(spark, "service-checkpoint")
+    S.ingest(spark, folder, store, checkpoint, ("standardNumber",))
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 14 = 7").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("department"), F.col("p_partkey").alias("offset"), F.expr(_BODY).alias("body"))
+    S.land_pages(rows, folder)
+    S.ingest(spark, folder, store, checkpoint, ("standardNumber",))
+    return spark.read.parquet(f"{store}/records/batch=*").select("department", "offset", "position", F.col("standardNumber").alias("number"))
+
+
 @query("document_scan", "SELECT trim(regexp_replace(n_name || ' ' || n_regionkey, '\\s+', ' ', 'g')) AS text, NULL::VARCHAR AS error FROM nation")
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation is a text file of its own in a folder."""

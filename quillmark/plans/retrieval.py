@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
-from ..operators.textindex import STOP_WORDS, bm25_scores, tfidf_scores
+from ..operators.textindex import STOP_WORDS, bm25_best, tfidf_scores
 from ..operators.vectorindex import search
 from . import indexes
 from .registry import query
@@ -105,8 +105,9 @@ def char_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM {_ranked('bs', 50)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bm25_scores(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir))
-    return R.top_k(scores, R.PROFILES["production"].arm_k).select("query_id", "doc_id", "rank", "score")
+    k = R.PROFILES["production"].arm_k
+    scores = bm25_best(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir), k)
+    return R.top_k(scores, k).select("query_id", "doc_id", "rank", "score")
 
 
 @query("tfidf_word_topk", f"WITH {_WORD_ARM} SELECT query_id, doc_id, rank, score FROM {_ranked('ws', HYBRID.arm_k)}")
@@ -154,7 +155,7 @@ _RERANK = f"""p AS (SELECT query_id, doc_id, score AS x, row_number() OVER (PART
     f"WITH {_BM25}, {_RERANK} SELECT query_id, doc_id, position AS rank, round(1 / (1 + exp(-(x / 10))), 6) AS quality FROM p",
 )
 def rerank_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.top_k(bm25_scores(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir)), 50)
+    scores = R.top_k(bm25_best(indexes.bm25(spark, sf_dir), benchmark_queries(spark, sf_dir), 50), 50)
     kept = R.rerank(scores.withColumnRenamed("score", "fused"), None, 10)
     return kept.select("query_id", "doc_id", F.col("position").alias("rank"), F.round(R.sigmoid(F.col("rerank_score") / 10), 6).alias("quality"))
 
