@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify, ident, text
+from ..operators.contain import containing
 
 _S, _I, _L, _B, _D = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.DoubleType()
 
@@ -109,12 +110,17 @@ def parse_notification(body: Column) -> Column:
 def fetch_tenders(requests: DataFrame, tenders: DataFrame) -> DataFrame:
     """A tender per request: equal id, else the first whose id contains it (either way, any case), else one made of the request.
 
-    Equal ids are joined first; only requests without one are compared with all ids.
+    Equal ids are joined first; of requests without one and the ids, pairs come
+    from the grams that they share.
     """
-    wanted, own = F.lower("r.request"), F.lower("t.tender_id")
     equal = requests.alias("r").join(tenders.alias("t"), F.col("r.request") == F.col("t.tender_id"))
     rest = requests.join(tenders.select(F.col("tender_id").alias("request")), "request", "left_anti")
-    similar = rest.alias("r").join(tenders.alias("t"), F.contains(own, wanted) | F.contains(wanted, own), "left")
+    asked, known = rest.select("request", F.lower("request").alias("text")).distinct(), tenders.select("tender_id", F.lower("tender_id").alias("text")).distinct()
+    held = containing(known, asked.withColumnRenamed("text", "pattern"), "tender_id", "request")
+    holds = containing(asked, known.withColumnRenamed("text", "pattern"), "request", "tender_id")
+    pairs = held.select("request", "tender_id").union(holds.select("request", "tender_id")).distinct().select(F.col("request").alias("asked"), F.col("tender_id").alias("known"))
+    matched = rest.alias("r").join(pairs, F.col("r.request") == F.col("asked"), "left")
+    similar = matched.join(tenders.alias("t"), F.col("known") == F.col("t.tender_id"), "left")
     joined = equal.select("r.*", "t.*").unionByName(similar.select("r.*", "t.*"))
     r, t = requests.columns, tenders.columns
     joined = joined.select(F.struct(*r).alias("r"), F.struct(*t).alias("t"))
