@@ -13,7 +13,7 @@ from ..operators.textindex import bm25_scores
 from ..session import scratch
 from ..sources import corpus as C
 from ..sources import html as H
-from ..streaming import delta, windows
+from ..streaming import changes, delta, windows
 from . import indexes, retrieval
 from .graph import _STATUS
 from .registry import query
@@ -371,19 +371,54 @@ def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_delta_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders land in three files; each customer's newest priority is its title."""
+    store, log = scratch(spark, "store"), scratch(spark, "log")
+    landing, rows = _landed_orders(spark, sf_dir)
+    delta.run_delta(spark, landing, rows.schema, delta.delta_writer(store, log, seq="seq"), scratch(spark, "checkpoint"))
+    ended = delta.current(spark, store, rows.drop("seq").withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema)
+    logged = delta.logged(spark, log).groupBy("is_number").agg(F.count_if(F.col("change_type") == "new").alias("times_new"), F.count_if(F.col("change_type") != "new").alias("times_changed"))
+    return ended.join(logged, "is_number", "left").select("is_number", "title", "times_new", "times_changed")
+
+
+def _landed_orders(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS is_number", "trim(o_orderpriority) AS title", "o_orderkey AS seq")
     none = "array<string>"
     shape = {"year": F.lit(2000), "status": F.lit("current"), "division": F.lit("D"), "amendments": F.array().cast(none), "normative_references": F.array().cast(none), "certification": F.lit(None).cast("string"), "supersedes": F.lit(None).cast("string"), "scope": F.lit("s")}
-    landing, store, log = scratch(spark, "landing"), scratch(spark, "store"), scratch(spark, "log")
+    landing = scratch(spark, "landing")
     rows = rows.withColumns(shape)
     cut = rows.agg(F.max("seq")).first()[0] // 3 + 1
     for n in range(3):
         # each landing is one file, so that a trigger takes it whole: the table is small, a landed file's size is the source's choice
         rows.filter(F.floor(F.col("seq") / cut) == n).coalesce(1).write.mode("append").parquet(landing)
-    delta.run_delta(spark, landing, rows.schema, delta.delta_writer(store, log, seq="seq"), scratch(spark, "checkpoint"))
-    ended = delta.current(spark, store, rows.drop("seq").withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema)
-    logged = delta.logged(spark, log).groupBy("is_number").agg(F.count_if(F.col("change_type") == "new").alias("times_new"), F.count_if(F.col("change_type") != "new").alias("times_changed"))
-    return ended.join(logged, "is_number", "left").select("is_number", "title", "times_new", "times_changed")
+    return landing, rows
+
+
+@query(
+    "stream_state_cdc",
+    """WITH f AS (SELECT o_custkey AS is_number, o_orderkey // ((SELECT max(o_orderkey) FROM orders) // 3 + 1) AS file, arg_max(trim(o_orderpriority), o_orderkey) AS title FROM orders GROUP BY ALL),
+    l AS (SELECT *, lag(title) OVER (PARTITION BY is_number ORDER BY file) AS earlier FROM f)
+    SELECT is_number, count(*) FILTER (earlier IS NULL) AS times_new, count(*) FILTER (earlier <> title) AS times_changed, count(*) FILTER (earlier = title) AS times_unchanged FROM l GROUP BY is_number""",
+)
+def stream_state_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same orders against the stream's own state: no stored table is read."""
+    landing, rows = _landed_orders(spark, sf_dir)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    path, found = scratch(spark, "changes"), changes.changes(stream)
+    changes.run_changes(spark, found, scratch(spark, "checkpoint"), path)
+    kinds = {"times_new": F.col("change_type") == "new", "times_changed": ~F.col("change_type").isin("new", "unchanged"), "times_unchanged": F.col("change_type") == "unchanged"}
+    return spark.read.schema(found.schema).parquet(path).groupBy("is_number").agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
+
+
+@query("stream_distinct_events", "SELECT event_id, ts, event_type FROM events")
+def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events land twice, in files that are read one by one; the repeats are known by the state."""
+    landing = scratch(spark, "landing")
+    for _ in range(2):
+        windows.land_events(spark, f"{sf_dir}/events.parquet", landing, files=2)
+    schema = spark.read.parquet(landing).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, found = scratch(spark, "events"), changes.distinct_records(stream, "event_id", "ts", "3650 days")
+    changes.run_changes(spark, found, scratch(spark, "checkpoint"), path)
+    return spark.read.schema(found.schema).parquet(path).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
 _WATERMARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"

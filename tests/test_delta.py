@@ -4,7 +4,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from quillmark.streaming import delta
+from quillmark.operators import cdc
+from quillmark.streaming import changes, delta
 
 KIND = "is_number string, title string, year int, status string, division string, amendments array<string>, normative_references array<string>, certification string, supersedes string, scope string"
 
@@ -28,3 +29,36 @@ def test_replayed_batches_and_untouched_parts(spark, tmp_path):
     assert logged == {(1, "k7"): "scope", (1, "k999"): "new"}
     write(records(spark, []), 2)
     assert delta.current(spark, store, schema).count() == 301
+
+
+def landed(spark, folder, rows):
+    spark.createDataFrame(rows, KIND + ", seq long").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_tells_changes_as_the_stored_table_does(spark, tmp_path):
+    """Two runs with one checkpoint: the second knows what the first has seen, without a table."""
+    landing, path, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "c"))
+    base = ("t", 2000, "current", "D", ["a1"], ["IS 1", "IS 2"], None, None, "s")
+    edits = {"same": {}, "order": {5: ["IS 2", "IS 1"]}, "title": {0: "u"}, "space": {0: " t "}, "year": {1: None}, "gone": {2: "withdrawn"}, "refs": {5: ["IS 1"]}, "cert": {6: "x"}, "scope": {8: "z"}, "gone and scope": {2: "superseded", 8: "z"}}
+    first = [(k, *base, 1) for k in edits]
+    second = [(k, *(change.get(i, v) for i, v in enumerate(base)), 3) for k, change in edits.items()] + [("same", "older", *base[1:], 2), ("fresh", *base, 4)]
+    schema = spark.createDataFrame([], KIND + ", seq long").schema
+    for rows in (first, second):
+        landed(spark, landing, rows)
+        found = changes.changes(spark.readStream.schema(schema).parquet(landing))
+        changes.run_changes(spark, found, checkpoint, path)
+    got = {(r["is_number"], r["seq"]): (r["change_type"], sorted(r["changed_fields"])) for r in spark.read.schema(found.schema).parquet(path).collect()}
+    assert all(got[k, 1] == ("new", ["*"]) for k in edits) and got["fresh", 4] == ("new", ["*"]) and len(got) == 2 * len(edits) + 1
+    hashed = [cdc.with_hashes(spark.createDataFrame([r[:-1] for r in rows if r[-1] != 2], KIND)) for rows in (second, first)]
+    for r in cdc.detect_changes(*hashed).filter("is_number <> 'fresh'").collect():
+        assert got[r["is_number"], 3] == (r["change_type"], sorted(r["changed_fields"])), r
+
+
+def test_state_expires(spark, tmp_path):
+    landing, path, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "c"))
+    schema = spark.createDataFrame([], KIND + ", seq long").schema
+    for n in range(2):
+        landed(spark, landing, [("k", "t", 2000, "current", "D", [], [], None, None, "s", n)])
+        found = changes.changes(spark.readStream.schema(schema).parquet(landing), keep_ms=1)
+        changes.run_changes(spark, found, checkpoint, path)
+    assert [r["change_type"] for r in spark.read.schema(found.schema).parquet(path).collect()] == ["new", "new"]
