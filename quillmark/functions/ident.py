@@ -66,21 +66,37 @@ def same_designation(a: Column, b: Column) -> Column:
     return F.coalesce(canonical_key(a) == canonical_key(b), F.lit(False))
 
 
-def register(spark: SparkSession) -> None:
-    """Make the functions available to SQL as temporary SQL functions."""
-    pattern = DESIGNATOR.replace("\\", "\\\\").replace("'", "\\'")
+def family_sql(raw: str) -> str:
+    """``standard_family`` of the SQL expression ``raw``, as SQL."""
+    return f"CASE WHEN {_group_sql(raw, _NUMBER)} <> '' THEN concat(upper({_group_sql(raw, _PREFIX)}), ' ', upper({_group_sql(raw, _NUMBER)})) END"
+
 
-    def group(i: int) -> str:
-        return f"regexp_extract(raw, '{pattern}', {i})"
+def key_sql(raw: str) -> str:
+    """``canonical_key`` of the SQL expression ``raw``, as SQL."""
 
     def suffix(a: int, b: int) -> str:
-        return f"coalesce(concat('-', coalesce(nullif({group(a)}, ''), nullif({group(b)}, ''))), '')"
-
-    family = f"CASE WHEN {group(_NUMBER)} <> '' THEN concat(upper({group(_PREFIX)}), ' ', upper({group(_NUMBER)})) END"
-    key = f"concat({family}, {suffix(_PART, _BARE_PART)}, {suffix(_SECTION, _BARE_SECTION)})"
-    for name, kind, body in (
-        ("standard_family", "STRING", family),
-        ("canonical_key", "STRING", key),
-        ("designator_year", "INT", f"try_cast(nullif({group(_YEAR)}, '') AS INT)"),
+        return f"coalesce(concat('-', coalesce(nullif({_group_sql(raw, a)}, ''), nullif({_group_sql(raw, b)}, ''))), '')"
+
+    return f"concat({family_sql(raw)}, {suffix(_PART, _BARE_PART)}, {suffix(_SECTION, _BARE_SECTION)})"
+
+
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _group_sql(raw: str, group: int) -> str:
+    return f"regexp_extract({raw}, {quoted(DESIGNATOR)}, {group})"
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions available to SQL as temporary SQL functions."""
+    references = f"array_distinct(array_compact(transform(regexp_extract_all(coalesce(raw, ''), {quoted(DESIGNATOR)}, 0), m -> {key_sql('m')})))"
+    for name, arguments, kind, body in (
+        ("standard_family", "raw STRING", "STRING", family_sql("raw")),
+        ("canonical_key", "raw STRING", "STRING", key_sql("raw")),
+        ("designator_year", "raw STRING", "INT", f"try_cast(nullif({_group_sql('raw', _YEAR)}, '') AS INT)"),
+        ("extract_references", "raw STRING", "ARRAY<STRING>", references),
+        ("same_designation", "a STRING, b STRING", "BOOLEAN", f"coalesce({key_sql('a')} = {key_sql('b')}, false)"),
     ):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(raw STRING) RETURNS {kind} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -87,9 +87,14 @@ _LINE_KEY = "CASE WHEN l_linenumber % 2 = 1 THEN 'IS ' || (l_partkey % 5000 + 1)
 )
 def extract_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of one text per order, in order of first mention."""
+    cited = citing_texts(spark, sf_dir)
+    return cited.select("l_orderkey", F.posexplode(ident.extract_references(F.col("body"))).alias("place", "key")).withColumn("place", F.col("place") + 1)
+
+
+def citing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, body): a text for each order that cites its parts."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.expr(_LINE).alias("t")))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: x["t"]), "; ")
-    return lines.select("l_orderkey", F.posexplode(ident.extract_references(text)).alias("place", "key")).withColumn("place", F.col("place") + 1)
+    return lines.select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["t"]), "; ").alias("body"))
 
 
 _STATUS = "CASE o_orderkey % 6 WHEN 0 THEN 'Withdrawn on request' WHEN 1 THEN 'SUPERSEDED by revision' WHEN 2 THEN 'Under Revision' WHEN 3 THEN 'Active' WHEN 4 THEN NULL ELSE '' END"

@@ -26,9 +26,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same rows."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     """Import the plan modules; each registers its queries."""
-    from . import corpus, graph, identifiers, merging, processing, retrieval, validation  # noqa: F401
+    from . import corpus, graph, identifiers, merging, processing, retrieval, sqlfunctions, validation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
