@@ -6,6 +6,8 @@ of an edge in its list is kept, so first visits follow breadth-first order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,42 @@ def first_type_closure(edges: DataFrame, roots: DataFrame, depth: int = 2, limit
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
+#: Edges out of a node from which on it is a hub, and the parts that a hub's edges are joined in.
+HUB, PARTS = 10_000, 32
+
+
+def full_closure(edges: DataFrame, roots: DataFrame, kept: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
+    """(root, first_type, node, hop): all nodes that can be reached, by shortest path, for each type of the first edge.
+
+    Each round joins only what the round before has found, until nothing new is;
+    cycles end by themselves.  ``kept`` writes a table and reads it back, so that
+    lineage and plans don't grow with the depth.  The edges of a hub lie in
+    ``PARTS`` parts, and a path that comes to it is joined with each of them.
+    ``rounds`` ends the walk early.
+    """
+    links = edges.select("src", "dst", "role").distinct()
+    hubs = links.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).select("src", F.lit(True).alias("hub"))
+    parted = links.join(hubs, "src", "left").withColumn("part", F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(PARTS))).otherwise(0)).drop("hub")
+    parted, hubs = kept(parted), kept(hubs)
+    zero, last = F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")
+    spread = F.explode(F.when(F.col("hub"), F.sequence(zero, last)).otherwise(F.array(zero)))
+
+    def onward(paths: DataFrame) -> DataFrame:
+        """``paths`` (node and what is carried along) joined with the edges out of their nodes."""
+        at = paths.withColumnRenamed("node", "src").join(hubs, "src", "left").withColumn("part", spread).drop("hub")
+        return at.join(parted, ["src", "part"])
+
+    start = roots.select("root", F.col("root").alias("node")).distinct()
+    frontier = kept(onward(start).filter(F.col("dst") != F.col("root")).select("root", F.col("role").alias("first_type"), F.col("dst").alias("node")).distinct())
+    seen, hop = frontier.withColumn("hop", F.lit(1)), 1
+    while not frontier.isEmpty() and (rounds is None or hop < rounds):
+        hop += 1
+        step = onward(frontier).filter(F.col("dst") != F.col("root")).select("root", "first_type", F.col("dst").alias("node")).distinct()
+        frontier = kept(step.join(seen.select("root", "first_type", "node"), ["root", "first_type", "node"], "left_anti"))
+        seen = seen.unionAll(frontier.withColumn("hop", F.lit(hop)))
+    return seen.select("root", "first_type", "node", "hop")
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes (root, node, hop; the root at 0) and all edges out of the nodes nearer than ``depth``."""
     nodes = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))

@@ -13,15 +13,15 @@ LAST_WINS = ("aspect", "revision_count", "department_alias", "department_name",
 TIER_FILL = ("published_on", "valid_upto", "department_name", "division", "aspect", "degree_of_equivalence", "title_hindi")
 
 
-def merge_arrivals(rows: DataFrame, key: str, seq: str, fields: list[str], last_wins: tuple[str, ...] = LAST_WINS, queries: str | None = "matched_queries") -> DataFrame:
+def merge_arrivals(rows: DataFrame, key: str, seq: str, fields: list[str], last_wins: tuple[str, ...] = LAST_WINS, queries: str | None = "matched_queries", also: dict[str, Column] | None = None) -> DataFrame:
     """One row per ``key``: the first arrival, its gaps filled by later ones.
 
     Fields in ``last_wins`` take the last value that is not null, the others the
     first; ``queries`` (an array) becomes the ordered union.  With an empty
-    ``last_wins`` this is the keyword merge.
+    ``last_wins`` this is the keyword merge.  ``also``: further aggregates by name.
     """
     picked = [(F.max_by if f in last_wins else F.min_by)(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields]
-    out = rows.groupBy(key).agg(*picked, F.count("*").alias("arrivals"))
+    out = rows.groupBy(key).agg(*picked, F.count("*").alias("arrivals"), *(c.alias(n) for n, c in (also or {}).items()))
     if not queries:
         return out
     values = rows.select(F.col(key).alias("__k"), F.col(seq).alias("__s"), F.posexplode(queries).alias("__p", "__v"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import ROLE_LABELS
 from ..operators import graph as G
 from ..operators.textindex import build_tfidf, word_grams
-from ..session import scratch
+from ..session import kept, scratch
 from .identifiers import _PHRASES, _phrase
 from .registry import query
 from .tables import table
@@ -74,6 +74,20 @@ def closure_first_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.first_type_closure(edges(spark, sf_dir), roots(spark, sf_dir))
 
 
+_CHAIN = """e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, 'halved' AS role FROM part UNION ALL SELECT p_partkey, p_partkey // 3, 'third' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 0, max(p_partkey) // 4, 'back' FROM part)"""
+
+
+@query(
+    "closure_full",
+    f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT src AS root, role AS first_type, dst AS node, 1 AS hop FROM e WHERE dst <> src UNION SELECT r.root, r.first_type, e.dst, hop + 1 FROM r JOIN e ON e.src = r.node WHERE e.dst <> r.root AND hop < 64)
+    SELECT root, first_type, node, min(hop)::INT AS hop FROM r WHERE root IN (SELECT p_partkey FROM part) GROUP BY ALL""",
+)
+def closure_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that each part leads to, however far: part i names i / 2 and, if it divides, i / 3; 0 leads back into the middle."""
+    links = spark.sql(f"WITH {_CHAIN.replace('//', 'DIV')} SELECT * FROM e".replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return G.full_closure(links, roots(spark, sf_dir), kept)
+
+
 _NODES = f"""{_EDGES}, n0 AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS hop FROM part),
 n1 AS (SELECT DISTINCT src AS root, dst AS node, 1 AS hop FROM e WHERE src <> dst),
 n2 AS (SELECT DISTINCT n1.root, e.dst AS node, 2 AS hop FROM n1 JOIN e ON e.src = n1.node WHERE NOT EXISTS (SELECT 1 FROM n1 o WHERE o.root = n1.root AND o.node = e.dst) AND e.dst <> n1.root)"""

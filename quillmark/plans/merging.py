@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ident import canonical_key
-from ..operators import cdc, merge
+from ..operators import cdc, merge, observed
+from ..session import scratch
+from ..streaming import windows
 from .identifiers import FAMILY, KEY, RAW, printed
-from .registry import query
+from .registry import oracle_sql_of, query
 from .tables import table
 
 _SEQ = "(l_orderkey * 10 + l_linenumber)"
@@ -68,6 +70,24 @@ def merge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_counters(rows, stored, "key")
 
 
+@query("observed_merge", oracle_sql_of("merge_counters"))
+def observed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters, observed while the merged corpus is written."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.monotonically_increasing_id().alias("seq"), F.col("l_returnflag").alias("title"))
+    stored = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title"))
+    return observed.merge_and_count(stored, rows, "key", "seq", ["title"], scratch(spark, "merged"))
+
+
+@query("stream_observed_run", "SELECT 'delta' AS mode, 'events' AS source, count(*) AS records_found, count(*) FILTER (event_id % 3 = 0) AS records_changed, 2 AS batches, true AS healthy FROM events")
+def stream_observed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landed files; a listener writes what each batch has observed to the table of runs."""
+    landing, runs = windows.land_events(spark, f"{sf_dir}/events.parquet", scratch(spark, "landing"), files=2), scratch(spark, "runs")
+    stream = spark.readStream.schema(spark.read.parquet(landing).schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    observed.run_and_record(stream, F.col("event_id") % 3 == 0, scratch(spark, "out"), scratch(spark, "checkpoint"), runs, source="events")
+    own = spark.read.parquet(runs).groupBy("mode", "source").agg(F.sum("records_found").alias("records_found"), F.sum("records_changed").alias("records_changed"), F.count("*").cast("int").alias("batches"), F.bool_and("healthy").alias("healthy"))
+    return own
+
+
 # Tier 1: every even part under its own key; tier 2: the printed form of every part, twice.
 _TIER1 = "SELECT 'IS ' || p_partkey AS is_number, 'IS ' || p_partkey AS canonical_key, p_name AS title, '' AS status, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS department_name FROM part WHERE p_partkey % 2 = 0"
 _TIER2 = f"""SELECT p_partkey * 2 + k AS seq, CASE WHEN k = 0 THEN {RAW} ELSE ({RAW}) || ' reaffirmed' END AS is_number, coalesce({KEY}, 'none') AS canonical_key, p_name AS title,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quillmark-{uuid.uuid4().hex}/{name}"
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared scratch folder and read back, so that its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(app: str = "quillmark", cores: int | None = None, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session; on a cluster the master and memory come from spark-submit."""
     n = cores or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
