@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..sources import corpus as C
 from ..sources import documents as D
 from ..sources import html as H
 from ..sources import service as S
+from ..sources import sheets as Sh
 from .graph import _BFS, _NODES, edges, roots
 from .registry import query
 from .tables import table
@@ -135,6 +137,23 @@ def service_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{store}/records/batch=*").select("department", "offset", "position", F.col("standardNumber").alias("number"))
 
 
+@query(
+    "compulsory_sheet",
+    """WITH r AS (SELECT p_partkey, 'IS ' || (p_partkey % 700) AS is_number, p_brand || ' ' || p_name AS product, p_brand FROM part) SELECT is_number, arg_max(product, struct_pack(b := p_brand, k := p_partkey)) AS product FROM r GROUP BY is_number""",
+)
+def compulsory_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each brand, with a title above the header; the last row that names a standard wins."""
+
+    def workbook(key, rows):
+        lines = [[str(n), p, f"{s}:2015"] for n, (p, s) in enumerate(zip(rows["product"].to_pylist(), rows["standard"].to_pylist(), strict=True))]
+        content = Sh.write_xlsx([["Products under compulsory certification"], ["No", "Product", "Indian Standard"], *lines])
+        return pa.table({"path": [f"{key[0].as_py()}.xlsx"], "content": pa.array([content], pa.binary())})
+
+    parts = table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_brand || ' ' || p_name AS product", "'IS ' || (p_partkey % 700) AS standard")
+    files = parts.groupBy("p_brand").applyInArrow(lambda key, rows: workbook(key, rows.sort_by("p_partkey")), "path string, content binary")
+    return Sh.compulsory_products(files)
+
+
 @query("document_scan", "SELECT trim(regexp_replace(n_name || ' ' || n_regionkey, '\\s+', ' ', 'g')) AS text, NULL::VARCHAR AS error FROM nation")
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation is a text file of its own in a folder."""
