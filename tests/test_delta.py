@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from quillmark.operators import cdc
+from quillmark.operators import store as table
 from quillmark.streaming import changes, delta
 
 KIND = "is_number string, title string, year int, status string, division string, amendments array<string>, normative_references array<string>, certification string, supersedes string, scope string"
@@ -24,7 +25,7 @@ def test_replayed_batches_and_untouched_parts(spark, tmp_path):
     got = {r["is_number"]: r["title"] for r in delta.current(spark, store, schema).collect()}
     assert len(got) == 301 and (got["k7"], got["k8"], got["k999"]) == ("new", "old", "fresh")
     assert {r["title"] for r in delta.current(spark, store, schema, before=1).collect()} == {"old"}
-    assert len(list(Path(store, "batch=1").glob("bucket=*"))) <= 3 < len(list(Path(store, "batch=0").glob("bucket=*")))
+    assert len(list(Path(store, "batch=1").glob("of=*/bucket=*"))) <= 3 < len(list(Path(store, "batch=0").glob("of=*/bucket=*")))
     logged = {(r["batch"], r["is_number"]): r["change_type"] for r in delta.logged(spark, log).filter("batch = 1").collect()}
     assert logged == {(1, "k7"): "scope", (1, "k999"): "new"}
     write(records(spark, []), 2)
@@ -62,3 +63,42 @@ def test_state_expires(spark, tmp_path):
         found = changes.changes(spark.readStream.schema(schema).parquet(landing), keep_ms=1)
         changes.run_changes(spark, found, checkpoint, path)
     assert [r["change_type"] for r in spark.read.schema(found.schema).parquet(path).collect()] == ["new", "new"]
+
+
+def test_parts_grow_with_the_store_and_replaced_ones_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delta, "BUCKET_ROWS", 10)
+    store, log = f"{tmp_path}/store", f"{tmp_path}/log"
+    write = delta.delta_writer(store, log)
+    schema = records(spark, []).withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema
+    for n in range(4):
+        write(records(spark, [(f"k{i}", f"t{n}") for i in range(60 * n + 1)]), n)
+        got = {r["is_number"]: r["title"] for r in delta.current(spark, store, schema).collect()}
+        assert got == {f"k{i}": f"t{n}" for i in range(60 * n + 1)}
+    sizes = {int(p.name.removeprefix("of=")) for p in Path(store, "batch=3").glob("of=*")}
+    assert sizes == {32} and {r["title"] for r in delta.current(spark, store, schema, before=3).collect()} == {"t2"}
+    assert not list(Path(store, "batch=0").glob("of=*/bucket=*")) and not list(Path(store, "batch=1").glob("of=*/bucket=*"))
+
+
+def test_upsert_joins_the_stored_side_in_place(spark, tmp_path, monkeypatch):
+    base = f"{tmp_path}/store"
+    hashed = lambda pairs: cdc.with_hashes(records(spark, pairs))
+    table.upsert_store(spark, base, hashed([(f"k{i}", "old") for i in range(200)]))
+    fresh = hashed([("k7", "new"), ("k999", "fresh")])
+    stored = table.open_store(spark, base, fresh.schema, "is_number")
+    monkeypatch.setattr(table, "FIRST", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = cdc.upsert(stored, fresh)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    got = {r["is_number"]: r["title"] for r in table.upsert_store(spark, base, fresh).collect()}
+    assert len(got) == 201 and (got["k7"], got["k8"], got["k999"]) == ("new", "old", "fresh")
+    monkeypatch.setattr(table, "ROWS", 10)
+    table.upsert_store(spark, base, hashed([("k5", "grown")]))
+    assert [b for _, b in table.versions(spark, base)] == [8, 8, 32]
+    again = table.upsert_store(spark, base, hashed([("k6", "grown")]))
+    assert {r["title"] for r in again.filter("is_number in ('k5', 'k6')").collect()} == {"grown"} and again.count() == 201
+    assert table.drop_versions(spark, base) == [1, 2] and [n for n, _ in table.versions(spark, base)] == [3, 4]
