@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .reranker import with_texts
 from .textindex import Bm25Index, TfidfIndex, bm25_best, build_bm25, build_tfidf, char_grams, tfidf_scores, word_grams
 
 
@@ -131,16 +132,18 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= 0.75, "High").when(confidence >= 0.50, "Medium").otherwise("Low")
 
 
-def rerank(fused: DataFrame, scorer: Callable[[DataFrame], Column] | None, keep: int, inputs: int = RERANK_INPUT) -> DataFrame:
+def rerank(fused: DataFrame, scorer: Callable[[DataFrame], Column] | None, keep: int, inputs: int = RERANK_INPUT, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Re-score the best ``inputs`` rows per query and keep ``keep``.
 
-    ``scorer`` gives the score column of a frame with query and document text;
-    without one the order of the fused score stays and it is the score.  The
-    rank filter comes before the scorer, so an expensive model sees few rows.
+    ``scorer`` gives the score column of a frame to which ``texts`` has joined
+    query and document text; without one the order of the fused score stays and
+    it is the score.  The rank filter comes before both, so an expensive model
+    sees few rows.
     """
     by_fused = Window.partitionBy("query_id").orderBy(F.desc("fused"), "doc_id")
     best = fused.withColumn("position", F.row_number().over(by_fused)).filter(F.col("position") <= inputs)
-    scored = best.withColumn("rerank_score", F.col("fused") if scorer is None else scorer(best))
+    told = texts(best) if texts and scorer else best
+    scored = told.withColumn("rerank_score", F.col("fused") if scorer is None else scorer(told)).select(*best.columns, "rerank_score")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id")
     return scored.withColumn("position", F.row_number().over(by_score)).filter(F.col("position") <= keep)
 
@@ -203,17 +206,17 @@ def build_indexes(docs: DataFrame, path: str, profile: str = "hybrid", dense: bo
     return Indexes(word=build_tfidf(docs, f"{path}/word", word_grams), char=char)
 
 
-def retrieve(indexes: Indexes, queries: DataFrame, profile: str = "hybrid", dense: DataFrame | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+def retrieve(indexes: Indexes, queries: DataFrame, profile: str = "hybrid", dense: DataFrame | None = None, scorer: Callable[[DataFrame], Column] | None = None, docs: DataFrame | None = None) -> DataFrame:
     """End to end for a batch of ``queries`` (query_id, text) over an indexed corpus.
 
     The production configuration takes ``dense`` (query_id, doc_id, score, rank)
     from a vector search and BM25 as its sparse arm; the others use character
-    and word TF-IDF.
+    and word TF-IDF.  ``scorer`` sees the texts of ``docs`` (doc_id, text).
     """
     p = PROFILES[profile]
     sparse = top_k(bm25_best(indexes.bm25, queries, p.arm_k) if profile == "production" else tfidf_scores(indexes.word, queries), p.arm_k)
     if dense is None:
         dense = top_k(tfidf_scores(indexes.char, queries), p.arm_k)
     fused = fuse(dense, sparse, p.rrf_k)
-    ranked = rerank(fused, scorer, p.rerank_k or p.top_k)
+    ranked = rerank(fused, scorer, p.rerank_k or p.top_k, texts=None if docs is None else lambda rows: with_texts(rows, queries, docs))
     return with_confidence(ranked.filter(F.col("position") <= p.top_k), p)

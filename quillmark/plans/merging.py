@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ident import canonical_key
-from ..operators import cdc, merge, observed
+from ..operators import cdc, merge, observed, store
 from ..session import scratch
 from ..streaming import windows
 from .identifiers import FAMILY, KEY, RAW, printed
@@ -216,7 +216,19 @@ def change_gates_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    out = cdc.upsert(old, new, now=F.lit("2024-02-02"))
+    return _shown(cdc.upsert(old, new, now=F.lit("2024-02-02")))
+
+
+@query("upsert_stored", oracle_sql_of("upsert_coalesce"))
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a store in buckets, whose side is joined where it lies."""
+    base = scratch(spark, "store")
+    for rows in _versions(spark, sf_dir):
+        out = store.upsert_store(spark, base, rows, merge=lambda stored, fresh, key: cdc.upsert(stored, fresh, key, now=F.lit("2024-02-02") if store.versions(spark, base) else F.lit("2024-01-01")))
+    return _shown(out)
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("is_number", "title", "year", "status", "scope", F.array_join("normative_references", ",").alias("refs"), F.round("extraction_quality", 6).alias("quality"), F.array_join("sources", ",").alias("sources"), "last_seen")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as E
+from ..operators import reranker
 from ..operators import retrieve as R
 from ..operators.textindex import STOP_WORDS, bm25_best, tfidf_scores
 from ..operators.vectorindex import search
+from ..service import Service
 from . import indexes
 from .registry import query
-from .tables import benchmark_queries, table
+from .tables import benchmark_queries, documents, table
 
 HYBRID = R.PROFILES["hybrid"]
 KNN_QUERIES_EVERY = 50
@@ -211,14 +214,73 @@ _VECTOR_ARM = """vs AS (SELECT item_id AS query_id, e.vec_id AS doc_id, round(li
 @query("retrieve_production", f"WITH {_BM25}, {_VECTOR_ARM}, {_fused(R.PROFILES['production'], 'vs', 'bs')}, {_confident(R.PROFILES['production'])} SELECT query_id, doc_id, position AS rank, fused, confidence, band FROM e")
 def retrieve_production(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense arm searches the vectors; an item's own vector is that of equal number."""
+    items, dense = _production(spark, sf_dir)
+    ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "production"), items, "production", dense=dense)
+    return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")
+
+
+def _production(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The items and their dense arm."""
     items, vectors = benchmark_queries(spark, sf_dir), table(spark, sf_dir, "embeddings")
     asked = items.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id").select("query_id", "query_vector")
     found = R.knn(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), asked, R.PROFILES["production"].arm_k)
-    ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "production"), items, "production", dense=found.filter("score > 0"))
-    return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")
+    return items, found.filter("score > 0")
+
+
+def fitted_scorer(spark: SparkSession, sf_dir: str):
+    """A scorer fitted on every second item: what the production arms find, right where the document holds the item."""
+    (items, dense), docs = _production(spark, sf_dir), documents(spark, sf_dir)
+    k = R.PROFILES["production"].arm_k
+    learnt = items.filter(F.crc32(F.col("query_id").cast("string").cast("binary")) % 2 == 0)
+    fused = R.fuse(dense.join(learnt.select("query_id"), "query_id", "left_semi"), R.top_k(bm25_best(indexes.bm25(spark, sf_dir), learnt, k), k))
+    model = reranker.train(reranker.with_texts(fused, learnt, docs), E.holders(docs, learnt))
+    return reranker.scorer(model) if model else None
+
+
+def reranked(spark: SparkSession, sf_dir: str, scorer) -> DataFrame:
+    (items, dense), docs = _production(spark, sf_dir), documents(spark, sf_dir)
+    return R.retrieve(indexes.of_profile(spark, sf_dir, "production"), items, "production", dense=dense, scorer=scorer, docs=docs)
+
+
+@query("rerank_fitted")
+def rerank_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production profile with a fitted model; that more of them are right than by the fused score is tested on items that it hasn't seen."""
+    ranked = reranked(spark, sf_dir, fitted_scorer(spark, sf_dir))
+    return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), F.round(R.sigmoid(F.col("rerank_score")), 6).alias("quality"), "confidence", "band")
 
 
 @query("retrieve_offline", f"WITH {_WORD_ARM}, {_CHAR_ARM}, {_fused(R.PROFILES['offline'])}, {_confident(R.PROFILES['offline'])} SELECT query_id, doc_id, position AS rank, fused, confidence, band FROM e")
 def retrieve_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = R.retrieve(indexes.of_profile(spark, sf_dir, "offline"), benchmark_queries(spark, sf_dir), "offline")
     return ranked.select("query_id", "doc_id", F.col("position").alias("rank"), "fused", "confidence", "band")
+
+
+_PARTS_AS_CORPUS = """documents AS (SELECT 'IS ' || p_partkey AS doc_id, p_name || '. ' || p_type AS text FROM part),
+benchmark AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 150 = 0 THEN 'qqq zzz' ELSE p_name END AS text FROM part WHERE p_partkey % 50 = 0)"""
+
+
+@query(
+    "recommend_end_to_end",
+    f"""WITH {_PARTS_AS_CORPUS}, {_WORD_ARM}, {_CHAR_ARM}, {_FUSED}, {_CONFIDENT},
+g AS (SELECT item_id AS query_id, e.doc_id, e.position, e.confidence, e.band,
+  CASE WHEN e.doc_id IS NULL THEN 'no_results' WHEN max(e.confidence) FILTER (e.position = 1) OVER (PARTITION BY item_id) < 0.25 THEN 'low_confidence' ELSE 'ok' END AS state FROM benchmark LEFT JOIN e ON e.query_id = item_id),
+kk AS (SELECT *, state = 'ok' AS shown, (SELECT max(p_partkey) FROM part) AS last, CASE WHEN state = 'ok' THEN substr(doc_id, 4)::BIGINT END AS n FROM g WHERE state <> 'low_confidence' OR position = 1)
+SELECT query_id, state, CASE WHEN shown THEN position END AS position, CASE WHEN shown THEN doc_id END AS is_number, CASE WHEN shown THEN confidence END AS confidence, CASE WHEN shown THEN band END AS band,
+  CASE WHEN shown THEN p_name END AS title, CASE WHEN shown THEN doc_id || CASE WHEN n % 5 > 0 THEN ':' || (1900 + n % 100) ELSE '' END || ' (Amdt 2)' END AS latest_version,
+  CASE WHEN shown AND n % 2 = 0 THEN true END AS mandatory, nullif(concat_ws(',', CASE WHEN n < last THEN 'IS ' || (n + 1) END, CASE WHEN n + 1 < last THEN 'IS ' || (n + 2) END), '') AS allied, shown AS clause
+FROM kk LEFT JOIN part ON p_partkey = n""",
+)
+def recommend_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From text to recommendation over one corpus, the parts: retrieve, gate, enrich, allied, clause, for the names of every fiftieth part."""
+    parts = table(spark, sf_dir, "part")
+    kind = "struct<scheme:string,scheme_label:string,mandatory:boolean,product:string>"
+    standards = parts.crossJoin(F.broadcast(parts.agg(F.max("p_partkey").alias("last")))).selectExpr(
+        "'IS ' || p_partkey AS is_number", "'IS ' || p_partkey AS canonical_key", "p_name AS title", "CASE WHEN p_partkey % 5 > 0 THEN 1900 + p_partkey % 100 END AS year", "'current' AS status", "p_brand AS division", "p_type AS scope",
+        "CASE WHEN p_partkey < last THEN array('IS ' || (p_partkey + 1)) ELSE array() END AS normative_references", "array(struct('2' AS number, CAST(NULL AS STRING) AS date)) AS amendments",
+        f"CASE WHEN p_partkey % 2 = 0 THEN CAST(struct('ISI' AS scheme, CAST(NULL AS STRING) AS scheme_label, CAST(NULL AS BOOLEAN) AS mandatory, CAST(NULL AS STRING) AS product) AS {kind}) END AS certification",
+        "CAST(NULL AS STRING) AS superseded_by", "CAST(NULL AS STRING) AS valid_upto", "'enriched' AS tier", "p_partkey AS seq",
+    )
+    asked = parts.filter("p_partkey % 50 = 0").selectExpr("p_partkey AS query_id", "CASE WHEN p_partkey % 150 = 0 THEN 'qqq zzz' ELSE p_name END AS text")
+    rows = Service(standards).recommend(asked)
+    allied = F.nullif(F.array_join(F.flatten(F.map_values("allied")), ","), F.lit(""))
+    return rows.select("query_id", "state", "position", "is_number", "confidence", "band", "title", "latest_version", "certification.mandatory", allied.alias("allied"), F.col("clause").isNotNull().alias("clause"))
