@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ident import canonical_key, extract_references
 
+# The tokens of the sparse index.
 DESIGNATOR_TOKEN = r"is\s*\d+(?:-\d+)?"
 WORD_TOKEN = r"[a-z]+|\d+(?:\.\d+)?"
 
@@ -100,6 +101,7 @@ def merge_repeated_cells(cells: Column) -> Column:
     return F.array_join(once, " | ")
 
 
+# Fixed value: what begins a numbered item.
 ITEM_BREAK = r"\n\s*(?:\d+[\.\)]\s+|[a-z][\.\)]\s+|Item\s+\d+)"
 
 
@@ -109,6 +111,11 @@ def segment_items(text: Column, least: int = 60, whole: int = 2000) -> Column:
     return F.when(F.size(parts) > 0, F.transform(parts, collapse)).otherwise(F.array(F.substring(collapse(text), 1, whole)))
 
 
+# The technical parameters of a specification.
+VOLTAGE, CAPACITY = r"(?i)\b\d+(?:\.\d+)?\s*(?:kV|V)\b", r"(?i)\b\d+(?:\.\d+)?\s*(?:kVA|MVA|kW|MW)\b"
+MATERIAL = r"\b(?:xlpe|pvc|copper|aluminium|steel|tmt|cement|concrete)\b"
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
@@ -116,9 +123,9 @@ def _matches(text: Column, pattern: str) -> Column:
 def technical_parameters(text: Column) -> Column:
     """struct of voltage_ratings, capacities and materials (lower-cased), distinct and sorted."""
     return F.struct(
-        _matches(text, r"(?i)\b\d+(?:\.\d+)?\s*(?:kV|V)\b").alias("voltage_ratings"),
-        _matches(text, r"(?i)\b\d+(?:\.\d+)?\s*(?:kVA|MVA|kW|MW)\b").alias("capacities"),
-        _matches(F.lower(text), r"\b(?:xlpe|pvc|copper|aluminium|steel|tmt|cement|concrete)\b").alias("materials"),
+        _matches(text, VOLTAGE).alias("voltage_ratings"),
+        _matches(text, CAPACITY).alias("capacities"),
+        _matches(F.lower(text), MATERIAL).alias("materials"),
     )
 
 

@@ -22,7 +22,11 @@ def allied_map(edges: DataFrame, roots: DataFrame, index: TfidfIndex | None = No
     return roles.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("role_label", F.transform("members", lambda m: m.cast("string"))))).alias("allied"))
 
 
-def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges: DataFrame, style: str = "production", index: TfidfIndex | None = None, depth: int = 2) -> DataFrame:
+#: By rule an excerpt of a scope has so many characters.
+EXCERPT = 400
+
+
+def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges: DataFrame, style: str = "production", index: TfidfIndex | None = None, depth: int = 2, excerpt: int = EXCERPT) -> DataFrame:
     """One row per query and position of ``gated`` (see ``retrieve.gate``), with everything shown for it.
 
     ``standards``: is_number, title, year, status, scope, amendments and
@@ -51,5 +55,5 @@ def recommend(gated: DataFrame, queries: DataFrame, standards: DataFrame, edges:
         render.certification_view(F.col("certification")).alias("certification"),
         "allied",
         F.when(found, render.tender_clause(number, latest, F.col("title"), F.col("certification"), F.col("allied"))).alias("clause"),
-        F.substring("scope", 1, 400).alias("scope_excerpt"),
+        F.substring("scope", 1, excerpt).alias("scope_excerpt"),
     )

@@ -89,18 +89,23 @@ def tender_clause(number: Column, latest: Column, title: Column, certification:
     return F.array_join(F.transform(kept, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n\n")
 
 
+# Wording of the older clause, and the roles it lists with how many members each.
+SHORT_MARK = "2. Mandatory Certification: The product must bear the valid {mark} mark as mandated by the appropriate Quality Control Order (QCO) published in the Gazette of India. Uncertified bids shall be summarily rejected."
+SHORT_ROLES = (
+    ("Test method", 4, "3. Acceptance & Routine Tests: Acceptance testing at vendor works shall strictly follow testing procedures prescribed in {list}."),
+    ("Related product", 3, "4. Normative Raw Materials: Raw materials and components shall satisfy {list}."),
+)
+
+
 def short_clause(number: Column, latest: Column, title: Column, certification: Column, allied: Column) -> Column:
     """The older clause of four fixed items."""
     mark = F.coalesce(truthy(certification["scheme_label"]), truthy(certification["scheme"]), F.lit("ISI"))
     certified = F.coalesce(certification["mandatory"], F.lit(False)) | truthy(certification["scheme"]).isNotNull()
     parts = [
         F.concat(F.lit("1. "), fill(CONFORMITY, latest=F.coalesce(truthy(latest), number), title=F.coalesce(title, F.lit("")))),
-        F.when(certified, fill("2. Mandatory Certification: The product must bear the valid {mark} mark as mandated by the appropriate Quality Control Order (QCO) published in the Gazette of India. Uncertified bids shall be summarily rejected.", mark=mark)),
+        F.when(certified, fill(SHORT_MARK, mark=mark)),
     ]
-    for role, most, template in (
-        ("Test method", 4, "3. Acceptance & Routine Tests: Acceptance testing at vendor works shall strictly follow testing procedures prescribed in {list}."),
-        ("Related product", 3, "4. Normative Raw Materials: Raw materials and components shall satisfy {list}."),
-    ):
+    for role, most, template in SHORT_ROLES:
         members = F.try_element_at(allied, F.lit(role))
         parts.append(F.when(F.size(members) > 0, fill(template, list=F.array_join(F.slice(members, 1, most), ", "))))
     return F.array_join(F.array_compact(F.array(*parts)), "\n\n")

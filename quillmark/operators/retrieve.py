@@ -59,6 +59,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+#: Bytes of one block of query vectors.
+QUERY_BYTES = 128 << 20
 #: Scores that one task holds at a time.
 _SCORES = 4_000_000
 
@@ -99,11 +101,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     """(query_id, doc_id, score, rank): exact cosine neighbours; ``where`` filters before ranking.
 
     ``queries`` (query_id, query_vector) is a stated set: blocks of at most
-    ``max_queries`` rows are broadcast and multiplied with the vectors where they
-    lie; only what can be among a query's best leaves a task.
+    ``max_queries`` rows and ``QUERY_BYTES`` are broadcast and multiplied with
+    the vectors where they lie; only what can be among a query's best leaves a task.
     """
     pool = (vectors if where is None else vectors.filter(where)).select("doc_id", "vector")
-    blocks = max(1, -(-queries.count() // max_queries))
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("query_vector").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // max_queries), -(-8 * numbers // QUERY_BYTES))
     kinds = T.StructType([queries.schema["query_id"], vectors.schema["doc_id"], T.StructField("score", T.DoubleType())])
     out = None
     for block in range(blocks):

@@ -360,6 +360,17 @@ def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.withColumnRenamed("c_name", "now").join(before.withColumnRenamed("c_name", "before"), "c_custkey", "left").select("c_custkey", "before", "now")
 
 
+@query("dataset_counters", "SELECT 0 AS back, count(*) AS total_count, count(*) FILTER (c_acctbal < 0) AS in_debt FROM customer UNION ALL SELECT 1, count(*), count(*) FILTER (c_acctbal < 0) FROM customer WHERE c_custkey % 3 > 0")
+def dataset_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that were written with two versions of a table."""
+    base = scratch(spark, "versions")
+    rows = table(spark, sf_dir, "customer")
+    for part in (rows.filter("c_custkey % 3 > 0"), rows):
+        C.write_versioned(part, base, {"in_debt": F.count_if(F.col("c_acctbal") < 0)})
+    found = [C.read_counters(spark, base, back) for back in (0, 1)]
+    return spark.createDataFrame([(back, c["total_count"], c["in_debt"]) for back, c in enumerate(found)], "back int, total_count long, in_debt long")
+
+
 # --- streams --------------------------------------------------------------------
 
 

@@ -15,9 +15,19 @@ from .tables import documents
 _BUILT: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], object]):
-    """The index of this kind; later queries of the session read the tables that the first one wrote."""
-    key = (spark.sparkContext.applicationId, str(sf_dir), kind)
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: another state asks for another index."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while found.hasNext():
+        file = found.next()
+        out.append(f"{file.getPath()}:{file.getLen()}:{file.getModificationTime()}")
+    return "|".join(sorted(out))
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], object], source: str = "documents"):
+    """The index of this kind; later queries of the session read the tables that the first one wrote, as long as the table is the same."""
+    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/{source}.parquet"), kind)
     if key not in _BUILT:
         _BUILT[key] = build(scratch(spark, f"index-{kind}"))
     return _BUILT[key]
@@ -36,7 +46,7 @@ def characters(spark: SparkSession, sf_dir: str) -> TfidfIndex:
 
 
 def vectors(spark: SparkSession, sf_dir: str, pool: DataFrame) -> VectorIndex:
-    return _once(spark, sf_dir, "vectors", lambda path: build_vector_index(pool, path, keep=("label",)))
+    return _once(spark, sf_dir, "vectors", lambda path: build_vector_index(pool, path, keep=("label",)), "embeddings")
 
 
 def of_profile(spark: SparkSession, sf_dir: str, profile: str) -> Indexes:

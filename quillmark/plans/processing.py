@@ -213,15 +213,24 @@ def process_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "vector_upsert",
     """SELECT 'IS ' || p_partkey AS is_number, CASE WHEN p_partkey % 3 = 0 THEN 'passage: ' || p_name || '.' ELSE 'passage: ' || p_name || '. old' END AS text,
-    CASE WHEN p_partkey % 5 > 0 THEN CAST(1900 + p_partkey % 100 AS INT) ELSE 0 END AS year, p_brand AS division, 'none' AS certification_scheme FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0""",
+    CASE WHEN p_partkey % 5 > 0 THEN CAST(1900 + p_partkey % 100 AS INT) ELSE 0 END AS year, p_brand AS division, 'none' AS certification_scheme, round((embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))))::DOUBLE, 5) AS first
+    FROM part LEFT JOIN embeddings ON vec_id = (p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE 0 END) % (SELECT count(*) FROM embeddings) WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0""",
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors of every second part; every third comes again without a scope.  The whole store is then scanned."""
     path = scratch(spark, "vectors")
-    stored = P.vector_rows(_records(spark, sf_dir, "p_partkey % 2 = 0", scope="'old'"))
-    fresh = P.vector_rows(_records(spark, sf_dir, "p_partkey % 3 = 0", scope="CAST(NULL AS STRING)"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), "embedding")
+    n = F.broadcast(vectors.agg(F.count("*").alias("n")))
+
+    def embedded(records: DataFrame, shift: int) -> DataFrame:
+        """Part k has the vector of number k, or k + 7 when it comes again."""
+        at = (F.substring("is_number", 4, 20).cast("long") + shift) % F.col("n")
+        return P.vector_rows(records.crossJoin(n).withColumn("at", at).join(vectors, "at", "left"), "embedding")
+
+    stored = embedded(_records(spark, sf_dir, "p_partkey % 2 = 0", scope="'old'"), 0)
+    fresh = embedded(_records(spark, sf_dir, "p_partkey % 3 = 0", scope="CAST(NULL AS STRING)"), 7)
     P.upsert_by_key(stored, fresh).write.parquet(path)
-    return spark.read.parquet(path).select("is_number", "text", "metadata.year", "metadata.division", "metadata.certification_scheme")
+    return spark.read.parquet(path).select("is_number", "text", "metadata.year", "metadata.division", "metadata.certification_scheme", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"))
 
 
 @query(

@@ -109,8 +109,8 @@ def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     missed = "CASE WHEN event_id % 3 = 0 THEN map('results_row', 1, 'columns', 2) WHEN event_id % 3 = 2 THEN map('title', 1) END"
     runs = events.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("mode"), F.expr("'u' || user_id").alias("source"), F.col("ts").alias("started_at"), F.expr("value >= 5").alias("healthy"), F.expr(missed).alias("selector_misses"))
     newest = events.select(F.col("ts").alias("last_seen"))
-    now = newest.agg(F.max("last_seen")).first()[0]
-    return validate.pipeline_health(runs, newest, F.lit(now) + F.expr("INTERVAL 40 HOURS"))
+    now = newest.agg(F.max("last_seen")).scalar()
+    return validate.pipeline_health(runs, newest, now + F.expr("INTERVAL 40 HOURS"))
 
 
 # --- rendering ------------------------------------------------------------
@@ -214,14 +214,14 @@ def short_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "grounding_filter",
     """SELECT o_custkey AS query_id, 'IS ' || (o_orderkey % 40) AS is_number, 'text ' || o_orderkey AS justification FROM orders
-    WHERE 'IS ' || (o_orderkey % 40) IN (SELECT 'IS ' || (p_partkey % 25) FROM part)""",
+    WHERE EXISTS (SELECT 1 FROM lineitem JOIN orders p ON p.o_orderkey = l_orderkey WHERE p.o_custkey = orders.o_custkey AND l_partkey % 40 = orders.o_orderkey % 40)""",
 )
 def grounding_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a model as fenced JSON; claims about standards that were not retrieved are dropped."""
+    """Answers of a model as fenced JSON; claims about what the query, a customer, has not retrieved (the parts bought) are dropped."""
     raw = F.expr("""'```json\n{"justifications": [{"is_number": "IS ' || (o_orderkey % 40) || '", "justification": "text ' || o_orderkey || '"}]}\n```'""")
     claims = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.inline(render.parse_answer(raw)))
-    asked = claims.select("query_id").distinct()
-    retrieved = asked.crossJoin(F.broadcast(table(spark, sf_dir, "part").select(F.expr("'IS ' || (p_partkey % 25)").alias("is_number")).distinct()))
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    retrieved = bought.select(F.col("o_custkey").alias("query_id"), F.expr("'IS ' || (l_partkey % 40)").alias("is_number"))
     return render.grounded(claims, retrieved)
 
 

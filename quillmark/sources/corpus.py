@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,21 +55,38 @@ def _pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
     return sorted((int(number), version) for _, number, version in parts)
 
 
-def write_versioned(df: DataFrame, base: str) -> str:
-    """Write a new version and then an empty pointer file that names it; earlier versions and pointers stay.
+def write_versioned(df: DataFrame, base: str, counters: dict[str, Column] | None = None) -> str:
+    """Write a new version and then a pointer file that names it; earlier versions and pointers stay.
+
+    The pointer holds the version's ``counters``, aggregates that are observed
+    while it is written, besides ``total_count``.
 
     Pointers have rising numbers and are never replaced, and one is made only
     after its data is complete: a reader sees the old version or the new one,
     whatever is interrupted.  Of two writers at once the later name wins.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{base}/v-{version}")
+    seen = Observation(version)
+    df.observe(seen, F.count(F.lit(1)).alias("total_count"), *(c.alias(n) for n, c in (counters or {}).items())).write.parquet(f"{base}/v-{version}")
     number = max((n for n, _ in _pointers(spark, base)), default=0) + 1
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/current-{number:012}-{version}")
-    pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, False).close()
+    names = [spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{prefix}-{number:012}-{version}") for prefix in ("_writing", "current")]
+    files = names[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(names[0], False)
+    out.write(bytearray(json.dumps(seen.get).encode()))
+    out.close()
+    files.rename(*names)
     return version
 
 
+def read_counters(spark: SparkSession, base: str, back: int = 0) -> dict[str, int]:
+    """The counters of the newest version, or of the one ``back`` versions before it."""
+    found = _pointers(spark, base)
+    if len(found) <= back:
+        raise FileNotFoundError(f"{base} has {len(found)} versions")
+    number, version = found[-1 - back]
+    return json.loads(spark.read.text(f"{base}/current-{number:012}-{version}").first()[0])
+
+
 def read_versioned(spark: SparkSession, base: str, back: int = 0) -> DataFrame:
     """The newest version, or the one ``back`` versions before it."""
     found = _pointers(spark, base)

@@ -8,13 +8,16 @@ are counted by the caller (``operators.analytics.selector_misses``).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import ident, records
 
@@ -170,7 +173,26 @@ def probe_report(found: DataFrame, source: Column) -> DataFrame:
     return per.join(lacking, ["source", "field"], "left").withColumn("passed", F.coalesce("__whole", F.lit(True))).drop("__whole")
 
 
-_LISTING = "url string, division string, position int, raw_designation string, title string, year_text string, status_text string, link string, selector int"
+def _rows_in_batches(pages: DataFrame, schema: str, rows_of: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    """``rows_of`` each page of ``pages``, page by page, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for page in batch.to_pylist() for row in rows_of(page)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return pages.mapInArrow(run, schema)
+
+
+def _listed(page: dict) -> Iterator[tuple]:
+    """The cells of each listed row: their texts and the first link of each."""
+    found, which = select_first(parse(page["html"]), ROW_SELECTORS)
+    for place, row in enumerate(found):
+        held = (n for n in row.walk() if n.tag in ("td", "th"))
+        cells = [{"text": c.text(), "href": next((a.attrs["href"] for a in c.walk() if a.tag == "a" and a.attrs.get("href")), None)} for c in held]
+        yield page["url"], page["division"], place, [c | {"href": c["href"] and urljoin(page["url"] or "", c["href"])} for c in cells], which
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
@@ -179,71 +201,58 @@ def listing_rows(pages: DataFrame) -> DataFrame:
     Rows with too few cells or without a designator are left out; the year
     comes from the designator, else from its own cell.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _LISTING.split(", ")]
-        for frame in frames:
-            out = []
-            for url, html, division in zip(frame["url"], frame["html"], frame["division"], strict=True):
-                rows, which = select_first(parse(html), ROW_SELECTORS)
-                for n, row in enumerate(rows):
-                    cells = [c for c in row.walk() if c.tag in ("td", "th")]
-                    if len(cells) <= max(COLUMNS.values()):
-                        continue
-                    texts = {k: cells[i].text() for k, i in COLUMNS.items()}
-                    anchors = [a for a in cells[COLUMNS["is_number"]].walk() if a.tag == "a" and a.attrs.get("href")]
-                    link = urljoin(url or "", anchors[0].attrs["href"]) if anchors else None
-                    out.append((url, division, n, texts["is_number"], texts["title"], texts["year"], texts["status"], link, which))
-            yield pd.DataFrame(out, columns=names)
-
-    raw = pages.select("url", "html", "division").mapInPandas(run, _LISTING)
-    designator = F.col("raw_designation")
-    return raw.select(
+    raw = _rows_in_batches(pages.select("url", "html", "division"), "url string, division string, position int, cells array<struct<text:string,href:string>>, selector int", _listed)
+    cell = {name: F.get("cells", F.lit(at)) for name, at in COLUMNS.items()}
+    designator = cell["is_number"]["text"]
+    whole = raw.filter(F.size("cells") > max(COLUMNS.values()))
+    return whole.select(
         "url",
         "position",
         ident.canonical_key(designator).alias("is_number"),
-        "raw_designation",
-        "title",
-        F.coalesce(ident.designator_year(designator), records.year_of(F.col("year_text"))).alias("year"),
-        records.normalize_status(F.col("status_text")).alias("status"),
+        designator.alias("raw_designation"),
+        cell["title"]["text"].alias("title"),
+        F.coalesce(ident.designator_year(designator), records.year_of(cell["year"]["text"])).alias("year"),
+        records.normalize_status(cell["status"]["text"]).alias("status"),
         "division",
-        F.col("link").alias("source_url"),
+        cell["is_number"]["href"].alias("source_url"),
         "selector",
     ).filter("is_number is not null")
 
 
-_DETAIL = "url string, title string, meta map<string,string>, references_text string, amendments_text string, body string"
+#: What is read of a detail page: the texts that its selectors find, the cells of its first table of metadata, its headings and paragraphs.
+_DETAIL = "url string, title string, meta_rows array<array<string>>, references_text string, amendments_text string, blocks array<string>"
+
 
+def _detailed(page: dict) -> Iterator[tuple]:
+    root = parse(page["html"])
+    title, meta, cited, amended = (select_first(root, s)[0][:1] for s in (TITLE_SELECTORS, META_SELECTORS, REFERENCE_SELECTORS, AMENDMENT_SELECTORS))
+    rows = [[c.text() for c in row.walk() if c.tag == "td"] for table in meta for row in table.walk() if row.tag == "tr"]
+    yield page["url"], title[0].text() if title else None, rows, *("".join(n.text() for n in part) for part in (cited, amended)), [n.text() for n in root.walk() if n.tag in ("p", "h2", "h3")]
 
-def detail_rows(pages: DataFrame) -> DataFrame:
+
+def _metadata(rows: Column) -> Column:
+    """map of the rows with two cells, by the folded name in the first; of equal names the last row counts."""
+    pairs = F.transform(F.filter(rows, lambda r: F.size(r) == 2), lambda r: F.struct(F.concat(F.lit("meta_"), F.rtrim(F.replace(F.lower(r[0]), F.lit(" "), F.lit("_")), F.lit(":"))).alias("key"), r[1].alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"])))
+
+
+#: By rule a scope has so many characters at most.
+SCOPE_LENGTH = 3_000
+
+
+def detail_rows(pages: DataFrame, scope_length: int = SCOPE_LENGTH) -> DataFrame:
     """One row per detail page: title, two-column metadata, references, amendments and scope."""
     from ..functions import text as T
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["url", "title", "meta", "references_text", "amendments_text", "body"]
-        for frame in frames:
-            out = []
-            for url, html in zip(frame["url"], frame["html"], strict=True):
-                root = parse(html)
-                title = select_first(root, TITLE_SELECTORS)[0]
-                meta = {}
-                for table in select_first(root, META_SELECTORS)[0][:1]:
-                    for row in (n for n in table.walk() if n.tag == "tr"):
-                        cells = [c for c in row.walk() if c.tag == "td"]
-                        if len(cells) == 2:
-                            meta["meta_" + cells[0].text().lower().replace(" ", "_").rstrip(":")] = cells[1].text()
-                parts = [" ".join(n.text() for n in select_first(root, s)[0][:1]) for s in (REFERENCE_SELECTORS, AMENDMENT_SELECTORS)]
-                out.append((url, title[0].text() if title else None, meta, *parts, "\n".join(t for n in root.walk() if n.tag in ("p", "h2", "h3") for t in [n.text()] if t)))
-            yield pd.DataFrame(out, columns=names)
-
-    raw = pages.select("url", "html").mapInPandas(run, _DETAIL)
+    raw = _rows_in_batches(pages.select("url", "html"), _DETAIL, _detailed)
+    body = F.array_join(F.filter("blocks", lambda b: b != ""), "\n")
     return raw.select(
         "url",
         "title",
-        "meta",
+        _metadata(F.col("meta_rows")).alias("meta"),
         ident.extract_references(F.col("references_text")).alias("normative_references"),
         T.amendments(F.col("amendments_text")).alias("amendments"),
-        F.nullif(F.substring(T.collapse(F.regexp_extract("body", r"(?is)(?:^|\n)\s*(?:1[.\s]+)?Scope\s*\n(.+?)(?=\n\s*\d[.\s]|\Z)", 1)), 1, 3000), F.lit("")).alias("scope"),
+        F.nullif(F.substring(T.collapse(F.regexp_extract(body, r"(?is)(?:^|\n)\s*(?:1[.\s]+)?Scope\s*\n(.+?)(?=\n\s*\d[.\s]|\Z)", 1)), 1, scope_length), F.lit("")).alias("scope"),
     )
 
 
