@@ -17,6 +17,7 @@ from ..sources import documents as D
 from ..sources import html as H
 from ..sources import service as S
 from ..sources import sheets as Sh
+from .corpus import _PAGE
 from .graph import _BFS, _NODES, edges, roots
 from .registry import query
 from .tables import table
@@ -162,6 +163,35 @@ def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.scan_documents(spark, path).select("text", "error")
 
 
+_SCOPE_TEXT = "'This standard covers ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' in all its published forms, and the methods by which each of them has to be tested before use' ELSE '' END"
+
+
+@query(
+    "document_records",
+    f"""WITH d AS (SELECT *, p_partkey // 5 % 5 AS kind, {_SCOPE_TEXT} AS covers FROM part WHERE p_partkey % 5 = 0)
+    SELECT p_partkey, CASE kind WHEN 3 THEN 'Corrupted or invalid DOCX file' WHEN 4 THEN 'The uploaded file is empty' END AS error, CASE WHEN kind < 3 THEN 'IS ' || p_partkey END AS is_number, CASE WHEN kind < 3 THEN 'Steel ' || p_name || ' for use' END AS title,
+    CASE WHEN kind < 3 AND length(covers) > 30 THEN covers END AS scope, CASE WHEN kind < 3 THEN 'IS ' || (p_partkey + 1) || ',SP 7' END AS refs, CASE WHEN kind < 3 THEN 'IS ' || (p_partkey + 2) END AS supersedes,
+    CASE WHEN kind < 3 THEN round(0.3 + 0.25 + 0.15 + CASE WHEN p_partkey % 2 = 0 THEN 0.3 WHEN length(covers) > 30 THEN 0.15 ELSE 0 END, 3)::DOUBLE END AS quality FROM d""",
+)
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for every fifth part: UTF-8, UTF-16 and DOCX texts, a damaged DOCX file and an empty one; scanned to records."""
+
+    def written(batches):
+        for batch in batches:
+            rows = []
+            for key, page in zip(batch.column("p_partkey").to_pylist(), batch.column("page").to_pylist(), strict=True):
+                whole = D.write_docx(page.split("\n"))
+                ending, content = (("txt", page.encode()), ("txt", page.encode("utf-16")), ("docx", whole), ("docx", whole[:-40]), ("txt", b""))[key // 5 % 5]
+                rows.append((f"{key % 7}/{key}.{ending}", content))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["name", "content"])
+
+    pages = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select("p_partkey", F.expr(_PAGE).alias("page"))
+    folder = scratch(spark, "files")
+    D.land_files(pages.mapInArrow(written, "name string, content binary"), folder)
+    found = D.scan_records(spark, folder)
+    return found.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "error", "is_number", "title", "scope", F.array_join("normative_references", ",").alias("refs"), "supersedes", F.col("extraction_quality").alias("quality"))
+
+
 # --- the processing chain -------------------------------------------------------
 
 _CERTIFICATION = "struct<scheme:string,mandatory:boolean,gazette_url:string,gazette_title:string,effective_date:string>"

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.query import StreamingQuery
 
+from .documents import land_files, local_folder
+
 SCHEMA = "department string, offset long, position int, status string, total long, record map<string,string>, error string"
 _COLUMNS = pa.schema(
     [("department", pa.string()), ("offset", pa.int64()), ("position", pa.int32()), ("status", pa.string()), ("total", pa.int64()), ("record", pa.map_(pa.string(), pa.string())), ("error", pa.string())]
@@ -43,14 +45,9 @@ class Page(InputPartition):
     path: str
 
 
-def _folder(path: str) -> tuple[fs.FileSystem, str]:
-    plain = path.removeprefix("file://") if path.startswith("file:///") else re.sub("^file:/", "/", path)
-    return fs.FileSystem.from_uri(path) if "://" in plain else (fs.LocalFileSystem(), plain)
-
-
 def landed(path: str, departments: tuple[str, ...] = ()) -> list[Page]:
     """The pages under ``path``, by department and offset; files still being written, with another ending, are none."""
-    files, base = _folder(path)
+    files, base = local_folder(path)
     if files.get_file_info(base).type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = []
@@ -62,20 +59,8 @@ def landed(path: str, departments: tuple[str, ...] = ()) -> list[Page]:
 
 
 def land_pages(responses: DataFrame, folder: str) -> None:
-    """Write ``responses`` (department, offset, body) as the files of a landing folder, each whole before it has its name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _folder(folder)
-        for batch in batches:
-            for row in batch.to_pylist():
-                place = f"{base}/{row['department']}/{row['offset']}.json"
-                files.create_dir(f"{base}/{row['department']}", recursive=True)
-                with files.open_output_stream(f"{place}.part") as out:
-                    out.write((row["body"] or "").encode())
-                files.move(f"{place}.part", place)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["pages"])
-
-    responses.select("department", "offset", "body").mapInArrow(run, "pages long").agg(F.sum("pages")).collect()
+    """Write ``responses`` (department, offset, body) as the files of a landing folder."""
+    land_files(responses.select(F.concat(F.col("department"), F.lit("/"), F.col("offset").cast("string"), F.lit(".json")).alias("name"), F.coalesce("body", F.lit("")).alias("content")), folder)
 
 
 def _text(value) -> str | None:
@@ -98,7 +83,7 @@ def page_rows(page: Page, content: bytes) -> list[tuple]:
 
 
 def _batches(page: Page, folder: str) -> Iterator[pa.RecordBatch]:
-    files, _ = _folder(folder)
+    files, _ = local_folder(folder)
     info = files.get_file_info(page.path)
     if info.size is not None and info.size > MAX_BYTES:
         rows = [(page.department, page.offset, None, None, None, None, f"over {MAX_BYTES >> 20} MB")]
