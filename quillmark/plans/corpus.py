@@ -432,6 +432,37 @@ def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(path).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
+@query(
+    "stream_replayed_batch",
+    """WITH f AS (SELECT o_custkey AS is_number, o_orderkey // ((SELECT max(o_orderkey) FROM orders) // 3 + 1) AS file, arg_max(trim(o_orderpriority), o_orderkey) AS title FROM orders GROUP BY ALL),
+    l AS (SELECT *, lag(title) OVER (PARTITION BY is_number ORDER BY file) AS earlier FROM f)
+    SELECT is_number, arg_max(title, file) AS title, count(*) FILTER (earlier IS NULL OR earlier <> title) AS times_logged FROM l GROUP BY is_number""",
+)
+def stream_replayed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each landed file is handled twice, as after a worker was lost between the write and its receipt: the table and the log are those of one run."""
+    store, log = scratch(spark, "store"), scratch(spark, "log")
+    landing, rows = _landed_orders(spark, sf_dir)
+    write = delta.delta_writer(store, log, seq="seq")
+    delta.run_delta(spark, landing, rows.schema, lambda batch, number: [write(batch, number) for _ in range(2)], scratch(spark, "checkpoint"))
+    ended = delta.current(spark, store, rows.drop("seq").withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema)
+    logged = delta.logged(spark, log).groupBy("is_number").agg(F.count("*").alias("times_logged"))
+    return ended.join(logged, "is_number", "left").select("is_number", "title", "times_logged")
+
+
+@query("stream_rate_limited", "SELECT 3 AS batches, 2 AS files_at_most, count(*) AS events FROM events")
+def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five landed files, two of them a batch at most."""
+    landing = windows.land_events(spark, f"{sf_dir}/events.parquet", scratch(spark, "landing"), files=5)
+    path = scratch(spark, "seen")
+
+    def note(batch: DataFrame, number: int) -> None:
+        batch.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    delta.run_delta(spark, landing, spark.read.parquet(landing).schema, note, scratch(spark, "checkpoint"), files_per_batch=2)
+    per_batch = spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("files"), F.sum("n").alias("n"))
+    return per_batch.agg(F.count("*").cast("int").alias("batches"), F.max("files").cast("int").alias("files_at_most"), F.sum("n").alias("events"))
+
+
 _WATERMARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
