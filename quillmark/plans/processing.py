@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.multilingual import normalize_query as normalized
@@ -104,88 +104,71 @@ def failed_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.failed_pages(responses).select("department", "reason")
 
 
-def _land(spark: SparkSession, sf_dir: str, where: str) -> str:
-    """A folder with a response file for each chosen part: departments are brands, offsets the parts' numbers."""
-    folder = scratch(spark, "pages")
-    rows = table(spark, sf_dir, "part").filter(where).select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("department"), F.col("p_partkey").alias("offset"), F.expr(_BODY).alias("body"))
-    S.land_pages(rows, folder)
-    return folder
+#: Records of one page of the service; page 4 of 9 can't be read, page 5 failed.
+_PAGE_SIZE = 10
+_NUMBERED = f"""n AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS department, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place FROM part),
+g AS (SELECT department, place // {_PAGE_SIZE} * {_PAGE_SIZE} AS "offset", place // {_PAGE_SIZE} % 9 AS kind, (place % {_PAGE_SIZE})::INT AS position, 'IS ' || p_partkey AS number FROM n)"""
 
 
-_PAGE_SQL = """SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS department, p_partkey AS "offset", {rest} FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 9 {of}"""
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(department, offset, body): the parts of each brand in pages of ``_PAGE_SIZE``."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("department"), F.struct(place.alias("place"), F.concat(F.lit("IS "), "p_partkey").alias("number")).alias("r"))
+    paged = rows.groupBy("department", (F.floor(F.col("r.place") / _PAGE_SIZE) * _PAGE_SIZE).alias("offset")).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    data = F.transform("rs", lambda r: F.struct(r["number"].alias("standardNumber")))
+    kind = F.col("offset") / _PAGE_SIZE % 9
+    body = F.when(kind == 4, "not json").when(kind == 5, '{"status": "FAILED", "data": []}').otherwise(F.to_json(F.struct(F.lit("SUCCESS").alias("status"), data.alias("data"))))
+    return paged.select("department", F.col("offset").cast("long").alias("offset"), body.alias("body"))
 
 
 @query(
     "service_scan",
-    f"""{_PAGE_SQL.format(rest="position, 'IS ' || (p_partkey + position) AS number, NULL::VARCHAR AS error", of="NOT IN (4, 5)").replace("FROM part", "FROM part, (VALUES (0), (1)) AS v(position)")}
-    UNION ALL {_PAGE_SQL.format(rest="NULL, NULL, CASE WHEN p_partkey % 9 = 4 THEN 'unreadable' ELSE 'FAILED' END", of="IN (4, 5)")}""",
+    f"""WITH {_NUMBERED} SELECT department, "offset", position, number, NULL::VARCHAR AS error FROM g WHERE kind NOT IN (4, 5)
+    UNION ALL SELECT DISTINCT department, "offset", NULL::INT, NULL, CASE WHEN kind = 4 THEN 'unreadable' ELSE 'FAILED' END FROM g WHERE kind IN (4, 5)""",
 )
 def service_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh part's response, read by the data source in a partition of its own."""
+    """The landed pages of all departments, each read by the data source in a partition of its own."""
+    folder = scratch(spark, "pages")
+    S.land_pages(_responses(spark, sf_dir), folder)
     spark.dataSource.register(S.LandedPages)
-    pages = spark.read.format("landed_pages").load(_land(spark, sf_dir, "p_partkey % 7 = 0"))
+    pages = spark.read.format("landed_pages").load(folder)
     return pages.select("department", "offset", "position", F.try_element_at("record", F.lit("standardNumber")).alias("number"), "error")
 
 
-@query("service_stream", f"""{_PAGE_SQL.format(rest="position, 'IS ' || (p_partkey + position) AS number", of="NOT IN (4, 5)").replace("FROM part", "FROM part, (VALUES (0), (1)) AS v(position)")}""")
+@query("service_stream", f"""WITH {_NUMBERED} SELECT department, "offset", position, number FROM g WHERE kind NOT IN (4, 5)""")
 def service_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs over a folder in which half of the pages land after the first run; the second reads those alone."""
-    folder, store, checkpoint = _land(spark, sf_dir, "p_partkey % 14 = 0"), scratch(spark, "service"), scratch(spark, "service-checkpoint")
-    S.ingest(spark, folder, store, checkpoint, ("standardNumber",))
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 14 = 7").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("department"), F.col("p_partkey").alias("offset"), F.expr(_BODY).alias("body"))
-    S.land_pages(rows, folder)
-    S.ingest(spark, folder, store, checkpoint, ("standardNumber",))
+    """Two runs over a folder in which every second page lands after the first run; the second reads those alone."""
+    folder, store, checkpoint = scratch(spark, "pages"), scratch(spark, "service"), scratch(spark, "service-checkpoint")
+    responses = _responses(spark, sf_dir)
+    for half in (0, 1):
+        S.land_pages(responses.filter(F.col("offset") / _PAGE_SIZE % 2 == half), folder)
+        S.ingest(spark, folder, store, checkpoint, ("standardNumber",))
     return spark.read.parquet(f"{store}/records/batch=*").select("department", "offset", "position", F.col("standardNumber").alias("number"))
 
 
-@query(
-    "compulsory_sheet",
-    """WITH r AS (SELECT p_partkey, 'IS ' || (p_partkey % 700) AS is_number, p_brand || ' ' || p_name AS product, p_brand FROM part) SELECT is_number, arg_max(product, struct_pack(b := p_brand, k := p_partkey)) AS product FROM r GROUP BY is_number""",
-)
-def compulsory_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook for each brand, with a title above the header; the last row that names a standard wins."""
-
-    def workbook(key, rows):
-        lines = [[str(n), p, f"{s}:2015"] for n, (p, s) in enumerate(zip(rows["product"].to_pylist(), rows["standard"].to_pylist(), strict=True))]
-        content = Sh.write_xlsx([["Products under compulsory certification"], ["No", "Product", "Indian Standard"], *lines])
-        return pa.table({"path": [f"{key[0].as_py()}.xlsx"], "content": pa.array([content], pa.binary())})
-
-    parts = table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_brand || ' ' || p_name AS product", "'IS ' || (p_partkey % 700) AS standard")
-    files = parts.groupBy("p_brand").applyInArrow(lambda key, rows: workbook(key, rows.sort_by("p_partkey")), "path string, content binary")
-    return Sh.compulsory_products(files)
-
-
-@query("document_scan", "SELECT trim(regexp_replace(n_name || ' ' || n_regionkey, '\\s+', ' ', 'g')) AS text, NULL::VARCHAR AS error FROM nation")
-def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation is a text file of its own in a folder."""
-    path = scratch(spark, "texts")
-    table(spark, sf_dir, "nation").select(F.concat_ws(" ", "n_name", "n_regionkey")).coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
-    return D.scan_documents(spark, path).select("text", "error")
-
-
 _SCOPE_TEXT = "'This standard covers ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' in all its published forms, and the methods by which each of them has to be tested before use' ELSE '' END"
 
 
 @query(
     "document_records",
-    f"""WITH d AS (SELECT *, p_partkey // 5 % 5 AS kind, {_SCOPE_TEXT} AS covers FROM part WHERE p_partkey % 5 = 0)
+    f"""WITH d AS (SELECT *, p_partkey % 5 AS kind, {_SCOPE_TEXT} AS covers FROM part)
     SELECT p_partkey, CASE kind WHEN 3 THEN 'Corrupted or invalid DOCX file' WHEN 4 THEN 'The uploaded file is empty' END AS error, CASE WHEN kind < 3 THEN 'IS ' || p_partkey END AS is_number, CASE WHEN kind < 3 THEN 'Steel ' || p_name || ' for use' END AS title,
     CASE WHEN kind < 3 AND length(covers) > 30 THEN covers END AS scope, CASE WHEN kind < 3 THEN 'IS ' || (p_partkey + 1) || ',SP 7' END AS refs, CASE WHEN kind < 3 THEN 'IS ' || (p_partkey + 2) END AS supersedes,
     CASE WHEN kind < 3 THEN round(0.3 + 0.25 + 0.15 + CASE WHEN p_partkey % 2 = 0 THEN 0.3 WHEN length(covers) > 30 THEN 0.15 ELSE 0 END, 3)::DOUBLE END AS quality FROM d""",
 )
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for every fifth part: UTF-8, UTF-16 and DOCX texts, a damaged DOCX file and an empty one; scanned to records."""
+    """A file for every part: UTF-8, UTF-16 and DOCX texts, a damaged DOCX file and an empty one; scanned to records."""
 
     def written(batches):
         for batch in batches:
             rows = []
             for key, page in zip(batch.column("p_partkey").to_pylist(), batch.column("page").to_pylist(), strict=True):
                 whole = D.write_docx(page.split("\n"))
-                ending, content = (("txt", page.encode()), ("txt", page.encode("utf-16")), ("docx", whole), ("docx", whole[:-40]), ("txt", b""))[key // 5 % 5]
+                ending, content = (("txt", page.encode()), ("txt", page.encode("utf-16")), ("docx", whole), ("docx", whole[:-40]), ("txt", b""))[key % 5]
                 rows.append((f"{key % 7}/{key}.{ending}", content))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["name", "content"])
 
-    pages = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select("p_partkey", F.expr(_PAGE).alias("page"))
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAGE).alias("page"))
     folder = scratch(spark, "files")
     D.land_files(pages.mapInArrow(written, "name string, content binary"), folder)
     found = D.scan_records(spark, folder)
