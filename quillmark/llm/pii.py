@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Texts with redrawn tokens that are broadcast at most; more are joined by shuffle.
+BROADCAST_TEXTS = 100_000
 #: Draws of one length before the surrogate grows.
 DRAWS = 3
 ROUNDS = 4
@@ -377,14 +379,19 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_found = _with_found(slim)
-    held = materialize(with_found.select(F.xxhash64("text").alias("of"), "found").filter(F.size("found") > 0), "entities")
+    # written for all rows: a filter here would find the entities twice
+    held = materialize(with_found.select(F.xxhash64("text").alias("of"), "found"), "entities")
     tokens = held.select("of", F.explode("found").alias("entity")).select("of", F.inline(_tokens(F.col("entity")))).filter("kind not in ('initial', 'particle')")
     tokens = tokens.select("of", "kind", normal_form(F.col("kind"), F.col("printed")).alias("token")).distinct()
     again = redrawn(tokens.select("kind", "token").distinct(), key)
     if again.isEmpty():
         return with_found.select("doc_id", F.size("found").alias("n_entities"), _rewritten(key, F.col("text"), F.col("found"), F.col("pattern"), None).alias("text"))
     attempts = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "token"), "attempt")))
-    per_text = tokens.join(again, ["kind", "token"]).groupBy("of").agg(attempts.alias("again"))
-    some = with_found.filter(F.size("found") > 0).withColumn("of", F.xxhash64("text")).join(per_text, "of", "left")
+    per_text = materialize(tokens.join(again, ["kind", "token"]).groupBy("of").agg(attempts.alias("again")), "redrawn")
+    with_hash = with_found.withColumn("of", F.xxhash64("text"))
+    if per_text.count() <= BROADCAST_TEXTS:
+        joined = with_hash.join(F.broadcast(per_text), "of", "left")
+        return joined.select("doc_id", F.size("found").alias("n_entities"), _rewritten(key, F.col("text"), F.col("found"), F.col("pattern"), F.col("again")).alias("text"))
+    some = with_hash.filter(F.size("found") > 0).join(per_text, "of", "left")
     some = some.select("doc_id", F.size("found").alias("n_entities"), _rewritten(key, F.col("text"), F.col("found"), F.col("pattern"), F.col("again")).alias("text"))
     return some.unionAll(with_found.filter(F.size("found") == 0).select("doc_id", F.lit(0).alias("n_entities"), "text"))
