@@ -308,8 +308,8 @@ def build_tfidf(docs: DataFrame, path: str, analyzer: Analyzer) -> TfidfIndex:
     return TfidfIndex(_written(rows, f"{path}/weights"), terms, analyzer)
 
 
-#: Products of documents and queries that one task holds.
-_PRODUCTS = 4_000_000
+#: Documents taken together, and products of them and queries that one task holds.
+_DOCUMENTS, _PRODUCTS = 512, 4_000_000
 _MEMBERS = (1 << 20) - 1
 
 
@@ -354,10 +354,16 @@ class _QueryTerms:
         hit, term = maybe[real], place[real]
         begin = self.start[term]
         times = self.start[term + 1] - begin
-        # entry j of a posting is the j-th query of its term
-        entry = np.arange(times.sum()) + np.repeat(begin - np.cumsum(times) + times, times)
-        cell = np.repeat(row[hit] * width, times) + self.query[entry]
-        score = np.bincount(cell, np.repeat(weights[hit], times) * self.weight[entry], rows * width)
+        upto = np.concatenate([[0], np.cumsum(times)])
+        score = np.zeros(rows * width)
+        # a bounded number of products at a time, whatever queries share a term
+        cuts = np.unique(np.append(np.minimum(np.searchsorted(upto, np.arange(0, upto[-1] + _PRODUCTS, _PRODUCTS)), len(times)), len(times)))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, first = times[low:high], upto[low:high] - upto[low]
+            # entry j of a posting is the j-th query of its term
+            entry = np.arange(own.sum()) + np.repeat(begin[low:high] - first, own)
+            cell = np.repeat(row[hit[low:high]] * width, own) + self.query[entry]
+            score += np.bincount(cell, np.repeat(weights[hit[low:high]], own) * self.weight[entry], rows * width)
         cells = np.flatnonzero(score)
         yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(cells % width)), batch.column("doc_id").take(pa.array(cells // width)), pa.array(score[cells])], ["query_id", "doc_id", "score"])
 
@@ -365,8 +371,8 @@ class _QueryTerms:
 def _multiply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from shared.value.products(batch)
+            for at in range(0, batch.num_rows, _DOCUMENTS):
+                yield from shared.value.products(batch.slice(at, _DOCUMENTS))
 
     return run
 
