@@ -38,6 +38,16 @@ def test_keys_and_years(spark):
     assert one(spark, ["IS 10322-5-1", None], "string", ident.standard_family(F.col("v"))) == ["IS 10322", None]
 
 
+def test_long_numbers_are_whole(spark):
+    """A number isn't cut after its sixth digit, in columns and in SQL."""
+    raw = ["IS 1000130", "IS 1000050 (Part 7) : 1990", "SP 12345678-1975", "is:1000031-6"]
+    keys, families, years = ["IS 1000130", "IS 1000050-7", "SP 12345678", "IS 1000031-6"], ["IS 1000130", "IS 1000050", "SP 12345678", "IS 1000031"], [None, 1990, 1975, None]
+    assert [one(spark, raw, "string", f(F.col("v"))) for f in (ident.canonical_key, ident.standard_family, ident.designator_year)] == [keys, families, years]
+    assert one(spark, ["see IS 1000130 and SP 7:1982"], "string", ident.extract_references(F.col("v"))) == [["IS 1000130", "SP 7"]]
+    ident.register(spark)
+    assert [one(spark, raw, "string", F.expr(f"{name}(v)")) for name in ("canonical_key", "standard_family", "designator_year")] == [keys, families, years]
+
+
 def test_references_keep_order_and_are_distinct(spark):
     texts = ["Conforms to IS 694:2010 and IS 8130 (Part 2), tested per IS 10810-7.", "IS 456 and IS 456:2000", "none", None]
     assert one(spark, texts, "string", ident.extract_references(F.col("v"))) == [["IS 694", "IS 8130-2", "IS 10810-7"], ["IS 456"], [], []]
