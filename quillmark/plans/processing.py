@@ -127,7 +127,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT DISTINCT department, "offset", NULL::INT, NULL, CASE WHEN kind = 4 THEN 'unreadable' ELSE 'FAILED' END FROM g WHERE kind IN (4, 5)""",
 )
 def service_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The landed pages of all departments, each read by the data source in a partition of its own."""
+    """The landed pages of all departments, read by the data source."""
     folder = scratch(spark, "pages")
     S.land_pages(_responses(spark, sf_dir), folder)
     spark.dataSource.register(S.LandedPages)

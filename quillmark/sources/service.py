@@ -1,8 +1,9 @@
 """Landed pages of a catalogue service as a Spark data source, for batch and stream.
 
 A crawler lands each response of the paged service as one file,
-``<department>/<offset>.json``, in a folder that all executors read.  A department
-and offset is a partition of its own, so pages are read in parallel; of a stream
+``<department>/<offset>.json``, in a folder that all executors read.  Pages are
+read in parallel, each in a partition of its own as long as there are few, then
+many in each of ``PARTITIONS``; of a stream
 the pages read are the resume point, kept in the query's checkpoint: a run that
 is stopped goes on with the pages it has not committed, and departments that
 fail are recorded and passed.
@@ -34,10 +35,12 @@ _COLUMNS = pa.schema(
 )
 #: Documented bound of a page: a larger one is an error row.
 MAX_BYTES = 64 << 20
+#: Partitions of a scan or batch at most, and bytes of pages that a task turns into rows at a time.
+PARTITIONS, CHUNK_BYTES = 256, 8 << 20
 
 
 @dataclass
-class Page(InputPartition):
+class Page:
     """One landed response."""
 
     department: str
@@ -45,6 +48,19 @@ class Page(InputPartition):
     path: str
 
 
+@dataclass
+class Pages(InputPartition):
+    """The responses that one task reads."""
+
+    pages: list[Page]
+
+
+def _parted(pages: list[Page]) -> list[Pages]:
+    """``pages`` in partitions of almost equal numbers; one without pages if there are none."""
+    parts = min(PARTITIONS, len(pages))
+    return [Pages(pages[len(pages) * i // parts : len(pages) * (i + 1) // parts]) for i in range(parts)] or [Pages([])]
+
+
 def landed(path: str, departments: tuple[str, ...] = ()) -> list[Page]:
     """The pages under ``path``, by department and offset; files still being written, with another ending, are none."""
     files, base = local_folder(path)
@@ -60,7 +76,8 @@ def landed(path: str, departments: tuple[str, ...] = ()) -> list[Page]:
 
 def land_pages(responses: DataFrame, folder: str) -> None:
     """Write ``responses`` (department, offset, body) as the files of a landing folder."""
-    land_files(responses.select(F.concat(F.col("department"), F.lit("/"), F.col("offset").cast("string"), F.lit(".json")).alias("name"), F.coalesce("body", F.lit("")).alias("content")), folder)
+    cores = responses.sparkSession.sparkContext.defaultParallelism
+    land_files(responses.repartition(2 * cores).select(F.concat(F.col("department"), F.lit("/"), F.col("offset").cast("string"), F.lit(".json")).alias("name"), F.coalesce("body", F.lit("")).alias("content")), folder)
 
 
 def _text(value) -> str | None:
@@ -82,27 +99,38 @@ def page_rows(page: Page, content: bytes) -> list[tuple]:
         return [(page.department, page.offset, None, None, None, None, "unreadable")]
 
 
-def _batches(page: Page, folder: str) -> Iterator[pa.RecordBatch]:
+def _batches(pages: list[Page], folder: str) -> Iterator[pa.RecordBatch]:
     files, _ = local_folder(folder)
-    info = files.get_file_info(page.path)
-    if info.size is not None and info.size > MAX_BYTES:
-        rows = [(page.department, page.offset, None, None, None, None, f"over {MAX_BYTES >> 20} MB")]
-    else:
-        with files.open_input_stream(page.path) as stream:
-            rows = page_rows(page, stream.read())
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COLUMNS)], schema=_COLUMNS)
+    rows, held = [], 0
+    for page in pages:
+        size = files.get_file_info(page.path).size
+        if size is not None and size > MAX_BYTES:
+            rows.append((page.department, page.offset, None, None, None, None, f"over {MAX_BYTES >> 20} MB"))
+        else:
+            with files.open_input_stream(page.path) as stream:
+                content = stream.read()
+            rows += page_rows(page, content)
+            held += len(content)
+        if held >= CHUNK_BYTES:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COLUMNS)], schema=_COLUMNS)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, folder: str, departments: tuple[str, ...]):
         self.folder, self.departments = folder, departments
 
-    def partitions(self) -> list[Page]:
-        return landed(self.folder, self.departments) or [Page("", -1, "")]
+    def partitions(self) -> list[Pages]:
+        return _parted(landed(self.folder, self.departments))
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if partition.offset >= 0:
-            yield from _batches(partition, self.folder)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        yield from _batches(partition.pages, self.folder)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -120,14 +148,13 @@ class _StreamReader(DataSourceStreamReader):
             pages.setdefault(page.department, []).append(str(page.offset))
         return {k: ",".join(v) for k, v in pages.items()}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         done, asked = ({(k, int(n)) for k, v in x.items() for n in v.split(",")} for x in (start, end))
         own = [p for p in landed(self.folder, self.departments) if (p.department, p.offset) in asked - done]
-        return own or [Page("", -1, "")]
+        return _parted(own)
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if partition.offset >= 0:
-            yield from _batches(partition, self.folder)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        yield from _batches(partition.pages, self.folder)
 
     def commit(self, end: dict) -> None:
         """Nothing to do: landed pages stay, and the checkpoint holds the offsets."""

@@ -77,3 +77,14 @@ def test_nothing_landed_yet(spark, tmp_path):
     land(folder, "ETD", 0, page(1))
     S.ingest(spark, str(folder), store, str(tmp_path / "c"), ("standardNumber",))
     assert stored(spark, store).count() == 1
+
+
+def test_many_pages_share_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PARTITIONS", 3, raising=False)
+    folder = str(tmp_path / "in")
+    for n in range(10):
+        land(folder, "ETD", n, page(n))
+    parts = S._Reader(folder, ()).partitions()
+    assert len(parts) == 3
+    assert sorted(r for part in parts for batch in S._Reader(folder, ()).read(part) for r in batch.column(1).to_pylist()) == list(range(10))
+    assert len(S._StreamReader(folder, ()).partitions({"ETD": "0,1"}, {"ETD": ",".join(map(str, range(10)))})) == 3
