@@ -9,7 +9,7 @@ from ..functions import records, text
 from ..operators import analytics as A
 from ..operators import evaluate as E
 from ..operators import retrieve as R
-from ..operators.textindex import bm25_scores
+from ..operators.textindex import bm25_best, bm25_scores
 from ..session import scratch
 from ..sources import corpus as C
 from ..sources import html as H
@@ -147,8 +147,8 @@ def _cases(spark: SparkSession, sf_dir: str, where: Column | None = None) -> Dat
     """Each benchmark item expects the documents that hold its text."""
     docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
     held = E.holders(docs, asked)
-    scores = bm25_scores(indexes.bm25(spark, sf_dir), asked)
-    ranked = R.top_k(scores if where is None else scores.filter(where), 5)
+    index = indexes.bm25(spark, sf_dir)
+    ranked = R.top_k(bm25_best(index, asked, 5) if where is None else bm25_scores(index, asked).filter(where), 5)
     return E.case_metrics(ranked, held)
 
 
