@@ -6,7 +6,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ident, text
+from ..session import kept
 
 MAX_BYTES = 20 * 1024 * 1024
 # Encodings in the order tried.
@@ -114,18 +114,31 @@ def documents_to_text(files: DataFrame, pages: int | None = None) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+#: Bytes that a file counts as besides its own when files are dealt to tasks, so that a task reads some thousand small ones.
+OPEN_COST = 16 * 1024
+
+
 def scan_documents(spark: SparkSession, folder: str, pages: int | None = None) -> DataFrame:
     """All documents under a folder, by Spark's own binary reader; larger files come back as errors without being read.
 
+    The files are read once, and their texts kept in the shared scratch folder.
     That reader leaves out empty files: those that its listing names and it
-    doesn't return are errors, too.
+    doesn't return are errors, too.  The listing stays in Spark's own index.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     small = documents_to_text(files.filter(F.col("length") <= MAX_BYTES), pages)
     large = files.filter(F.col("length") > MAX_BYTES).select("path", F.lit(None).cast("string").alias("text"), F.lit(f"The file is over {MAX_BYTES // 2**20} MB").alias("error"))
-    listed = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "path string")
-    empty = _plain(listed).join(_plain(files.select("path")).drop("path"), "plain", "left_anti").select("path", F.lit(None).cast("string").alias("text"), F.lit("The uploaded file is empty").alias("error"))
-    return small.unionAll(large).unionAll(empty)
+    name, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(name, OPEN_COST)
+    try:
+        read = kept(small.unionAll(large), "texts")
+    finally:
+        spark.conf.set(name, before)
+    jvm = spark._jvm
+    names = DataFrame(spark._jsparkSession.createDataset(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    listed = names.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))
+    empty = _plain(listed).join(_plain(read.select("path")).drop("path"), "plain", "left_anti").select("path", F.lit(None).cast("string").alias("text"), F.lit("The uploaded file is empty").alias("error"))
+    return read.unionAll(empty)
 
 
 def _plain(paths: DataFrame) -> DataFrame:
@@ -151,7 +164,7 @@ def standard_records(texts: DataFrame) -> DataFrame:
 
 def scan_records(spark: SparkSession, folder: str, pages: int | None = RECORD_PAGES) -> DataFrame:
     """The records of all documents under a folder, by path."""
-    return standard_records(scan_documents(spark, folder, pages)).orderBy("path")
+    return standard_records(scan_documents(spark, folder, pages).orderBy("path"))
 
 
 def local_folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -165,10 +178,14 @@ def land_files(files: DataFrame, folder: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = local_folder(folder)
+        made: set[str] = set()
         for batch in batches:
             for row in batch.to_pylist():
                 place = f"{base}/{row['name']}"
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+                own = place.rpartition("/")[0]
+                if own not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
                 with store.open_output_stream(f"{place}.part") as out:
                     out.write(row["content"] or b"")
                 store.move(f"{place}.part", place)

@@ -134,3 +134,21 @@ def test_holders_of_passages(spark):
     asked = [(1, "a b c"), (2, "b c"), (3, "zz"), (4, "a  b")]
     got = evaluate.holders(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted((q, d) for q, p in asked for d, t in texts if p in t)
+
+
+def test_files_are_read_once_and_in_few_tasks(spark, tmp_path):
+    """Texts are kept when the scan returns, and many small files share a task."""
+    import shutil
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for n in range(300):
+        (folder / f"{n}.txt").write_text(f"text {n}")
+    for name in ("a+b c%20.txt", "ü.txt"):
+        (folder / name).write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = documents.scan_documents(spark, f"file://{folder}")
+    shutil.rmtree(folder)
+    rows = {r["path"].rpartition("/")[2]: (r["text"], r["error"]) for r in found.collect()}
+    assert rows == {f"{n}.txt": (f"text {n}", None) for n in range(300)} | {name: (None, "The uploaded file is empty") for name in ("a+b c%20.txt", "ü.txt")}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
