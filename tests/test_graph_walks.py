@@ -60,3 +60,16 @@ def test_a_failed_run_is_recorded_as_unhealthy(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         observed.run_and_record(stream, F.lit(True), f"{tmp_path}/out", f"{tmp_path}/c", f"{tmp_path}/runs")
     assert [(r["mode"], r["healthy"]) for r in spark.read.parquet(f"{tmp_path}/runs").collect()] == [("delta", False)]
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark):
+    """The rounds grow with the logarithm of the depth, where no root lies on a cycle."""
+    written = []
+
+    def noted(df):
+        written.append(1)
+        return kept(df)
+
+    chain = spark.createDataFrame([(i, i + 1, "next") for i in range(40)], EDGES)
+    got = graph.full_closure(chain, spark.createDataFrame([(0,), (35,)], "root long"), noted).collect()
+    assert {(r["root"], r["node"]): r["hop"] for r in got} == {(root, n): n - root for root in (0, 35) for n in range(root + 1, 41)} and len(written) < 20
