@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sql
+from ..session import spread
 from .corpus import _SPEC
 from .identifiers import _LABEL, _ROLE, _phrase, citing_texts
 from .processing import _ASKED, _DETAIL, _case
@@ -28,7 +29,7 @@ def segment_items_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_cells_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_DETAIL).alias("html"))
+    pages = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_DETAIL).alias("html"))
     return spark.sql("SELECT p.p_partkey, c.row_no, c.cell_no, c.cell FROM {pages} p, LATERAL page_cells(p.html) c", pages=pages)
 
 

@@ -34,3 +34,9 @@ def test_table_functions(spark):
     spark.createDataFrame([(1, "Ab ab"), (2, None), (None, "ab")], "doc_id long, text string").createOrReplaceTempView("quillmark_texts")
     grams = {(r["doc_id"], r["term"]): r["tf"] for r in spark.sql("SELECT * FROM text_grams(TABLE(SELECT doc_id, text FROM quillmark_texts))").collect()}
     assert grams == {(1, " ab"): 2, (1, "ab "): 2, (1, " ab "): 2, (None, " ab"): 1, (None, "ab "): 1, (None, " ab "): 1}
+
+
+def test_pages_of_one_small_file_are_parsed_by_all_cores(spark):
+    from quillmark.plans.sqlfunctions import page_cells_sql
+
+    assert page_cells_sql(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
