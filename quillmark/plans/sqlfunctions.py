@@ -46,7 +46,7 @@ def page_links_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_grams_sql", f"SELECT doc_id, count(DISTINCT term) AS terms, sum(c)::BIGINT AS grams FROM {_char_rows('documents', 'doc_id')} GROUP BY doc_id")
 def text_grams_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
-    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("quillmark_documents")
+    spread(table(spark, sf_dir, "documents").select("doc_id", "text")).createOrReplaceTempView("quillmark_documents")
     return spark.sql("SELECT doc_id, count(*) AS terms, sum(tf) AS grams FROM text_grams(TABLE(SELECT doc_id, text FROM quillmark_documents)) GROUP BY doc_id")
 
 
