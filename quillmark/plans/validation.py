@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import render, validate
+from ..session import kept
 from .graph import _EDGES, _STATUS, edges
 from .identifiers import _LINE, _LINE_KEY
 from .registry import query
@@ -46,8 +47,14 @@ def _standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_STANDARDS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
 
 
-def _issues(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
-    return validate.issues(validate.citations(_documents(spark, sf_dir)), _standards(spark, sf_dir), profile, F.lit(AS_OF))
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations of all documents, extracted once for all that reads them."""
+    return kept(validate.citations(_documents(spark, sf_dir)), "citations")
+
+
+def _issues(spark: SparkSession, sf_dir: str, profile: str, cited: DataFrame | None = None) -> DataFrame:
+    cited = validate.citations(_documents(spark, sf_dir)) if cited is None else cited
+    return validate.issues(cited, _standards(spark, sf_dir), profile, F.lit(AS_OF))
 
 
 @query("validate_issues_hybrid", _issues_sql("hybrid"))
@@ -68,17 +75,17 @@ u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, pos)
 _ROLE_LABEL = "CASE role WHEN 'test_method' THEN 'Test method' WHEN 'related_product' THEN 'Related product' ELSE upper(role[1]) || role[2:] END"
 
 
-def _suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _suggested(spark: SparkSession, sf_dir: str, cited: DataFrame) -> DataFrame:
     def named(c: str) -> F.Column:
         return F.concat(F.when(F.col(c) % 2 == 0, "IS ").otherwise("SP "), F.col(c).cast("string")).alias(c)
 
     links = edges(spark, sf_dir).select(named("src"), "pos", named("dst"), "role")
-    return validate.suggestions(validate.citations(_documents(spark, sf_dir)), _standards(spark, sf_dir), links, validate.SUGGESTIONS["hybrid"])
+    return validate.suggestions(cited, _standards(spark, sf_dir), links, validate.SUGGESTIONS["hybrid"])
 
 
 @query("suggested_additions", f"WITH {_SUGGESTED} SELECT doc_id, position, is_number, {_ROLE_LABEL} AS role, referenced_by FROM u")
 def suggested_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suggested(spark, sf_dir)
+    return _suggested(spark, sf_dir, _cited(spark, sf_dir))
 
 
 @query(
@@ -88,13 +95,14 @@ def suggested_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, total_cited, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(suggestions, 0) AS suggestions FROM t LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)""",
 )
 def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = validate.citations(_documents(spark, sf_dir))
-    return validate.summary(cited, _issues(spark, sf_dir, "hybrid"), _suggested(spark, sf_dir))
+    cited = _cited(spark, sf_dir)
+    return validate.summary(cited, _issues(spark, sf_dir, "hybrid", cited), _suggested(spark, sf_dir, cited))
 
 
 @query("clean_standards", f"WITH {_CITED}, i AS ({_RULES['hybrid']}) SELECT doc_id, is_number FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = c.doc_id AND i.is_number = c.is_number AND w <= 2)")
 def clean_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.clean_standards(validate.citations(_documents(spark, sf_dir)), _issues(spark, sf_dir, "hybrid"))
+    cited = _cited(spark, sf_dir)
+    return validate.clean_standards(cited, _issues(spark, sf_dir, "hybrid", cited))
 
 
 @query(
