@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import records, text
 from ..operators import analytics as A
@@ -381,16 +384,17 @@ def dataset_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT is_number, arg_max(title, file) AS title, count(*) FILTER (earlier IS NULL) AS times_new, count(*) FILTER (earlier <> title) AS times_changed FROM l GROUP BY is_number""",
 )
 def stream_delta_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders land in three files; each customer's newest priority is its title."""
+    """Orders land in three parts; each customer's newest priority is its title."""
     store, log = scratch(spark, "store"), scratch(spark, "log")
-    landing, rows = _landed_orders(spark, sf_dir)
-    delta.run_delta(spark, landing, rows.schema, delta.delta_writer(store, log, seq="seq"), scratch(spark, "checkpoint"))
+    write, checkpoint = delta.delta_writer(store, log, seq="seq"), scratch(spark, "checkpoint")
+    rows = _landed_orders(spark, sf_dir, lambda landing, schema: delta.run_delta(spark, landing, schema, write, checkpoint, files_per_batch=None))
     ended = delta.current(spark, store, rows.drop("seq").withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema)
     logged = delta.logged(spark, log).groupBy("is_number").agg(F.count_if(F.col("change_type") == "new").alias("times_new"), F.count_if(F.col("change_type") != "new").alias("times_changed"))
     return ended.join(logged, "is_number", "left").select("is_number", "title", "times_new", "times_changed")
 
 
-def _landed_orders(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+def _landed_orders(spark: SparkSession, sf_dir: str, ingest: Callable[[str, StructType], object]) -> DataFrame:
+    """The orders, landed in three parts; ``ingest`` takes the folder and its schema after each, as one batch of as many files as it has."""
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS is_number", "trim(o_orderpriority) AS title", "o_orderkey AS seq")
     none = "array<string>"
     shape = {"year": F.lit(2000), "status": F.lit("current"), "division": F.lit("D"), "amendments": F.array().cast(none), "normative_references": F.array().cast(none), "certification": F.lit(None).cast("string"), "supersedes": F.lit(None).cast("string"), "scope": F.lit("s")}
@@ -398,9 +402,9 @@ def _landed_orders(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     rows = rows.withColumns(shape)
     cut = rows.agg(F.max("seq")).first()[0] // 3 + 1
     for n in range(3):
-        # each landing is one file, so that a trigger takes it whole: the table is small, a landed file's size is the source's choice
-        rows.filter(F.floor(F.col("seq") / cut) == n).coalesce(1).write.mode("append").parquet(landing)
-    return landing, rows
+        rows.filter(F.floor(F.col("seq") / cut) == n).write.mode("append").parquet(landing)
+        ingest(landing, rows.schema)
+    return rows
 
 
 @query(
@@ -411,12 +415,15 @@ def _landed_orders(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 )
 def stream_state_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same orders against the stream's own state: no stored table is read."""
-    landing, rows = _landed_orders(spark, sf_dir)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    path, found = scratch(spark, "changes"), changes.changes(stream)
-    changes.run_changes(spark, found, scratch(spark, "checkpoint"), path)
+    path, checkpoint, found = scratch(spark, "changes"), scratch(spark, "checkpoint"), []
+
+    def ingest(landing: str, schema: StructType) -> None:
+        found[:] = [changes.changes(spark.readStream.schema(schema).parquet(landing))]
+        changes.run_changes(spark, found[0], checkpoint, path)
+
+    _landed_orders(spark, sf_dir, ingest)
     kinds = {"times_new": F.col("change_type") == "new", "times_changed": ~F.col("change_type").isin("new", "unchanged"), "times_unchanged": F.col("change_type") == "unchanged"}
-    return spark.read.schema(found.schema).parquet(path).groupBy("is_number").agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
+    return spark.read.schema(found[0].schema).parquet(path).groupBy("is_number").agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
 
 
 @query("stream_distinct_events", "SELECT event_id, ts, event_type FROM events")
@@ -439,11 +446,15 @@ def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT is_number, arg_max(title, file) AS title, count(*) FILTER (earlier IS NULL OR earlier <> title) AS times_logged FROM l GROUP BY is_number""",
 )
 def stream_replayed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each landed file is handled twice, as after a worker was lost between the write and its receipt: the table and the log are those of one run."""
+    """Each landing is handled twice, as after a worker was lost between the write and its receipt: the table and the log are those of one run."""
     store, log = scratch(spark, "store"), scratch(spark, "log")
-    landing, rows = _landed_orders(spark, sf_dir)
-    write = delta.delta_writer(store, log, seq="seq")
-    delta.run_delta(spark, landing, rows.schema, lambda batch, number: [write(batch, number) for _ in range(2)], scratch(spark, "checkpoint"))
+    write, checkpoint = delta.delta_writer(store, log, seq="seq"), scratch(spark, "checkpoint")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        for _ in range(2):
+            write(batch, number)
+
+    rows = _landed_orders(spark, sf_dir, lambda landing, schema: delta.run_delta(spark, landing, schema, twice, checkpoint, files_per_batch=None))
     ended = delta.current(spark, store, rows.drop("seq").withColumns({"content_hash": F.lit(""), "scope_hash": F.lit("")}).schema)
     logged = delta.logged(spark, log).groupBy("is_number").agg(F.count("*").alias("times_logged"))
     return ended.join(logged, "is_number", "left").select("is_number", "title", "times_logged")

@@ -88,11 +88,18 @@ def delta_writer(store: str, log: str, key: str = "is_number", seq: str | None =
     """A function for ``foreachBatch`` over records with the columns of the stored table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         if seq:
             newest = Window.partitionBy(key).orderBy(F.desc(seq))
             batch = batch.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", seq)
-        fresh = cdc.with_hashes(batch)
+        # the batch is sorted out and hashed once for all that reads it
+        fresh = cdc.with_hashes(batch).persist()
+        try:
+            _apply(fresh, batch_id)
+        finally:
+            fresh.unpersist()
+
+    def _apply(fresh: DataFrame, batch_id: int) -> None:
+        spark = fresh.sparkSession
         of, written = _layout(spark, store, before=batch_id)
         wanted, total = of, current(spark, store, fresh.schema, before=batch_id).count() + fresh.count()
         while total > BUCKET_ROWS * wanted:
@@ -111,9 +118,10 @@ def delta_writer(store: str, log: str, key: str = "is_number", seq: str | None =
     return write
 
 
-def run_delta(spark: SparkSession, landing: str, schema: StructType, writer: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Process all files that have landed since the last run, then stop (a scheduled delta job)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+def run_delta(spark: SparkSession, landing: str, schema: StructType, writer: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int | None = 1) -> StreamingQuery:
+    """Process all files that have landed since the last run, then stop (a scheduled delta job); without ``files_per_batch`` as one batch."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(landing)
     query = stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -102,3 +102,23 @@ def test_upsert_joins_the_stored_side_in_place(spark, tmp_path, monkeypatch):
     again = table.upsert_store(spark, base, hashed([("k6", "grown")]))
     assert {r["title"] for r in again.filter("is_number in ('k5', 'k6')").collect()} == {"grown"} and again.count() == 201
     assert table.drop_versions(spark, base) == [1, 2] and [n for n, _ in table.versions(spark, base)] == [3, 4]
+
+
+def test_a_batch_is_worked_out_once_and_takes_all_files(spark, tmp_path):
+    landing, store, log = (f"{tmp_path}/{n}" for n in ("in", "store", "log"))
+    seen, batches = spark.sparkContext.accumulator(0), []
+
+    def title(k):
+        seen.add(1)
+        return f"t{k}"
+
+    rows = records(spark, [(f"k{i}", "t") for i in range(40)]).repartition(4)
+    rows.write.parquet(landing)
+    write = delta.delta_writer(store, log)
+
+    def noted(batch, number):
+        batches.append(number)
+        write(batch.withColumn("title", F.udf(title, "string")("is_number")), number)
+
+    delta.run_delta(spark, landing, rows.schema, noted, f"{tmp_path}/c", files_per_batch=None)
+    assert batches == [0] and seen.value == 40
