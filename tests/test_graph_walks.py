@@ -73,3 +73,17 @@ def test_closure_of_a_long_chain_takes_few_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1, "next") for i in range(40)], EDGES)
     got = graph.full_closure(chain, spark.createDataFrame([(0,), (35,)], "root long"), noted).collect()
     assert {(r["root"], r["node"]): r["hop"] for r in got} == {(root, n): n - root for root in (0, 35) for n in range(root + 1, 41)} and len(written) < 20
+
+
+def test_similarity_of_pairs_reads_them_once(spark, tmp_path):
+    vectors = spark.createDataFrame([(1, [1, 2, 9], [0.6, 0.8, 0.0]), (2, [2, 1], [0.6, 0.8]), (3, [5], [1.0])], "doc_id long, numbers array<long>, ws array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return n
+
+    rows = [(1, 2), (2, 1), (1, 2), (1, 3), (1, 4), (4, 1), (4, 4)]
+    pairs = spark.createDataFrame(rows, "root long, at long").select("root", F.udf(counted, "long")("at").alias("node"))
+    got = sorted((r["root"], r["node"], round(r["similarity"], 9)) for r in graph.pair_similarity(pairs, vectors, "root", "node").collect())
+    assert got == sorted((a, b, 0.96 if {a, b} == {1, 2} else 0.0) for a, b in rows) and seen.value == len(rows)
