@@ -35,7 +35,7 @@ class LastRecord(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         newest = max(rows, key=lambda r: (r.seq, r.digests))
-        held = self.last.get() if self.last.exists() else None
+        held = self.last.get()
         was = list(held[0]) if held else None
         changed = ["*"] if was is None else [f for f, a, b in zip(FIELDS, was, newest.digests, strict=True) if a != b]
         if was is None or changed or bool(held[1]) != newest.gone:
