@@ -116,7 +116,7 @@ r AS (SELECT c.*, round(0.6 / hop + 0.4 * round(coalesce(similarity, 0), 6), 3)
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     closure = G.bfs_closure(edges(spark, sf_dir), roots(spark, sf_dir))
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    similar = G.pair_similarity(closure, build_tfidf(names, scratch(spark, "names"), word_grams).rows, "root", "node")
+    similar = G.pair_similarity(closure, kept(build_tfidf(names, scratch(spark, "names"), word_grams).rows, "weights"), "root", "node")
     return similar.withColumn("relevance", G.relevance(F.col("hop"), F.round("similarity", 6)))
 
 

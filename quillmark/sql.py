@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf, udtf
 
 from .functions import classify, ident, multilingual, text
-from .operators.textindex import _count_tokens
+from .operators.textindex import _CHARACTERS, _count_tokens
 from .sources import html as H
 
 
@@ -93,7 +93,7 @@ class TextGrams:
         for at in range(0, rows.num_rows, 512):
             part = rows.slice(at, 512)
             folded = pc.utf8_lower(pc.fill_null(part.column("text").cast(pa.string()), ""))
-            terms, row, code, times = _count_tokens(pc.split_pattern_regex(folded, r"[ \t\n\v\f\r]+"), True)
+            terms, row, code, times = _count_tokens(pc.split_pattern_regex(folded, r"[ \t\n\v\f\r]+"), _CHARACTERS)
             yield pa.table({"doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(row)), "term": terms.take(pa.array(code)), "tf": pa.array(times, pa.int64())})
 
 
