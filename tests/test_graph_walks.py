@@ -87,3 +87,23 @@ def test_similarity_of_pairs_reads_them_once(spark, tmp_path):
     pairs = spark.createDataFrame(rows, "root long, at long").select("root", F.udf(counted, "long")("at").alias("node"))
     got = sorted((r["root"], r["node"], round(r["similarity"], 9)) for r in graph.pair_similarity(pairs, vectors, "root", "node").collect())
     assert got == sorted((a, b, 0.96 if {a, b} == {1, 2} else 0.0) for a, b in rows) and seen.value == len(rows)
+
+
+def test_paths_are_dealt_out_in_bounded_parts(spark, monkeypatch):
+    """The shortest paths by first type are those of a walk, and more rows lie in more parts."""
+    monkeypatch.setattr(graph, "PATHS", 20, raising=False)
+    rng = random.Random(5)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice("xyz")) for _ in range(90)] + [(1, 2, "x")] * 2
+    for depth in (1, 2, 3):
+        out = graph.first_type_closure(spark.createDataFrame(edges, EDGES), spark.range(30).withColumnRenamed("id", "root"), depth, limit=7)
+        assert out.rdd.getNumPartitions() >= 92 * (3**depth - 1) / 2 / 20
+        want = set()
+        for root in range(30):
+            found, ends = {}, {(b, r) for a, b, r in edges if a == root}
+            for hop in range(1, depth + 1):
+                for end in ends:
+                    found.setdefault(end, hop)
+                ends = {(b, r) for node, r in ends for a, b, _ in edges if a == node}
+            ranked = sorted((hop, node, r) for (node, r), hop in found.items() if node != root)[:7]
+            want |= {(root, node, r, hop, n + 1) for n, (hop, node, r) in enumerate(ranked)}
+        assert {tuple(r) for r in out.select("root", "node", "first_type", "hop", "place").collect()} == want
