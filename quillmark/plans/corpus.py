@@ -12,7 +12,7 @@ from ..functions import records, text
 from ..operators import analytics as A
 from ..operators import evaluate as E
 from ..operators import retrieve as R
-from ..operators.textindex import bm25_best, bm25_scores
+from ..operators.textindex import among, bm25_best
 from ..session import scratch
 from ..sources import corpus as C
 from ..sources import html as H
@@ -146,12 +146,12 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXPECTED = "SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text)"
 
 
-def _cases(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """Each benchmark item expects the documents that hold its text."""
+def _cases(spark: SparkSession, sf_dir: str, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each benchmark item expects the documents that hold its text; found are the documents ``where`` alone."""
     docs, asked = documents(spark, sf_dir), benchmark_queries(spark, sf_dir)
     held = E.holders(docs, asked)
     index = indexes.bm25(spark, sf_dir)
-    ranked = R.top_k(bm25_best(index, asked, 5) if where is None else bm25_scores(index, asked).filter(where), 5)
+    ranked = R.top_k(bm25_best(among(index, where) if where else index, asked, 5), 5)
     return E.case_metrics(ranked, held)
 
 
@@ -171,7 +171,7 @@ _ODD_CASES = _CASES.replace("FROM bs WHERE score > 0", "FROM bs WHERE score > 0
 @query("eval_failures", f"WITH {_ODD_CASES} SELECT query_id FROM m WHERE hit_3 = 0")
 def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents of even number are retrieved, so passages that stand in others alone fail."""
-    return E.failures(_cases(spark, sf_dir, F.col("doc_id") % 2 == 0))
+    return E.failures(_cases(spark, sf_dir, lambda doc: doc % 2 == 0))
 
 
 # --- extraction ----------------------------------------------------------------
