@@ -1,5 +1,8 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from quillmark.operators import contain, evaluate
@@ -41,3 +44,14 @@ def test_tenders_by_part_of_their_id(spark):
         "GEM/2024/B/12": ("GEM/2024/B/12", "equal"), "gem/2024/b/1": ("GEM/2024/B/1", "similar"), "prefix gem/2024/b/12 suffix": ("GEM/2024/B/1", "similar"),
         "nothing": ("nothing", "made"), "max": ("X", "similar"),
     }
+
+
+def test_few_texts_at_a_time_become_objects():
+    texts = [f"{i:03d}" + "word " * 20_000 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], ["doc_id", "text"])
+    posted = contain._Posted.of(pa.array([1, 2]), ["017word w", "none of them"], texts[:5])
+    tracemalloc.start()
+    found = [r for b in contain._holding(SimpleNamespace(value=posted), ["query_id", "doc_id"])(iter([batch])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"query_id": 1, "doc_id": 17}] and most < 30_000_000, most
