@@ -39,3 +39,12 @@ def test_more_first_places_are_right_on_unseen_items(spark):
     ranked = [retrieval.reranked(spark, SF, scorer).filter(unseen & (F.col("position") == 1)) for scorer in (None, retrieval.fitted_scorer(spark, SF))]
     hits = [rows.join(right, ["query_id", "doc_id"]).count() for rows in ranked]
     assert hits[1] > hits[0], hits
+
+
+def test_pairs_are_chosen_without_their_texts(spark):
+    pairs = spark.range(40).selectExpr("id % 4 AS query_id", "id AS doc_id", "'asked' AS query", "repeat('text ', 100) AS text", "1.0D AS fused")
+    got = reranker.bounded(pairs, 7)
+    taken = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrderedAndProject" in line]
+    assert taken and not any("text" in line for line in taken)
+    want = pairs.orderBy(F.xxhash64("query_id", "doc_id"), "query_id", "doc_id").limit(7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
