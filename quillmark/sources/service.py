@@ -150,8 +150,8 @@ class _StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
         done, asked = ({(k, int(n)) for k, v in x.items() for n in v.split(",")} for x in (start, end))
-        own = [p for p in landed(self.folder, self.departments) if (p.department, p.offset) in asked - done]
-        return _parted(own)
+        fresh = asked - done
+        return _parted([p for p in landed(self.folder, self.departments) if (p.department, p.offset) in fresh])
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         yield from _batches(partition.pages, self.folder)

@@ -1,4 +1,5 @@
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -88,3 +89,13 @@ def test_many_pages_share_partitions(spark, tmp_path, monkeypatch):
     assert len(parts) == 3
     assert sorted(r for part in parts for batch in S._Reader(folder, ()).read(part) for r in batch.column(1).to_pylist()) == list(range(10))
     assert len(S._StreamReader(folder, ()).partitions({"ETD": "0,1"}, {"ETD": ",".join(map(str, range(10)))})) == 3
+
+
+def test_fresh_pages_of_many_are_told_apart_at_once(monkeypatch):
+    pages = [S.Page("ETD", n, f"/in/ETD/{n}.json") for n in range(20_000)]
+    monkeypatch.setattr(S, "landed", lambda path, departments=(): pages)
+    offset = lambda numbers: {"ETD": ",".join(map(str, numbers))}
+    began = time.monotonic()
+    parts = S._StreamReader("/in", ()).partitions(offset(range(0, 20_000, 2)), offset(range(20_000)))
+    assert time.monotonic() - began < 2
+    assert [p.offset for part in parts for p in part.pages] == list(range(1, 20_000, 2))
